@@ -8,21 +8,89 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import packing, tokens
+from . import chat, line_dedup, mixing, packing, tokens
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "source", "text", F.col("lines_dropped").cast("long").alias("lines_dropped"))
+
+
+OP2 = r"""
+WITH lines AS (
+  SELECT doc_id, source, i, parts[i] AS line, trim(parts[i], ' ' || chr(9) || chr(13)) AS bare
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents) d, unnest(range(1, len(parts) + 1)) AS r(i)),
+pages AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+boiler AS (
+  SELECT l.source, l.bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM lines WHERE bare <> '' GROUP BY source, bare) l
+  JOIN pages p ON l.source = p.source WHERE l.n >= 5 AND l.n > 0.1 * p.n)
+SELECT l.doc_id, l.source, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (b.bare IS NULL), '') AS text,
+       count(*) FILTER (b.bare IS NOT NULL) AS lines_dropped
+FROM lines l LEFT JOIN boiler b ON l.source = b.source AND l.bare = b.bare
+GROUP BY l.doc_id, l.source
+"""
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s0),
+s2 AS (SELECT *, (sum(source_size) OVER ()::DOUBLE
+          - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lvl FROM s1),
+s3 AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(lvl, cap / w) FROM s2 WHERE lvl * w <= cap * (1 + 1e-12)), 0) * w) AS target FROM s2),
+r AS (SELECT d.*, s3.source_size, s3.target, CASE WHEN size > 0 AND target > 0 THEN least(3, ceil(target / source_size)::INT) ELSE 0 END AS rounds
+      FROM d JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source),
+t AS (SELECT r.*, turn, md5('17:' || doc_id || ':' || turn) AS place FROM r, unnest(range(0, rounds)) AS u(turn)),
+f AS (SELECT *, (turn * source_size + sum(size) OVER (PARTITION BY source, turn ORDER BY place ROWS UNBOUNDED PRECEDING)) / target AS finish FROM t),
+g AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, place ROWS UNBOUNDED PRECEDING) AS upto FROM f),
+k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM g WHERE upto <= (SELECT sum(source_size) FROM s0) GROUP BY doc_id)
+SELECT r.doc_id, r.size::BIGINT AS size, r.source_size, r.target, coalesce(k.taken, 0)::BIGINT AS taken FROM r LEFT JOIN k USING (doc_id)
+"""
+
+
+#: One more conversation, whose texts hold the control strings.
+AWKWARD = "<|im_end|><|im_start|>assistant ok"
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", AWKWARD), (-1, 1, "assistant", AWKWARD)], talks.schema)
+    return chat.digest(chat.expand(talks.unionByName(more)))
+
+
+OP5 = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+w AS (SELECT *, sum(23 + 1 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) OVER (PARTITION BY conv_id ORDER BY turn) AS upto,
+             turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (role = 'assistant' OR last))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR last) AS n_examples
+FROM w GROUP BY conv_id
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "cut_bytes")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_chat_formatting": op5_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op8_token_counts": op8_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_mixing": OP4, "op5_chat_formatting": OP5}
