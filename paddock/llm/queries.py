@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import ann, chat, line_dedup, mixing, packing, tokens, topk
+from . import ann, chat, jaccard, line_dedup, mixing, packing, tokens, topk
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ FROM w GROUP BY conv_id
 """
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_chat_formatting": op5_chat_formatting,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_exact_top_k": op7_exact_top_k,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op8_token_counts": op8_token_counts,
