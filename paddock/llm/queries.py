@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import ann, chat, jaccard, line_dedup, mixing, packing, tokens, topk
+from . import ann, chat, jaccard, line_dedup, lm, mixing, packing, tokens, topk
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "cut_bytes")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), lambda i: F.crc32(i.cast("string").cast("binary")) % 7 == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_mixing": op4_mixing,
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_top_k": op7_exact_top_k,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op8_token_counts": op8_token_counts,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_mixing": OP4, "op5_chat_formatting": OP5, "op7_exact_top_k": OP7}
