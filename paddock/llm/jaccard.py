@@ -1,14 +1,17 @@
 """Operator 6: n-gram Jaccard join over a token-group matrix.
 
 Two documents link when the Jaccard similarity of their sets of word shingles reaches the threshold. Equal sets are one
-node from the start. Any two linked nodes share a token among the first few of each under one order of all tokens
-(frequent ones last), so only those tokens meet:
+node from the start. Under one order of all tokens (by hash), take of each set of n the first n - a + l, where a is the
+least overlap it can link with: two sets that link share at least l of those. Here l = n - a + 2, so more than half of a
+node's first tokens must be met, and passages that documents have in common do not make candidates of them.
 
 1. Nodes are partitioned into groups, each around the most central node that its members share tokens with.
 2. The matrix has a row for each (token, group): the token union of each group, with the range of its members' sizes.
-3. A query node's overlap with a group's union bounds its overlap with any member; only groups that qualify are opened.
-4. An opened group shows its centre first. Members already known to be connected to the query need no comparison; the
-   others are compared exactly. So components are exact though most pairs within a group are never made.
+3. A query node's overlap with a group's union, its own tokens aside, bounds its overlap with any member; only groups
+   that reach l are opened.
+4. A node meets the centre of its group first. Of the groups opened, members already known to be connected to it need no
+   comparison; the others are counted, bounded in the same way and then compared exactly over whole sets. So components
+   are exact though most pairs within a group are never made.
 """
 
 from __future__ import annotations
@@ -21,10 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import staged
 
-#: Bits of the fixed-size filters for shared and for frequent tokens; a false hit costs work, never a link.
+#: Bits of the fixed-size filter for shared tokens; a false hit costs work, never a link.
 FILTER_BITS = 26
-#: A token on the first places of more than so many documents is ordered last.
-FREQUENT = 200
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -65,8 +66,8 @@ class Words:
         spans = [words[i : len(words) - width + 1 + i] for i in range(width)] if len(words) >= width else [words[i : i + 1] for i in range(len(words))]
         out = np.full(len(spans[0]), len(spans), np.uint64)
         for span in spans:
-            out = mixed(out * _ODD + span)
-        return np.unique(out)
+            out = out * _ODD + span
+        return np.unique(mixed(out))
 
 
 _WORDS = Words()
@@ -81,15 +82,22 @@ def _places(tokens: np.ndarray) -> np.ndarray:
     return tokens >> np.uint64(64 - FILTER_BITS)
 
 
+def _first(s: np.ndarray, percent: int) -> np.ndarray:
+    return s[: 2 * (len(s) - _least(len(s), percent) + 1)] if len(s) else s
+
+
+def _common(n: Column, percent: int) -> Column:
+    """The tokens l that a set of n shares, of its first ones, with any it links to; all it has, if it has fewer first ones."""
+    least = F.ceil(n * percent / 100)
+    return F.least(n - least + 2, least)
+
+
 def _first_tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``token``: twice as many of each document's least tokens as it needs for its first places."""
+    """``token``: the first tokens of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                s = _WORDS.shingles(text or "", width)
-                out.append(s[: 2 * (len(s) - _least(len(s), percent) + 1)])
+            out = [_first(_WORDS.shingles(text or "", width), percent) for text in batch.column(0).to_pylist()]
             tokens = np.concatenate(out) if out else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], ["token"])
 
@@ -110,31 +118,39 @@ def _hit(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
+def _listed(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)], dtype=np.int32), pa.array(flat))
+
+
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``id, n, k1, k2, tokens, members``: size and identity of each set, the shared tokens on its first places, and the
-    whole set where there are any."""
-    counted = staged(_first_tokens(docs, width, percent).groupBy("token").count().filter("count > 1"))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_filter(counted))
-    frequent = spark.sparkContext.broadcast(_filter(counted.filter(F.col("count") > FREQUENT)))
+    """``id, n, k1, k2, tokens``: size and identity of each set and, of its first tokens, those that occur elsewhere."""
+    counted = _first_tokens(docs, width, percent).groupBy("token").count().filter("count > 1")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(counted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, k1, k2, firsts, sets = [], [], [], [], []
+            sizes, k1, k2, firsts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = _WORDS.shingles(text or "", width)
-                late = _hit(frequent.value, s)
-                first = np.concatenate([s[~late], s[late]])[: len(s) - _least(len(s), percent) + 1] if len(s) else s
-                first = first[_hit(shared.value, first)]
+                first = _first(s, percent)
                 sizes.append(len(s))
-                k1.append(mixed(s).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
-                k2.append(np.bitwise_xor.reduce(mixed(s * _ODD)).astype(np.int64) if len(s) else 0)
-                firsts.append(first.view(np.int64))
-                sets.append((s if len(first) else s[:0]).view(np.int64))
-            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype=np.int32), pa.array(np.concatenate(x) if x else np.empty(0, np.int64))) for x in (firsts, sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *lists], ["id", "n", "k1", "k2", "tokens", "members"])
+                k1.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
+                k2.append(int(np.bitwise_xor.reduce(mixed(s * _ODD)).view(np.int64)) if len(s) else 0)
+                firsts.append(first[_hit(shared.value, first)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _listed(firsts)], ["id", "n", "k1", "k2", "tokens"])
+
+    return staged(docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, tokens array<long>"))
+
+
+def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``id, members``: the whole sets of the documents named, from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed([_WORDS.shingles(t or "", width) for t in batch.column(1).to_pylist()])], ["id", "members"])
 
-    return staged(docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, tokens array<long>, members array<long>"))
+    return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, members array<long>")
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -157,8 +173,11 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose whole sets reach the threshold."""
+    pairs = staged(pairs)
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = staged(_whole(docs, ids, width))
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -183,42 +202,47 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     sets = _sets(rows, width, percent)
     real = sets.filter("n > 0 and id is not null")
     copies = staged(real.groupBy("n", "k1", "k2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
-    node = sets.join(copies, ["n", "k1", "k2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("node"), "tokens", "members")
-    node = staged(node)
-    ids = node.select("id", "n", "node")
-    nodes = node.filter((F.col("id") == F.col("node")) & (F.size("tokens") > 0)).select("id", "n", "tokens", "members")
-    token = nodes.select("id", "n", F.explode("tokens").alias("token")).distinct()
-    often = staged(token.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    ids = staged(sets.select("id", "n", "k1", "k2").join(copies, ["n", "k1", "k2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("node")))
+    token = real.join(copies, ["n", "k1", "k2"], "left").filter(F.col("id") == F.coalesce("least", "id")).select("id", "n", F.explode("tokens").alias("token")).distinct()
+    token = staged(token)
+    often = token.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     token = staged(token.join(often, "token"))
 
     # 1. groups: each node belongs to the centre that most of its tokens have
-    central = token.groupBy("id", "n").agg((F.sum("often") / F.first("n")).alias("weight")).drop("n")
-    weighed = token.join(central, "id")
-    centre = staged(weighed.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top")).select("token", (-F.col("top.id")).alias("centre")))
-    votes = token.join(centre, "token").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("votes"))
-    group = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("centre")).alias("centre"))).alias("top")).select("id", (-F.col("top.centre")).alias("group"))
-    token = staged(token.join(group, "id"))
+    central = token.groupBy("id").agg((F.sum("often") / F.first("n")).alias("weight"))
+    weighed = staged(token.join(central, "id"))
+    centre = weighed.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top")).select("token", (-F.col("top.id")).alias("centre"))
+    votes = weighed.join(centre, "token").groupBy("id", "n", "centre").agg(F.count(F.lit(1)).alias("votes"))
+    member = staged(votes.groupBy("id", "n").agg(F.max(F.struct("votes", (-F.col("centre")).alias("centre"))).alias("top")).select("id", "n", (-F.col("top.centre")).alias("group")))
+    token = staged(token.join(member.select("id", "group"), "id").select("token", "id", "n", "group"))
 
     # 2. the matrix, and 3. the groups that qualify for each query node
-    matrix = staged(token.groupBy("token", "group").agg(F.min("n").alias("smallest"), F.max("n").alias("largest")))
-    fits = (F.col("n") * 100 >= percent * F.col("smallest")) & (F.col("largest") * 100 >= percent * F.col("n"))
-    overlap = token.select("token", "id", "n").join(matrix, "token").filter(fits).groupBy("id", "n", "group").agg(F.count(F.lit(1)).alias("bound"))
-    sizes = nodes.select(F.col("id").alias("group"), F.col("n").alias("group_n"))
-    opened = staged(overlap.filter("bound > 0").select("id", "n", "group"))
-
-    # 4. the centres first, then only members of other components
-    first = opened.filter("id <> group").join(sizes, "group").filter(_near(F.col("n"), F.col("group_n"), percent))
-    links = _linked(first.select(F.least("id", "group").alias("a"), F.greatest("id", "group").alias("b")).distinct(), nodes.select("id", "members"), percent)
+    matrix = staged(token.groupBy("token", "group").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("nodes")))
+    ranges = F.least("largest", F.greatest("smallest", "n"))  # the member's size nearest to the query's
+    matrix = matrix.withColumnRenamed("group", "to")
+    met = token.join(matrix, "token").filter(((F.col("group") != F.col("to")) | (F.col("nodes") > 1)) & _near(F.col("n"), ranges, percent))
+    overlap = met.groupBy("id", "n", "to").agg(F.count(F.lit(1)).alias("bound"), F.min("smallest").alias("smallest"))
+    lowest = F.least(_common(F.col("n"), percent), _common(F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100)), percent))
+    opened = staged(overlap.filter(F.col("bound") >= lowest).select("id", "to"))
+
+    # 4. each node's own centre first, then of all qualifying groups only members of other components
+    enough = lambda n: F.col("met") >= F.least(*(_common(x, percent) for x in n))
+    token = staged(token.join(opened.select("id").distinct(), "id", "left_semi"))  # both ends of a link have opened a group
+    mine = token.filter("id <> group").join(token.select("token", F.col("id").alias("group"), F.col("n").alias("gn")), ["token", "group"])
+    first = mine.filter(_near(F.col("n"), F.col("gn"), percent)).groupBy("id", "group", "n", "gn").agg(F.count(F.lit(1)).alias("met"))
+    links = _linked(first.filter(enough((F.col("n"), F.col("gn")))).select(F.col("id").alias("a"), F.col("group").alias("b")), rows, width, percent)
     known = components(links)
     part = staged(token.join(known, token["id"] == known["node"], "left").select("token", "id", "n", "group", F.coalesce("component", "id").alias("part")))
-    shares = part.groupBy("token", "part").agg(F.count(F.lit(1)).alias("rows"))
-    mixed_ = staged(shares.groupBy("token").agg(F.max(F.struct("rows", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("top.part").alias("major")))
-    apart = part.join(mixed_, "token")
-    minor = apart.filter("part <> major").select("token", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
-    others = apart.select("token", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"), "major")
-    cross = minor.join(others, (minor["token"] == others["token"]) & (F.col("xp") != F.col("yp")) & ((F.col("yp") == F.col("major")) | (F.col("x") < F.col("y"))) & _near(F.col("xn"), F.col("yn"), percent)).drop(minor["token"])
-    pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _linked(pairs, nodes.select("id", "members"), percent)
+    parts = part.groupBy("token", "part").agg(F.count(F.lit(1)).alias("nodes"))
+    major = staged(parts.groupBy("token").agg(F.max(F.struct("nodes", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("top.part").alias("major")))
+    apart = staged(part.join(major, "token"))
+    minor = apart.filter("part <> major").join(opened, "id").select("token", F.col("to").alias("group"), F.col("id").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
+    others = apart.select("token", "group", "major", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"))
+    once = (F.col("yp") == F.col("major")) | (F.col("x") < F.col("y"))  # a pair is made once for each token
+    cross = minor.join(others, ["token", "group"]).filter((F.col("xp") != F.col("yp")) & once & _near(F.col("xn"), F.col("yn"), percent))
+    ends = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("xn", "yn").alias("an"), F.greatest("xn", "yn").alias("bn"))
+    pairs = cross.groupBy(*ends).agg(F.count(F.lit(1)).alias("met")).filter(enough((F.col("an"), F.col("bn")))).select("a", "b")
+    more = _linked(pairs, rows, width, percent)
     final = components(links.unionByName(more))
     out = ids.join(final, ids["node"] == final["node"], "left")
     return out.select(ids["id"].alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", ids["node"]).alias("component_id"))
