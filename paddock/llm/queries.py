@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import ann, chat, jaccard, line_dedup, lm, mixing, packing, tokens, topk
+from . import ann, chat, jaccard, language_id, line_dedup, lm, mixing, packing, tokens, topk
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages; documents have a source for a host, pages have an address and markup too."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.fit(docs)
+    none = F.lit(None).cast("string")
+    texts = docs.select(F.struct(F.col("doc_id"), F.lit(None).cast("long").alias("page_id")).alias("id"), "text", F.col("source").alias("host"), none.alias("site"), none.alias("suffix"), none.alias("markup"))
+    sites = language_id.page_evidence(pages).select(F.struct(F.lit(None).cast("long").alias("doc_id"), F.col("page_id")).alias("id"), "text", "host", "site", "suffix", "markup")
+    found = language_id.identify(texts.unionByName(sites), model, "host", "markup", "suffix", "site", id_col="id")
+    return found.select("id.doc_id", "id.page_id", "language", "probability", "text_language", "trigrams", "accepted")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +122,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_chat_formatting": op5_chat_formatting,
