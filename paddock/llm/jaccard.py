@@ -92,6 +92,12 @@ def _common(n: Column, percent: int) -> Column:
     return F.least(n - least + 2, least)
 
 
+def _fewest(n: int, percent: int) -> int:
+    """The least that ``_common`` is for a set of n and any size that it can link with: fewer shared tokens rule out all links."""
+    n = _least(n, percent)
+    return min(n - _least(n, percent) + 2, _least(n, percent))
+
+
 def _first_tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``token``: the first tokens of each document."""
 
@@ -124,7 +130,8 @@ def _listed(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``id, n, k1, k2, tokens``: size and identity of each set and, of its first tokens, those that occur elsewhere."""
+    """``id, n, k1, k2, tokens``: size and identity of each set and, of its first tokens, those that occur elsewhere, if
+    there are enough of them for any link: the bound over the union of all groups."""
     counted = _first_tokens(docs, width, percent).groupBy("token").count().filter("count > 1")
     shared = docs.sparkSession.sparkContext.broadcast(_filter(counted))
 
@@ -137,7 +144,8 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 sizes.append(len(s))
                 k1.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce(mixed(s * _ODD)).view(np.int64)) if len(s) else 0)
-                firsts.append(first[_hit(shared.value, first)])
+                first = first[_hit(shared.value, first)]
+                firsts.append(first if len(first) >= _fewest(len(s), percent) else first[:0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _listed(firsts)], ["id", "n", "k1", "k2", "tokens"])
 
     return staged(docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, tokens array<long>"))
@@ -203,7 +211,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     real = sets.filter("n > 0 and id is not null")
     copies = staged(real.groupBy("n", "k1", "k2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
     ids = staged(sets.select("id", "n", "k1", "k2").join(copies, ["n", "k1", "k2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("node")))
-    token = real.join(copies, ["n", "k1", "k2"], "left").filter(F.col("id") == F.coalesce("least", "id")).select("id", "n", F.explode("tokens").alias("token")).distinct()
+    token = real.join(copies, ["n", "k1", "k2"], "left").filter(F.col("id") == F.coalesce("least", "id")).select("id", "n", F.explode("tokens").alias("token"))
     token = staged(token)
     often = token.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     token = staged(token.join(often, "token"))

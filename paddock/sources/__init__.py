@@ -1 +1 @@
-
+"""Reading raw pages, JSON and tables; writing results."""

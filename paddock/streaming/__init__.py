@@ -1 +1 @@
-
+"""Incremental ingestion as micro-batches."""
