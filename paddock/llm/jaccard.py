@@ -10,13 +10,17 @@ node's first tokens must be met, and passages that documents have in common do n
 3. A query node's overlap with a group's union, its own tokens aside, bounds its overlap with any member; only groups
    that reach l are opened.
 4. A node meets the centre of its group first. Of the groups opened, members already known to be connected to it need no
-   comparison; the others are counted, bounded in the same way and then compared exactly over whole sets. So components
-   are exact though most pairs within a group are never made.
+   comparison; of the others, only those are counted whose sketches allow a link, and then compared exactly over whole
+   sets. So components are exact though most pairs within a group are never made.
+
+A sketch holds the parity of the tokens in each of some cells: two sets differ in at least as many tokens as their
+sketches do in cells. Sets too large for the cells just pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,9 @@ from .common import staged
 
 #: Bits of the fixed-size filter for shared tokens; a false hit costs work, never a link.
 FILTER_BITS = 26
+#: 64-bit words of a set's sketch.
+SKETCH_WORDS = 8
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -86,6 +93,30 @@ def _first(s: np.ndarray, percent: int) -> np.ndarray:
     return s[: 2 * (len(s) - _least(len(s), percent) + 1)] if len(s) else s
 
 
+def _sketch(s: np.ndarray) -> list[int]:
+    """The parity of the tokens in each of the cells, as 64-bit words."""
+    at = (mixed(s ^ _ODD) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH_WORDS)
+    odd = np.bincount(at, minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _agreed(a: Column, b: Column, percent: int) -> Column:
+    """The least overlap of sets of these sizes that link."""
+    return F.ceil((a + b) * percent / (100 + percent))
+
+
+def _alike(a: Column, b: Column, left: str, right: str, percent: int) -> Column:
+    """Sets of these sizes whose sketches differ in no more cells than linked sets differ in tokens."""
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{left}{s}").bitwiseXOR(F.col(f"{right}{s}"))) for s in SKETCH))
+    return apart <= a + b - 2 * _agreed(a, b, percent)
+
+
+def _met(a: Column, b: Column, percent: int) -> Column:
+    """The least that linked sets of these sizes share of the first tokens of both."""
+    taken = lambda n: F.least(n, 2 * (n - F.ceil(n * percent / 100) + 1)) - n
+    return F.least(taken(a), taken(b)) + _agreed(a, b, percent)
+
+
 def _common(n: Column, percent: int) -> Column:
     """The tokens l that a set of n shares, of its first ones, with any it links to; all it has, if it has fewer first ones."""
     least = F.ceil(n * percent / 100)
@@ -130,14 +161,14 @@ def _listed(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``id, n, k1, k2, tokens``: size and identity of each set and, of its first tokens, those that occur elsewhere, if
-    there are enough of them for any link: the bound over the union of all groups."""
+    """``id, n, k1, k2, sketch, tokens``: size, identity and sketch of each set and, of its first tokens, those that occur
+    elsewhere, if there are enough of them for any link: the bound over the union of all groups."""
     counted = _first_tokens(docs, width, percent).groupBy("token").count().filter("count > 1")
     shared = docs.sparkSession.sparkContext.broadcast(_filter(counted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, k1, k2, firsts = [], [], [], []
+            sizes, k1, k2, firsts, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = _WORDS.shingles(text or "", width)
                 first = _first(s, percent)
@@ -146,9 +177,10 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 k2.append(int(np.bitwise_xor.reduce(mixed(s * _ODD)).view(np.int64)) if len(s) else 0)
                 first = first[_hit(shared.value, first)]
                 firsts.append(first if len(first) >= _fewest(len(s), percent) else first[:0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _listed(firsts)], ["id", "n", "k1", "k2", "tokens"])
+                sketches.append(_sketch(s) if len(firsts[-1]) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), _listed(firsts)], ["id", "n", "k1", "k2", "sketch", "tokens"])
 
-    return staged(docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, tokens array<long>"))
+    return staged(docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, sketch array<long>, tokens array<long>"))
 
 
 def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -209,6 +241,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = _sets(rows, width, percent)
     real = sets.filter("n > 0 and id is not null")
+    sketches = real.filter("sketch is not null").select("id", "n", *(F.col("sketch")[i].alias(s) for i, s in enumerate(SKETCH))).distinct()
     copies = staged(real.groupBy("n", "k1", "k2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
     ids = staged(sets.select("id", "n", "k1", "k2").join(copies, ["n", "k1", "k2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("node")))
     token = real.join(copies, ["n", "k1", "k2"], "left").filter(F.col("id") == F.coalesce("least", "id")).select("id", "n", F.explode("tokens").alias("token"))
@@ -234,22 +267,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     opened = staged(overlap.filter(F.col("bound") >= lowest).select("id", "to"))
 
     # 4. each node's own centre first, then of all qualifying groups only members of other components
-    enough = lambda n: F.col("met") >= F.least(*(_common(x, percent) for x in n))
     token = staged(token.join(opened.select("id").distinct(), "id", "left_semi"))  # both ends of a link have opened a group
     mine = token.filter("id <> group").join(token.select("token", F.col("id").alias("group"), F.col("n").alias("gn")), ["token", "group"])
     first = mine.filter(_near(F.col("n"), F.col("gn"), percent)).groupBy("id", "group", "n", "gn").agg(F.count(F.lit(1)).alias("met"))
-    links = _linked(first.filter(enough((F.col("n"), F.col("gn")))).select(F.col("id").alias("a"), F.col("group").alias("b")), rows, width, percent)
+    links = _linked(first.filter(F.col("met") >= _met(F.col("n"), F.col("gn"), percent)).select(F.col("id").alias("a"), F.col("group").alias("b")), rows, width, percent)
     known = components(links)
     part = staged(token.join(known, token["id"] == known["node"], "left").select("token", "id", "n", "group", F.coalesce("component", "id").alias("part")))
     parts = part.groupBy("token", "part").agg(F.count(F.lit(1)).alias("nodes"))
     major = staged(parts.groupBy("token").agg(F.max(F.struct("nodes", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", F.col("top.part").alias("major")))
-    apart = staged(part.join(major, "token"))
-    minor = apart.filter("part <> major").join(opened, "id").select("token", F.col("to").alias("group"), F.col("id").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
-    others = apart.select("token", "group", "major", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"))
+    apart = part.join(major, "token").join(sketches, ["id", "n"])
+    shown = lambda side: (F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("part").alias(f"{side}p"), *(F.col(s).alias(f"{side}{s}") for s in SKETCH))
+    apart = staged(apart)
+    minor = apart.filter("part <> major").join(opened, "id").select("token", F.col("to").alias("group"), *shown("x"))
+    others = apart.select("token", "group", "major", *shown("y"))
     once = (F.col("yp") == F.col("major")) | (F.col("x") < F.col("y"))  # a pair is made once for each token
-    cross = minor.join(others, ["token", "group"]).filter((F.col("xp") != F.col("yp")) & once & _near(F.col("xn"), F.col("yn"), percent))
+    xn, yn = F.col("xn"), F.col("yn")
+    cross = minor.join(others, ["token", "group"]).filter((F.col("xp") != F.col("yp")) & once & _near(xn, yn, percent) & _alike(xn, yn, "x", "y", percent))
     ends = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("xn", "yn").alias("an"), F.greatest("xn", "yn").alias("bn"))
-    pairs = cross.groupBy(*ends).agg(F.count(F.lit(1)).alias("met")).filter(enough((F.col("an"), F.col("bn")))).select("a", "b")
+    pairs = cross.groupBy(*ends).agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= _met(F.col("an"), F.col("bn"), percent)).select("a", "b")
     more = _linked(pairs, rows, width, percent)
     final = components(links.unionByName(more))
     out = ids.join(final, ids["node"] == final["node"], "left")
