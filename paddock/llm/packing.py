@@ -13,9 +13,7 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import zlib
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -29,20 +27,44 @@ CAPACITY = 4096
 
 
 #: A letter of the Latin blocks, then a comma or full stop, then a blank: two pretokens, so a blank between changes no id.
-MARK = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([,.])(?=[ \n])")
+MARK = re.compile("([,.])(?<=[a-z\u00df-\u00f6\u00f8-\u00ff][,.])(?=[ \n])")
+#: A chunk of such letters alone is one pretoken.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: So many of these go to the library as one text.
+JOINED = 256
 
 
 class WordIds:
     """Ids of texts by a tokenizers file that lowers case, drops white space and never joins letters to marks, with the
     ids of frequent chunks kept. Texts are lowered first (unless they hold the one letter whose lower case depends on its place, or what may be a
     control string) and cut
-    at U+0020, at U+000A and before single marks; anything else, other white space included, is left to the library."""
+    at U+0020, at U+000A and before single marks; anything else, other white space included, is left to the library.
+    New chunks of letters alone go to it joined by blanks, and its ids are told apart at those that end a word."""
 
     def __init__(self, path: str, cached: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.cached = Tokenizer.from_file(path), {"": b""}, cached
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The chunks with their ids."""
+        words = list(filter(LETTERS.fullmatch, chunks))
+        single = list(set(chunks).difference(words))
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, ids in zip(groups, self._library([" ".join(g) for g in groups]), strict=True):
+            data, upto = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(upto) == len(group):
+                yield from zip(group, (data[a:b] for a, b in zip([0, *upto], upto, strict=False)), strict=True)
+            else:  # a file without word ends
+                single += group
+        yield from zip(single, (ids.tobytes() for ids in self._library(single)), strict=True)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -50,18 +72,13 @@ class WordIds:
         split = [MARK.sub(r" \1", t).replace("\n", " ").split(" ") for t in lowered]
         known = self.known
         fresh = list(set().union(*split).difference(known))
-        new = dict(zip(fresh, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-        if len(known) < self.cached:
-            known.update((w, b) for w, b in new.items() if len(w) < 64)
-        get = known.get
-        return [b"".join([get(w) or new.get(w, b"") for w in words]) for words in split]
-
-
-def _packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+        room = self.cached - len(known)
+        known.update(self._new(fresh))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for i, chunk in enumerate(fresh):
+            if i >= room or len(chunk) >= 64:
+                del known[chunk]
+        return out
 
 
 _IDS: dict[str, WordIds] = {}
