@@ -1,13 +1,15 @@
 """Operator 9: language-model scoring with an Elias-Fano n-gram trie.
 
 Words are 64-bit hashes. The model is a bigram model with a Dirichlet prior: P(w|v) = (c(vw) + m P0(w)) / (c(v) + m), where
-P0 knows each frequent word's count and spreads the rest of the mass evenly over the rarer words and one unknown.
-
-The trie is cut into shards by context; a shard holds a few monotone sequences in Elias-Fano form (contexts, pointers to
-their successors, successors relative to their context) and the quantised log probability of each successor. All events
-of a context go to its shard once, as packed blocks: there its trie is built from the training events and queried for all
-of them, and only sums a document come back. Contexts so frequent that they would weigh on a shard are cut by successor
-too. So no task holds the model, and the trie grows with the corpus.
+P0(w) = (c(w) + 1) / (n + V + 1) knows the count of every word, and has one unknown.
+
+As in other n-gram tries, pairs are kept with their last word first. The trie is cut into shards by that word; a shard holds
+a few monotone sequences in Elias-Fano form (words, pointers to their contexts, contexts relative to their word) and, of each
+pair, the quantised log of (c(vw) + m P0(w)) / (n + m). All events of a word go to its shard once, as packed blocks: there
+its trie is built from the training events and queried for all of them, and only sums a document come back. The word's own
+count is at hand in its shard, so P0 needs no table; and as each word is a context once too, the other factor of P(w|v),
+(n + m) / (c(v) + m), is summed where v is the last word. Words so frequent that they would weigh on a shard are cut by
+context too. So no task holds the model, and the trie grows with the corpus.
 """
 
 from __future__ import annotations
@@ -22,11 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import staged, tasks
 from .jaccard import Words, mixed
 
-#: Words whose own counts P0 knows, at most: the table sent to every task is bounded by this.
-HEAD = 1 << 16
 #: Tokens of a chunk, the unit that is sorted at once in a task.
 CHUNK = 1_500_000
-#: Levels of the quantised log10 probabilities, and the least of them.
+#: Levels of the quantised log10 probabilities of pairs, and the least of them.
 LEVELS, FLOOR = 1 << 8, -12.0
 BEGIN, END = (np.uint64(mixed(np.array([x], np.uint64))[0]) for x in (0x5EED, 0xE4D))
 _WORDS = Words()
@@ -94,27 +94,27 @@ class EliasFano:
 
 
 class Trie:
-    """A shard: contexts, pointers, successors relative to their context, and quantised log10 probabilities."""
+    """A shard: words, pointers, contexts relative to their word, and quantised log10 probabilities."""
 
-    #: Bits of a successor's hash that are kept within its context.
+    #: Bits of a context's hash that are kept within its word.
     BITS = 40
 
     def __init__(self, buffer):
-        self.contexts, at = EliasFano.view(buffer, 0)
+        self.words, at = EliasFano.view(buffer, 0)
         self.pointers, at = EliasFano.view(buffer, at)
-        self.successors, at = EliasFano.view(buffer, at)
-        self.codes = np.frombuffer(buffer, np.uint8, self.successors.n, at)
+        self.contexts, at = EliasFano.view(buffer, at)
+        self.codes = np.frombuffer(buffer, np.uint8, self.contexts.n, at)
 
     @staticmethod
-    def pack(contexts: np.ndarray, firsts: np.ndarray, context_of: np.ndarray, words: np.ndarray, logs: np.ndarray) -> bytes:
-        """``contexts`` sorted, ``firsts`` their first pairs; pairs sorted by (context, kept bits of the word)."""
+    def pack(words: np.ndarray, firsts: np.ndarray, word_of: np.ndarray, contexts: np.ndarray, logs: np.ndarray) -> bytes:
+        """``words`` sorted, ``firsts`` their first pairs; pairs sorted by (word, kept bits of the context)."""
         codes = np.clip(np.rint(logs / FLOOR * (LEVELS - 1)), 0, LEVELS - 1).astype(np.uint8)
-        relative = (context_of.astype(np.uint64) << np.uint64(Trie.BITS)) | Trie.kept(words)
-        return EliasFano.build(contexts).dump() + EliasFano.build(firsts).dump() + EliasFano.build(relative).dump() + codes.tobytes()
+        relative = (word_of.astype(np.uint64) << np.uint64(Trie.BITS)) | Trie.kept(contexts)
+        return EliasFano.build(words).dump() + EliasFano.build(firsts).dump() + EliasFano.build(relative).dump() + codes.tobytes()
 
     @staticmethod
-    def kept(words: np.ndarray) -> np.ndarray:
-        return words & np.uint64((1 << Trie.BITS) - 1)
+    def kept(contexts: np.ndarray) -> np.ndarray:
+        return contexts & np.uint64((1 << Trie.BITS) - 1)
 
     @staticmethod
     def mapped(blob: bytes) -> Trie:
@@ -123,14 +123,14 @@ class Trie:
         area.write(blob)
         return Trie(area)
 
-    def find(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def find(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Index of each pair, or -1."""
-        if not self.contexts.n:
-            return np.full(len(v), -1)
-        at = np.minimum(self.contexts.successor(v), self.contexts.n - 1)
-        key = (at.astype(np.uint64) << np.uint64(Trie.BITS)) | Trie.kept(w)
-        found = np.minimum(self.successors.successor(key), self.successors.n - 1)
-        return np.where((self.contexts.at(at) == v) & (self.successors.at(found) == key), found, -1)
+        if not self.words.n:
+            return np.full(len(w), -1)
+        at = np.minimum(self.words.successor(w), self.words.n - 1)
+        key = (at.astype(np.uint64) << np.uint64(Trie.BITS)) | Trie.kept(v)
+        found = np.minimum(self.contexts.successor(key), self.contexts.n - 1)
+        return np.where((self.words.at(at) == w) & (self.contexts.at(found) == key), found, -1)
 
     def log10(self, index: np.ndarray) -> np.ndarray:
         return self.codes[index] * (FLOOR / (LEVELS - 1))
@@ -168,55 +168,41 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 class Base:
-    """P0 and the totals of the corpus: bounded by HEAD and by the number of shards."""
+    """The totals of the corpus and the counts of its most frequent words: bounded by the number of shards."""
 
     def __init__(self, counts: DataFrame, shards: int):
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         self.n, self.v = int(total[0]), int(total[1])
-        # the least count of which HEAD words or fewer have at least that much, from a histogram with a few rows a power of two
-        steps = counts.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
-        least, words = None, 0
-        for step, more in steps:
-            words += more
-            if words > HEAD:
-                break
-            least = step
-        head = counts.filter(F.floor(F.log2("n") * 16).cast("int") >= F.lit(least) if least is not None else F.lit(False)).toArrow()
-        h, c = head.column("word").to_numpy().view(np.uint64), head.column("n").to_numpy()
-        end = counts.filter(F.col("word") == int(np.int64(END.view(np.int64)))).first()
-        self.docs = int(end["n"]) if end else 0
-        if END not in h:
-            h, c = np.append(h, END), np.append(c, self.docs)
-        order = np.argsort(h)
-        self.words, self.counts = h[order], c[order]
         self.z = float(self.n + self.v + 1)
-        self.tail = (self.n - self.counts.sum() + max(0, self.v - len(h)) + 1) / (max(0, self.v - len(h)) + 1) / self.z
-        # contexts above a quarter of a shard's mean are cut by successor: there are fewer than four a shard
-        often = self.counts > max(1.0, self.n / shards / 4)
-        often &= self.words != END
-        self.often, self.often_n = np.append(self.words[often], BEGIN), np.append(self.counts[often], self.docs)
-        order = np.argsort(self.often)
-        self.often, self.often_n = self.often[order], self.often_n[order]
-
-    def p0(self, words: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, (self.counts[at] + 1) / self.z, self.tail)
+        end = int(END.view(np.int64))
+        # words above a quarter of a shard's mean are cut by context: there are fewer than four a shard
+        often = counts.filter((F.col("n") > max(1.0, self.n / shards / 4)) | (F.col("word") == end)).toArrow()
+        words, n = often.column("word").to_numpy().view(np.uint64), often.column("n").to_numpy()
+        if END not in words:
+            words, n = np.append(words, END), np.append(n, 0)
+        order = np.argsort(words)
+        self.often, self.often_n = words[order], n[order]
+        self.docs = int(self.often_n[self.often == END][0])
+
+    def p0(self, counts: np.ndarray) -> np.ndarray:
+        """P0 of words of these counts."""
+        return (counts + 1) / self.z
 
     def often_at(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.often, words), len(self.often) - 1)
         return np.where(self.often[at] == words, at, -1)
 
 
-def _shard_of(v: np.ndarray, w: np.ndarray, base: Base, shards: int) -> np.ndarray:
-    key = np.where(base.often_at(v) >= 0, mixed(v * np.uint64(31) + w), v)
+def _shard_of(w: np.ndarray, v: np.ndarray, base: Base, shards: int) -> np.ndarray:
+    key = np.where(base.often_at(w) >= 0, mixed(w * np.uint64(31) + v), w)
     return ((mixed(key) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
-BLOCK = "shard int, chunk long, train int, ids binary, held binary, sizes binary, vs binary, vn binary, ws binary, wn binary, ds binary"
+BLOCK = "shard int, chunk long, train int, ids binary, held binary, sizes binary, ws binary, wn binary, vs binary, vn binary, ds binary"
 
 
 def _blocks(rows: DataFrame, sent, shards: int) -> DataFrame:
-    """A row a (chunk, shard): its distinct pairs by context, and the documents of each event; the chunk's list of
+    """A row a (chunk, shard): its distinct pairs by last word, and the documents of each event; the chunk's list of
     documents goes with one of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,21 +214,21 @@ def _blocks(rows: DataFrame, sent, shards: int) -> DataFrame:
             w = np.concatenate([np.append(x, END) for x in words])
             v = np.concatenate([np.append(BEGIN, x) for x in words])
             d = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
-            shard = _shard_of(v, w, base, shards)
-            order = np.lexsort((w, v, shard))
+            shard = _shard_of(w, v, base, shards)
+            order = np.lexsort((v, w, shard))
             shard, v, w, d = shard[order], v[order], w[order], d[order]
             new = np.ones(len(v), bool)
             new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (shard[1:] != shard[:-1])
             pair = np.flatnonzero(new)
-            wn = np.diff(np.append(pair, len(v))).astype(np.uint32)
+            vn = np.diff(np.append(pair, len(v))).astype(np.uint32)
             pv, pw, ps = v[pair], w[pair], shard[pair]
-            newv = np.ones(len(pair), bool)
-            newv[1:] = (pv[1:] != pv[:-1]) | (ps[1:] != ps[:-1])
-            ctx = np.flatnonzero(newv)
-            vn = np.diff(np.append(ctx, len(pair))).astype(np.uint32)
+            neww = np.ones(len(pair), bool)
+            neww[1:] = (pw[1:] != pw[:-1]) | (ps[1:] != ps[:-1])
+            last = np.flatnonzero(neww)
+            wn = np.diff(np.append(last, len(pair))).astype(np.uint32)
             small = d.astype(np.uint16) if len(ids) < 1 << 16 else d
             at = np.arange(shards + 1)
-            e, p, c = np.searchsorted(shard, at), np.searchsorted(ps, at), np.searchsorted(ps[ctx], at)
+            e, p, c = np.searchsorted(shard, at), np.searchsorted(ps, at), np.searchsorted(ps[last], at)
             chunk = (part << 24) | number
             home = chunk % shards
             for s in range(shards):
@@ -253,8 +239,8 @@ def _blocks(rows: DataFrame, sent, shards: int) -> DataFrame:
                     "shard": s, "chunk": chunk, "train": len(held) - sum(held),
                     "ids": pa.array(ids, pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() if listed else None,
                     "held": np.array(held, np.uint8).tobytes() if listed else None, "sizes": sizes.astype(np.int64).tobytes() if listed else None,
-                    "vs": pv[ctx[c[s] : c[s + 1]]].tobytes(), "vn": vn[c[s] : c[s + 1]].tobytes(), "ws": pw[p[s] : p[s + 1]].tobytes(),
-                    "wn": wn[p[s] : p[s + 1]].tobytes(), "ds": small[e[s] : e[s + 1]].tobytes(),
+                    "ws": pw[last[c[s] : c[s + 1]]].tobytes(), "wn": wn[c[s] : c[s + 1]].tobytes(), "vs": pv[p[s] : p[s + 1]].tobytes(),
+                    "vn": vn[p[s] : p[s + 1]].tobytes(), "ds": small[e[s] : e[s + 1]].tobytes(),
                 }], schema=_BLOCK_SCHEMA)
 
     return rows.mapInArrow(run, BLOCK)
@@ -266,47 +252,46 @@ _BLOCK_SCHEMA = pa.schema([pa.field(n, {"int": pa.int32(), "long": pa.int64(), "
 def _score_shard(table: pa.Table, base: Base, prior: float, keep: bool) -> list[dict]:
     """Builds the shard's trie from its training events and sums up what it says of all events, a document at a time."""
     blocks = table.to_pylist()
-    v = [np.repeat(np.frombuffer(b["vs"], np.uint64), np.frombuffer(b["vn"], np.uint32)) for b in blocks]
-    w = [np.frombuffer(b["ws"], np.uint64) for b in blocks]
-    n = [np.frombuffer(b["wn"], np.uint32).astype(np.int64) for b in blocks]
+    w = [np.repeat(np.frombuffer(b["ws"], np.uint64), np.frombuffer(b["wn"], np.uint32)) for b in blocks]
+    v = [np.frombuffer(b["vs"], np.uint64) for b in blocks]
+    n = [np.frombuffer(b["vn"], np.uint32).astype(np.int64) for b in blocks]
     d = [np.frombuffer(b["ds"], np.uint16 if len(b["ds"]) == 2 * x.sum() else np.uint32) for b, x in zip(blocks, n, strict=True)]
     of = [np.repeat(np.arange(len(x)), x) for x in n]  # the pair of each event
     trained = [np.bincount(o, weights=docs < b["train"], minlength=len(x)).astype(np.int64) for o, docs, b, x in zip(of, d, blocks, n, strict=True)]
-    av, aw, ac = (np.concatenate(x) for x in (v, w, trained))
+    aw, av, ac = (np.concatenate(x) for x in (w, v, trained))
     some = ac > 0
-    av, aw, ac = av[some], aw[some], ac[some]
-    order = np.lexsort((Trie.kept(aw), av))
-    av, aw, ac = av[order], aw[order], ac[order]
-    new = np.ones(len(av), bool)
-    new[1:] = (av[1:] != av[:-1]) | (Trie.kept(aw[1:]) != Trie.kept(aw[:-1]))
+    aw, av, ac = aw[some], av[some], ac[some]
+    order = np.lexsort((Trie.kept(av), aw))
+    aw, av, ac = aw[order], av[order], ac[order]
+    new = np.ones(len(aw), bool)
+    new[1:] = (aw[1:] != aw[:-1]) | (Trie.kept(av[1:]) != Trie.kept(av[:-1]))
     first = np.flatnonzero(new)
-    pv, pw, pc = av[first], aw[first], np.add.reduceat(ac, first) if len(first) else ac
-    newv = np.ones(len(pv), bool)
-    newv[1:] = pv[1:] != pv[:-1]
-    firsts = np.flatnonzero(newv)
-    contexts, context_of = pv[firsts], np.cumsum(newv) - 1
+    pw, pv, pc = aw[first], av[first], np.add.reduceat(ac, first) if len(first) else ac
+    neww = np.ones(len(pw), bool)
+    neww[1:] = pw[1:] != pw[:-1]
+    firsts = np.flatnonzero(neww)
+    words, word_of = pw[firsts], np.cumsum(neww) - 1
     totals = np.add.reduceat(pc, firsts) if len(firsts) else pc
-    often = base.often_at(contexts)
-    totals = np.where(often >= 0, base.often_n[often], totals)  # a frequent context has more in other shards
-    logs = np.log10((pc + prior * base.p0(pw)) / (totals[context_of] + prior))
-    blob = Trie.pack(contexts, firsts, context_of, pw, logs)
+    often = base.often_at(words)
+    totals = np.where(often >= 0, base.often_n[often], totals)  # a frequent word has more in other shards
+    logs = np.log10((pc + prior * base.p0(totals[word_of])) / (base.n + prior))
+    blob = Trie.pack(words, firsts, word_of, pv, logs)
     trie = Trie.mapped(blob)
     out = [{"chunk": -1, "trie": blob}] if keep else []
-    for b, bv, bw, docs, o in zip(blocks, v, w, d, of, strict=True):
+    for b, bw, bv, docs, o in zip(blocks, w, v, d, of, strict=True):
         nd = int(docs.max()) + 1 if len(docs) else 0
-        at = np.minimum(np.searchsorted(contexts, bv), max(len(contexts) - 1, 0))
-        known = np.where(contexts[at] == bv, totals[at], 0) if len(contexts) else np.zeros(len(bv), np.int64)
-        frequent = base.often_at(bv)
+        at = np.minimum(np.searchsorted(words, bw), max(len(words) - 1, 0))
+        known = np.where(words[at] == bw, totals[at], 0) if len(words) else np.zeros(len(bw), np.int64)
+        frequent = base.often_at(bw)
         known = np.where(frequent >= 0, base.often_n[frequent], known)
-        found = trie.find(bv, bw)
-        unseen = np.log10(prior * base.p0(bw) / (known + prior))
-        log = np.where(found >= 0, trie.log10(np.maximum(found, 0)), unseen) if len(pv) else unseen
-        word = bv != BEGIN  # each word is a context once: its own count is at hand there
-        unigram = np.where(word, np.log10((known + 1) / base.z), 0)
+        found = trie.find(bw, bv)
+        unseen = np.log10(prior * base.p0(known) / (base.n + prior))
+        log = np.where(found >= 0, trie.log10(np.maximum(found, 0)), unseen) if len(pw) else unseen
+        context = np.where(bw != END, np.log10((base.n + prior) / (known + prior)), 0)  # each word but the end is a context once
         out.append({
             "chunk": b["chunk"], "ids": b["ids"], "held": b["held"], "sizes": b["sizes"],
-            "base": np.bincount(docs, unigram[o], nd).tobytes(), "score": np.bincount(docs, log[o], nd).tobytes(),
-            "known": np.bincount(docs, (word & (known > 0))[o], nd).astype(np.uint32).tobytes(),
+            "base": np.bincount(docs, np.log10(base.p0(known))[o], nd).tobytes(), "score": np.bincount(docs, (log + context)[o], nd).tobytes(),
+            "known": np.bincount(docs, (known > 0)[o], nd).astype(np.uint32).tobytes(),
         })
     return out
 
@@ -343,11 +328,11 @@ def score(docs: DataFrame, held_out, prior: float = 30.0, id_col: str = "doc_id"
                 more = np.frombuffer(p[k], np.uint32 if k == "known" else np.float64)
                 s[: len(more)] += more
         b = sent.value
-        end = np.log10((b.docs + 1) / b.z)
+        begin = np.log10((b.n + prior) / (b.docs + prior))  # the one context that is never a last word
         null = ids == -(2**63)
         return pa.table({
             "id": pa.array(ids, pa.int64(), mask=null), "held_out": pa.array(held.astype(bool)), "n_tokens": sizes,
-            "n_known": sums["known"].astype(np.int64) + (b.docs > 0), "train_tokens": np.full(len(ids), b.n), "base_score": sums["base"] + end, "score": sums["score"],
+            "n_known": sums["known"].astype(np.int64), "train_tokens": np.full(len(ids), b.n), "base_score": sums["base"], "score": sums["score"] + begin,
         })
 
     sums = _blocks(rows, sent, shards).groupBy("shard").applyInArrow(one, SUMS)

@@ -292,6 +292,26 @@ def test_lm(spark):
     assert lm.score(docs_of(spark, rows).limit(0), lambda c: c % 5 == 0).count() == 0
 
 
+def test_lm_knows_every_word(spark):
+    """P0 has the count of each word of a large vocabulary, however many there are."""
+    often, once = [f"a{i}" for i in range(66_000)], [f"b{i}" for i in range(66_000)]
+    rows = [(k, " ".join(often[(k + 1) * i % 66_000] for i in range(66_000))) for k in (0, 6, 12, 16, 18, 22, 28, 30)] + [(40, " ".join(once))]
+    held = {101: once[::-7][:300], 102: often[::-7][:300], 103: ["new", once[5], "newer", often[3]] * 20}
+    counts, pairs, after = Counter(), Counter(), Counter()
+    for _, text in rows:
+        words = text.split()
+        counts.update([*words, ">"])
+        pairs.update(zip(["<", *words], [*words, ">"], strict=True))
+        after.update(["<", *words])
+    z = sum(counts.values()) + len(counts) + 1
+    frame = spark.createDataFrame([*rows, *((i, " ".join(words)) for i, words in held.items())], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(frame, lambda c: c > 100).filter("held_out").collect()}
+    assert set(got) == set(held)
+    for i, words in held.items():
+        wanted = sum(math.log10((pairs[a, b] + 30 * (counts[b] + 1) / z) / (after[a] + 30)) for a, b in zip(["<", *words], [*words, ">"], strict=True))
+        assert abs(got[i] - wanted) <= 0.03 * (len(words) + 1), i
+
+
 def test_lm_beats_base_on_held_out(spark):
     held = queries.op9_lm_scoring(spark, SF).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
