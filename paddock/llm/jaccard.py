@@ -193,24 +193,27 @@ def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, members array<long>")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """``node, component``: the smallest node that each end of an edge ``(a, b)`` reaches; least labels with pointer jumping.
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component``: the smallest node that each end of an edge ``(a, b)`` reaches; least labels with hooking and pointer jumping.
 
-    A node's label is the least of its own and its neighbours', then its label's label, until nothing changes. Labels are
-    staged each round; ends with a third of all edges are partially aggregated.
+    A node takes the least of its own label and its neighbours', its label's node takes the least that it finds this way (so
+    trees hook onto lower ones as a whole, and a chain needs rounds by the log of its length), then each label becomes its
+    label's label. Labels only fall, so this ends; it goes on until nothing changes. Labels are staged each round; ends
+    with a third of all edges are partially aggregated.
     """
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"], "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        lower = staged(lower)
+        found = labels.join(near, labels["node"] == near["a"], "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
+        found = staged(found)
+        hooks = found.groupBy(F.col("component").alias("root")).agg(F.min("low").alias("hook"))
+        lower = staged(found.join(hooks, found["node"] == hooks["root"], "left").select("node", "component", F.least("low", F.coalesce("hook", "low")).alias("low")))
         up = lower.select(F.col("node").alias("up"), F.col("low").alias("jump"))
         labels = staged(lower.join(up, lower["low"] == up["up"], "left").select("node", F.coalesce("jump", "low").alias("component"), (F.coalesce("jump", "low") != lower["component"]).alias("moved")))
         if labels.filter("moved").isEmpty():
             return labels.select("node", "component")
         labels = labels.select("node", "component")
-    raise RuntimeError("components did not settle")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

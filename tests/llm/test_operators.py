@@ -95,6 +95,16 @@ def test_jaccard_over_documents(spark):
     assert got == {d: (len(texts[d]), root(d)) for d in ids}
 
 
+def test_jaccard_long_chains(spark):
+    """Successive revisions, each linked only to the next: falling ids after the least, and ids at random."""
+    n = 200
+    falling, shuffled = [0, *range(n - 1, 0, -1)], random.Random(4).sample(range(1000, 1000 + n), n)
+    text = lambda c, i: " ".join(f"{c}{k}" for k in range(10 * i, 10 * i + 100))
+    rows = [(node, text(c, i)) for c, ids in (("x", falling), ("y", shuffled)) for i, node in enumerate(ids)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {node: 0 if node < 1000 else 1000 for node, _ in rows}
+
+
 def test_token_counts(spark):
     rows = awkward()
     library = Tokenizer.from_file(BYTE)
