@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import staged
 
+#: The share of a host's pages above which a line is boilerplate: text that a host writes anew is seldom on one page in fifty.
+RATIO = 0.02
+
 
 def _line(c: Column) -> Column:
     """A line as it is compared: without blanks, tabs and carriage returns at its ends."""
@@ -21,7 +24,7 @@ def _host(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
 
 
-def boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = 5, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """``__host, __boiler``: per host, the keys of the lines that more than ``ratio`` of its pages contain, at least ``min_pages``.
 
     A page counts once for a line, so a host has fewer than (mean distinct lines a page) / ``ratio`` such lines: the array
@@ -36,7 +39,7 @@ def boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, host_co
     return common.groupBy("__host").agg(F.collect_set("__key").alias("__boiler"))
 
 
-def dedup_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = 5, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` without the boilerplate lines of each host, and ``lines_dropped``, how many went (int).
 
     The first scan counts, the second rewrites; the documents themselves are never shuffled unless the table of hosts
