@@ -512,9 +512,9 @@ def predict_pairs(spark, sf):
 
 @query()
 def train_models(spark, sf):
-    """Regression and classification with few rounds: the figures of cross-validation."""
+    """Regression and classification: the figures of cross-validation."""
     rows = breeding.training_rows(a.ratings(spark, sf), a.family(spark, sf))
-    made = breeding.train(rows, rounds=3, folds=2)
+    made = breeding.train(rows)
     figures = made[2] if made else {"cv_r2_score": None, "cv_auc_poor": None, "n_samples": 0}
     return spark.createDataFrame([(figures["cv_r2_score"], figures["cv_auc_poor"], figures["n_samples"])], "cv_r2_score double, cv_auc_poor double, n_samples long")
 

@@ -1,5 +1,7 @@
 """Every query that SQL can express gives the oracle's rows."""
 
+import inspect
+
 import pytest
 
 import __spark_entry__ as contract
@@ -29,6 +31,20 @@ def test_rest_stands_alone():
             assert "llm" not in file.read_text(), file
 
 
+def test_models_are_trained_whole(spark, monkeypatch):
+    """The query trains with the operator's defaults: 150 rounds and 5 folds, as in the reference."""
+    train, asked = catalogue.breeding.train, []
+
+    def told(*args, **kwargs):
+        bound = inspect.signature(train).bind(*args, **kwargs)
+        bound.apply_defaults()
+        asked.append(bound.arguments)
+
+    monkeypatch.setattr(catalogue.breeding, "train", told)
+    catalogue.QUERIES["train_models"](spark, SF)
+    assert [(a["rounds"], a["folds"], a["depth"], a["rate"]) for a in asked] == [(150, 5, 3, 0.08)]
+
+
 def test_html_rows(spark):
     rows = catalogue.QUERIES["html_table_rows"](spark, SF)
     assert rows.count() > 0
