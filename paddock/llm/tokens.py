@@ -122,14 +122,16 @@ class PrefixCounter:
 
     def deltas(self, text: str) -> bytes:
         """One signed byte a byte of UTF-8: how the count changes when the prefix grows by that byte."""
-        if self.special_split is not None and (found := self.special_split.search(text)):
+        out, at = [], 0
+        for found in self.special_split.finditer(text) if self.special_split is not None else ():
             token = found.group().encode()
-            upto = self.deltas_plain(text[: found.end()])
-            before = self.deltas_plain(text[: found.start()])
+            upto = self.deltas_plain(text[at : found.end()])
+            before = self.deltas_plain(text[at : found.start()])
             seen = np.frombuffer(upto, np.int8)[: len(before) + len(token) - 1].astype(np.int64)
             close = int(np.frombuffer(before, np.int8).sum(dtype=np.int64)) + 1 - int(seen.sum())
-            return upto[: len(seen)] + np.int8(close).tobytes() + self.deltas(text[found.end() :])
-        return self.deltas_plain(text)
+            out.append(upto[: len(seen)] + np.int8(close).tobytes())
+            at = found.end()
+        return b"".join([*out, self.deltas_plain(text[at:])])
 
     def deltas_plain(self, text: str) -> bytes:
         known, out = self.known, []

@@ -125,6 +125,13 @@ def test_token_counts(spark):
                     assert tokens.count_at(bytes(r.prefix_deltas), k) == len(library.encode(prefix, add_special_tokens=False).ids), (r.doc_id, k)
 
 
+def test_token_counts_of_many_special_strings():
+    text = "some text <|endoftext|> more  " * 3000
+    deltas = tokens.counter(BYTE).deltas(text)
+    assert len(deltas) == len(text)
+    assert tokens.count_at(deltas) == len(Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids)
+
+
 def test_packing(spark):
     rows = awkward()
     library = Tokenizer.from_file(LOWER)
