@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .vectors import Best, Tree, best_first, search
+from .vectors import Best, Shard, best_first, search
 
 
 @lru_cache
@@ -59,38 +59,29 @@ def nearest(rows: DataFrame, is_query, k: int = 5, m: int = 8, p: float = 0.97,
     """
     enough = chi_square_quantile(p, m)
 
-    class Shard:
-        def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-            some = np.any(vectors != 0, axis=1)
-            ids, vectors = ids[some], _scaled(vectors[some])
-            self.empty = not len(vectors)
-            if not self.empty:
-                unit = vectors / _norms(vectors)[:, None]
-                self.tree = Tree(unit @ directions(vectors.shape[1], m, seed))
-                self.vectors, self.ids = vectors[self.tree.order], ids[self.tree.order]
-                self.norms = _norms(self.vectors)
+    def points_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = np.any(vectors != 0, axis=1)
+        kept = _scaled(vectors[some])
+        return some, (kept / _norms(kept)[:, None]) @ directions(vectors.shape[1], m, seed)
 
     def probe(shard: Shard, q_ids: np.ndarray, queries: np.ndarray, bests: list[Best]) -> None:
-        if shard.empty:
-            return
-        tree = shard.tree
-        queries = _scaled(queries)
-        norms = _norms(queries)
+        vectors, queries = _scaled(shard.vectors), _scaled(queries)
+        lengths, norms = _norms(vectors), _norms(queries)
         for q, norm, own, best in zip(queries, norms, q_ids.tolist(), bests, strict=True):
             if norm == 0:
                 continue
             at = (q / norm) @ directions(len(q), m, seed)
-            gap = np.maximum(np.maximum(tree.lo - at, at - tree.hi), 0)
+            gap = np.maximum(np.maximum(shard.lo - at, at - shard.hi), 0)
             bounds = -(gap * gap).sum(1)
 
             def visit(a: int, b: int, q=q, norm=norm, own=own, best=best) -> None:
-                cosines = (shard.vectors[a:b] * q).sum(1) / (shard.norms[a:b] * norm)  # one order of summation for all rows: copies tie
+                cosines = (vectors[a:b] * q).sum(1) / (lengths[a:b] * norm)  # one order of summation for all rows: copies tie
                 other = shard.ids[a:b] != own
                 best.add(cosines[other], shard.ids[a:b][other])
 
             def done(bound: float, best=best) -> bool:  # -bound: the squared projected distance reached
                 return -bound > enough * max(2 - 2 * best.kth(), 0) + 1e-9
 
-            best_first(tree, bounds, visit, lambda bound, node: False, done)
+            best_first(shard, bounds, visit, lambda bound, node: False, done)
 
-    return search(rows, is_query, k, Shard, probe, "double", id_col, vec_col)
+    return search(rows, is_query, k, points_of, probe, "double", id_col, vec_col)

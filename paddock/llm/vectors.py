@@ -1,8 +1,9 @@
 """Vectors in shards and queries in blocks: what operators 7 and 10 share.
 
 Shards are runs of rows as they are read, packed as matrices without a shuffle, so copies of a vector or an id spread as
-rows do. A stated query set is packed into blocks; each block meets each shard of the same dimension once, on a salted
-key, and keeps its best results from shard to shard, which bounds the search of the next. Only results are merged by query.
+rows do. Each shard's tree is built once and stored with it. A stated query set is packed into blocks. Cells of a bounded
+number of shards meet cells of a bounded number of blocks; there each query keeps its best results from shard to shard,
+which bounds the search of the next. Only results are merged by query.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from pyspark.sql.window import Window
 from .common import staged, tasks
 
 SHARD_ROWS, BLOCK_ROWS, LEAF = 2048, 1024, 64
+#: Shards and blocks that meet in one task at most, about: some tens of MB of either.
+CELL_SHARDS, CELL_BLOCKS = 64, 16
 PACKED = "dim int, ids binary, data binary"
+TREED = PACKED + ", points binary, span binary, kids binary, lo binary, hi binary"
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -61,46 +65,56 @@ class Tree:
 
     def __init__(self, points: np.ndarray):
         self.order = np.arange(len(points))
-        self.span, self.kids, lo, hi = [], [], [], []
+        span, kids, lo, hi = [], [], [], []
         todo = [(0, len(points), None)]
         while todo:
             a, b, parent = todo.pop()
             part = points[self.order[a:b]]
-            node = len(self.span)
-            self.span.append((a, b))
-            self.kids.append([-1, -1])
+            node = len(span)
+            span.append((a, b))
+            kids.append([-1, -1])
             lo.append(part.min(0))
             hi.append(part.max(0))
             if parent is not None:
-                self.kids[parent[0]][parent[1]] = node
+                kids[parent[0]][parent[1]] = node
             side = hi[-1] - lo[-1]
             if b - a > LEAF and side.max() > 0:
                 mid = (b - a) // 2
                 self.order[a:b] = self.order[a:b][np.argpartition(part[:, int(side.argmax())], mid)]
                 todo += [(a, a + mid, (node, 0)), (a + mid, b, (node, 1))]
+        self.span, self.kids = np.array(span, np.int32), np.array(kids, np.int32)
         self.lo, self.hi = np.array(lo), np.array(hi)
 
 
+class Shard:
+    """Rows in the order of their tree: ``ids``, ``vectors`` as they came, the ``points`` that the tree is over, and the tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, span: np.ndarray, kids: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        self.ids, self.vectors, self.points, self.lo, self.hi = ids, vectors, points, lo, hi
+        self.span, self.kids = span.tolist(), kids.tolist()
+
+
 class Best:
-    """The k best (score, id) of one query so far: highest score, then smallest id."""
+    """The k best (score, id) of one query so far: highest score, then smallest id. Scores are doubles, 64-bit or whole Python numbers."""
 
     __slots__ = ("k", "scores", "ids")
 
     def __init__(self, k: int):
-        self.k, self.scores, self.ids = k, np.empty(0), np.empty(0, np.int64)
+        self.k, self.scores, self.ids = k, None, np.empty(0, np.int64)
 
-    def kth(self) -> float:
-        return self.scores[-1] if len(self.scores) == self.k else -np.inf
+    def kth(self):
+        return self.scores[-1] if len(self.ids) == self.k else -np.inf
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = scores >= self.kth()
         if keep.any():
-            scores, ids = np.concatenate([self.scores, scores[keep]]), np.concatenate([self.ids, ids[keep]])
-            first = np.lexsort((ids, -scores))[: self.k]
+            scores, ids = scores[keep], np.concatenate([self.ids, ids[keep]])
+            scores = scores if self.scores is None else np.concatenate([self.scores, scores])
+            first = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])) if scores.dtype == object else np.lexsort((ids, -scores)))[: self.k]
             self.scores, self.ids = scores[first], ids[first]
 
 
-def best_first(tree: Tree, bounds: np.ndarray, visit: Callable[[int, int], None], skip: Callable[[float, int], bool], done: Callable[[float], bool]) -> None:
+def best_first(tree: Shard, bounds: np.ndarray, visit: Callable[[int, int], None], skip: Callable[[float, int], bool], done: Callable[[float], bool]) -> None:
     """Opens nodes by falling bound (one a node) until ``done(bound)``, without those to ``skip``; ``visit`` gets the slice of each leaf."""
     heap = [(-bounds[0], 0)]
     while heap:
@@ -117,46 +131,71 @@ def best_first(tree: Tree, bounds: np.ndarray, visit: Callable[[int, int], None]
             heapq.heappush(heap, (-bounds[right], right))
 
 
-def search(rows: DataFrame, is_query, k: int, shard: Callable[[np.ndarray, np.ndarray], object], probe: Callable[[object, np.ndarray, np.ndarray, list[Best]], None], score_type: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _treed(shards: DataFrame, points_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Each shard with its tree over ``points_of(vectors)``, which also says which rows take part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for dim, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                vectors = np.frombuffer(data).reshape(-1, dim)
+                some, points = points_of(vectors)
+                if some.any():
+                    tree = Tree(points)
+                    order = np.flatnonzero(some)[tree.order]
+                    parts = (np.frombuffer(ids, np.int64)[order], vectors[order], points[tree.order], tree.span, tree.kids, tree.lo, tree.hi)
+                    out.append((dim, *(p.tobytes() for p in parts)))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], [c.split()[0] for c in TREED.split(", ")])
+
+    return shards.mapInArrow(run, TREED)
+
+
+def _read(row: dict) -> Shard:
+    n = len(row["ids"]) // 8
+    m = len(row["span"]) // 8
+    span, kids = (np.frombuffer(row[c], np.int32).reshape(m, 2) for c in ("span", "kids"))
+    vectors, points = (np.frombuffer(row[c]).reshape(n, -1) for c in ("data", "points"))
+    lo, hi = (np.frombuffer(row[c]).reshape(m, -1) for c in ("lo", "hi"))
+    return Shard(np.frombuffer(row["ids"], np.int64), vectors, points, span, kids, lo, hi)
+
+
+def search(rows: DataFrame, is_query, k: int, points_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], probe: Callable[[Shard, np.ndarray, np.ndarray, list[Best]], None], score_type: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, <id_col>, score``: the k best of each query over all shards.
 
-    ``shard(ids, matrix)`` prepares a shard; ``probe(shard, query ids, queries, bests)`` adds its results. An id that
-    occurs in more rows is one query (its smallest vector) and no candidate of itself.
+    ``points_of(matrix)`` says which rows take part and what the tree is over; ``probe(shard, query ids, queries, bests)``
+    adds a shard's results. An id that occurs in more rows is one query (its smallest vector) and no candidate of itself.
     """
     spark = rows.sparkSession
     fine = usable(rows, id_col, vec_col)
     asked = fine.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec"))
-    n = asked.count()
-    salts = 2 * tasks(spark)
-    asked = asked.repartition(max(1, -(-n // BLOCK_ROWS)), "id")
-    blocks = staged(packed(asked, BLOCK_ROWS).withColumn("block", F.monotonically_increasing_id()))
-    spread = blocks.select("block", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q_salt"))
-    shards = packed(fine, SHARD_ROWS).withColumn("salt", F.pmod(F.monotonically_increasing_id() + 31 * F.spark_partition_id(), F.lit(salts)).cast("int"))
-    met = shards.join(spread, (F.col("dim") == F.col("q_dim")) & (F.col("salt") == F.col("q_salt"))).select("block", "dim", "q_ids", "q_data", "ids", "data")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray, list[Best]]] = {}
-
-        def told() -> pa.RecordBatch:
-            out = [(q, i, s) for qs, _, bests in held.values() for q, b in zip(qs.tolist(), bests, strict=True) for i, s in zip(b.ids.tolist(), b.scores.tolist(), strict=True)]
-            held.clear()
-            kind = pa.int64() if score_type == "long" else pa.float64()
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            scores = [int(s) for s in cols[2]] if score_type == "long" else list(cols[2])
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(scores, kind)], ["query_id", "cand_id", "score"])
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, dim, q_ids, q_data, ids, data = (batch.column(c)[row].as_py() for c in range(6))
-                if block not in held:
-                    if len(held) >= 16:
-                        yield told()
-                    qs = np.frombuffer(q_ids, np.int64)
-                    held[block] = (qs, np.frombuffer(q_data).reshape(-1, dim), [Best(k) for _ in qs])
-                prepared = shard(np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim))
-                probe(prepared, *held[block])
-        yield told()
-
-    found = met.mapInArrow(run, f"query_id long, cand_id long, score {score_type}")
+    asked = staged(asked)
+    blocks = staged(packed(asked.repartition(max(1, -(-asked.count() // BLOCK_ROWS)), "id"), BLOCK_ROWS))
+    shards = staged(_treed(packed(fine, SHARD_ROWS), points_of))
+    n = shards.count()
+    salts = max(-(-n // CELL_SHARDS), min(n, 2 * tasks(spark)), 1)
+    groups = max(-(-blocks.count() // CELL_BLOCKS), 1)
+    dealt = lambda cells: F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")
+    every = lambda cells: F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    left = shards.withColumn("salt", dealt(salts)).withColumn("block", every(groups))
+    right = blocks.withColumn("block", dealt(groups)).withColumn("salt", every(salts))
+
+    def run(some: pa.Table, asking: pa.Table) -> pa.Table:
+        trees = [_read(r) for r in some.to_pylist()]
+        out: list[list] = [[], [], []]
+        for block in asking.to_pylist() if trees else ():
+            ids = np.frombuffer(block["ids"], np.int64)
+            queries, bests = np.frombuffer(block["data"]).reshape(-1, block["dim"]), [Best(k) for _ in ids]
+            for tree in trees:
+                probe(tree, ids, queries, bests)
+            for q, best in zip(ids.tolist(), bests, strict=True):
+                out[0] += [q] * len(best.ids)
+                out[1] += best.ids.tolist()
+                out[2] += [] if best.scores is None else best.scores.tolist()
+        scores = pa.array([max(-(2**63), min(2**63 - 1, int(s))) for s in out[2]], pa.int64()) if score_type == "long" else pa.array(out[2], pa.float64())
+        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), scores], ["query_id", "cand_id", "score"])
+
+    cell = ["dim", "salt", "block"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, f"query_id long, cand_id long, score {score_type}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id")))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("cand_id").alias(id_col), "score")
