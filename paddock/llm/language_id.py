@@ -2,10 +2,10 @@
 
 For each row and language the log posterior adds up
   - the text: a naive Bayes model over hashed character trigrams, tempered because trigrams overlap;
-  - the declared markup language and the address suffix: how often each language comes with them, from grouped
-    aggregation of the text posteriors over all rows;
-  - the prior of the row's host: shrunk towards its site, then its suffix, then all rows, each from grouped sums of the
-    posteriors without the row's own.
+  - the declared markup language and the address suffix: how often each comes with a language, from grouped aggregation of
+    the text posteriors over all rows;
+  - the prior of the row's host: shrunk towards its site, then all rows, each from grouped sums of the posteriors.
+Sums leave the row's own posterior out. Evidence that a row lacks says nothing.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import staged
 
 BUCKET_BITS = 16
-#: Labelled rows that the text model is fitted on, about and at most: a bounded sample, chosen by the hash of the text.
-SAMPLE_ROWS = 20_000
+#: Distinct labelled texts of each language that the text model is fitted on, about and at most: a bounded sample.
+SAMPLE_TEXTS = 5_000
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -57,12 +57,21 @@ class TextModel:
         return sums.tolist(), len(at)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, temper: float = 0.25) -> TextModel:
-    """Trigram counts by language over at most about ``sample_rows`` labelled rows, add-half smoothed. Rows without a text or a label don't count."""
+def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """``text, lang``: of each language about ``sample_texts`` distinct texts, all if it has fewer, each once.
+
+    Texts are drawn by a 64-bit hash against a share of the language's own number of distinct texts, which is estimated
+    within a few percent; so a rare language keeps its texts, and however often a text occurs it counts as one.
+    """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null and lang <> ''")
-    n = rows.count()
-    share = min(1.0, sample_rows / max(1, n))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    share = rows.groupBy("lang").agg((F.lit(float(sample_texts)) / F.approx_count_distinct("hash", 0.02)).alias("share"))  # a row a language
+    drawn = rows.join(share, "lang").filter((F.col("hash") / F.lit(2.0**64) + 0.5) < F.col("share"))
+    return drawn.dropDuplicates(["lang", "hash"]).select("text", "lang")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, temper: float = 0.25) -> TextModel:
+    """Trigram counts by language over the ``sample`` of labelled texts, add-half smoothed. Rows without a text or a label don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -77,7 +86,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(s[at])], ["lang", "bucket", "n"])
 
     # at most 2^BUCKET_BITS rows a language, whatever the corpus
-    counts = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    counts = sample(labelled, text_col, lang_col, sample_texts).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(counts["lang"].unique().tolist())
     table = np.full((1 << BUCKET_BITS, len(languages)), 0.5)
     for k, lang in enumerate(languages):
@@ -105,14 +114,14 @@ def _less(a: Column, b: Column) -> Column:
 def identify(rows: DataFrame, model: TextModel, host_col: str | None = None, markup_col: str | None = None, suffix_col: str | None = None, site_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", strength: float = 20.0, least: float = 0.35) -> DataFrame:
     """One row a row of ``rows``: ``<id_col>, language, probability, text_language, trigrams, accepted``.
 
-    ``host_col`` and the wider ``site_col`` (null: the suffix alone) group rows for the prior; ``markup_col`` and
-    ``suffix_col`` are evidence. Columns not given are taken as null. ``strength`` is how many rows a wider group's view
-    weighs. A row is accepted when it has letters and its best language a probability of at least ``least``.
+    ``host_col`` and the wider ``site_col`` group rows for the prior; ``markup_col`` and ``suffix_col`` are evidence.
+    Columns not given are taken as null. ``strength`` is how many rows a wider group's view weighs. A row is accepted when
+    it has letters and its best language a probability of at least ``least``.
 
     Group sums are partially aggregated, so a host with a third of all rows is a row a task in the shuffle; their tables
     are joined back by broadcast only while small. Null and empty texts have no trigrams: the other evidence decides,
-    and they are not accepted; null evidence is a value of its own; repeated rows count each and stay; texts are taken
-    whole; an empty table gives an empty result; other columns are ignored.
+    and they are not accepted; a null or empty host, site, suffix or markup says nothing; repeated rows count each and
+    stay; texts are taken whole; of languages that tie the first in code-point order is told; an empty table gives an empty result; other columns are ignored.
     """
     k = len(model.languages)
     spark = rows.sparkSession
@@ -144,9 +153,11 @@ def identify(rows: DataFrame, model: TextModel, host_col: str | None = None, mar
         n = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(own, wide, lambda x, y: (x + strength * y) / (n + strength))
 
-    joined = joined.withColumn("__w0", prior)
-    for step, key in enumerate(("__suffix", "__site", "__host")):
-        joined = joined.withColumn(f"__w{step + 1}", narrowed(F.col(f"__w{step}"), key))
+    # the prior, narrowed from all rows to the site and the host where there are any
+    wide = prior
+    for key in ("__site", "__host"):
+        joined = joined.withColumn(f"{key}_prior", F.when(F.col(key) != "", narrowed(wide, key)).otherwise(wide))
+        wide = F.col(f"{key}_prior")
 
     # P(value | language) over the value's share among all rows of the language: no evidence where the value is missing
     def lift(key: str) -> Column:
@@ -154,9 +165,9 @@ def identify(rows: DataFrame, model: TextModel, host_col: str | None = None, mar
         logs = F.zip_with(own, everything, lambda x, y: F.log((x + 0.5) / (y + 1.0)))
         return F.when(F.col(key) != "", logs).otherwise(F.array_repeat(F.lit(0.0), k))
 
-    joined = joined.withColumn("__m", lift("__markup"))
-    # the suffix speaks through the prior, which is narrowed by it
-    logs = F.zip_with(F.zip_with(F.col("__text"), F.transform("__w3", lambda x: F.log(x)), lambda x, y: x + y), F.col("__m"), lambda x, y: x + y)
+    logs = F.transform(wide, lambda x: F.log(x))
+    for more in (F.col("__text"), lift("__markup"), lift("__suffix")):
+        logs = F.zip_with(logs, more, lambda x, y: x + y)
     joined = joined.withColumn("__post", _softmax(logs))
     names = F.array(*map(F.lit, model.languages))
     best = lambda p: F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))
