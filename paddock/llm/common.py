@@ -5,24 +5,30 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
+#: Folders staged so far and not deleted yet.
+_FOLDERS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. A local session may go without; a cluster may not."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="paddock-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -31,14 +37,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: lineage ends there, and a lost executor
-    costs a read instead of a recomputation. The folder goes when the process ends."""
+def written(df: DataFrame, kind: str = "stage") -> tuple[DataFrame, str]:
+    """``df`` written as Parquet into the shared folder and read again, and its folder, which goes when the process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paddock-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(dropped, spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written and read again: lineage ends there, and a lost executor costs a read instead of a recomputation.
+    The folder goes when the process ends, or before with ``release``."""
+    out, path = written(df, "paddock")
+    _FOLDERS.append(path)
+    return out
+
+
+def release(docs: DataFrame) -> None:
+    """Deletes what was staged before ``docs``, if ``docs`` is read from files of its own, so that nothing staged is needed any more."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    files = docs.inputFiles()
+    if files and "InMemoryRelation" not in plan and not any("/paddock-" in f for f in files):
+        while _FOLDERS:
+            dropped(docs.sparkSession, _FOLDERS.pop())
 
 
 def tasks(spark: SparkSession) -> int:
@@ -65,5 +87,15 @@ def prefix_sums(df: DataFrame, keys: list[str], cell: str, order: list[Column],
     )
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+def range_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds, for each name in ``sums``, the sum over the rows that come before this one in ``order``, which should be unique.
+
+    Rows are range-sorted into partitions, whose totals are accumulated; inside a partition a window does the rest.
+    """
+    ranged = staged(df.withColumns({f"__v_{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    totals = ranged.groupBy("__range").agg(*(F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums))
+    offsets = totals.select("__range", *(F.coalesce(F.sum(f"__t_{n}").over(upto), F.lit(0)).alias(f"__o_{n}") for n in sums))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(offsets), "__range")
+    return joined.select(*df.columns, *((F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) + F.col(f"__o_{n}")).alias(n) for n in sums))

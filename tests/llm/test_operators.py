@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from paddock.llm import ann, chat, jaccard, language_id, line_dedup, lm, mixing, packing, queries, tokens, topk
+from paddock.llm import ann, chat, jaccard, language_id, line_dedup, lm, mixing, packing, queries, tokens, topk, vectors as vectors_module
 
 from ..compare import SF, same
 
@@ -193,6 +193,31 @@ def test_mixing(spark):
     assert empty.count() == 0
 
 
+def test_mixing_shared_ids(spark):
+    """Rows that share an id or have none: the same rows in another order and other parts give the same result; copies are taken each."""
+    r = random.Random(8)
+    rows = [(r.choice([1, 2, None, 50 + i]), f"w{r.randrange(6)} " * r.randrange(1, 5), "en", r.choice(["a", "b", "c", None])) for i in range(300)]
+    rows += [(7, "one and the same", "en", "a")] * 400
+    outs = []
+    for order, parts in ((rows, 3), (r.sample(rows, len(rows)), 8)):
+        docs = docs_of(spark, order).repartition(parts)
+        outs.append((sorted(map(tuple, mixing.mix(docs).collect()), key=str), Counter(map(tuple, mixing.repeat(docs).collect()))))
+    assert outs[0] == outs[1]
+    taken, target = Counter(), {}
+    for _, size, source_size, aim, words in outs[0][0]:
+        assert words <= 3 * size
+        taken[source_size, aim] += words
+    for (source_size, aim), n in taken.items():
+        assert abs(n - aim) <= 0.05 * aim + 8, (source_size, aim, n)
+    words = Counter()  # the mix itself: the same words of rows whose id is theirs alone, about the same of the others
+    for row, n in outs[0][1].items():
+        words[row[0]] += n * len(row[1].split())
+    mixed = Counter()
+    for i, _, _, _, n in outs[0][0]:
+        mixed[i] += n
+    assert all(abs(words[i] - mixed[i]) <= (0 if i is not None and i > 50 else 0.1 * mixed[i]) for i in mixed | words)
+
+
 def test_mixing_meets_targets(spark):
     taken, target = Counter(), {}
     for r in mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect():
@@ -270,6 +295,19 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_top_k_large_components(spark):
+    """Components far beyond usual ones: doubles, 64-bit and whole Python numbers."""
+    rows = [(100, [1.0, 0.0]), (200, [100000.0, 0.0]), (300, [200000.0, 0.0]), (400, [-3.5e9, 2.25]), (500, [3.0e15, 1.0]), (1, [1e12, -7.0]), (2, [1e12, 7.0])]
+    got = defaultdict(list)
+    for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    for q in (100, 200, 300, 400, 500):
+        scores = {i: sum(a * b for a, b in zip(whole[q], v, strict=True)) for i, v in whole.items() if i != q}
+        held = {i: max(-(2**63), min(2**63 - 1, s)) for i, s in scores.items()}
+        assert got[q] == sorted(held.items(), key=lambda x: (-x[1], x[0])), q
+
+
 def test_nearest(spark):
     frame, kept = vectors(spark)
     unit = {i: v for i, v in kept.items() if v.any()}
@@ -291,6 +329,23 @@ def test_nearest(spark):
     assert ann.nearest(frame.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_nearest_on_embeddings_over_many_shards(spark, monkeypatch):
+    """Recall on the table itself, against brute force, over some ten shards of several leaves."""
+    monkeypatch.setattr(vectors_module, "SHARD_ROWS", 512)
+    rows = {x.vec_id: np.array(x.embedding, np.float64) for x in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()}
+    got = defaultdict(set)
+    for x in queries.op10_nearest_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got[x.query_id].add(x.vec_id)
+    ids = np.array(sorted(rows))
+    m = np.array([rows[i] for i in ids])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    hits = 0
+    for q, found in got.items():
+        c = m @ m[np.searchsorted(ids, q)]
+        hits += len(found & set([int(ids[k]) for k in np.lexsort((ids, -c)) if ids[k] != q][:5]))
+    assert len(ids) > 8 * 512 and hits / (5 * len(got)) >= 0.9
+
+
 def test_lm(spark):
     rows = awkward()
     marked = lambda i: i % 5 == 0
@@ -368,6 +423,43 @@ def test_language_id(spark):
     assert language_id.identify(odd.limit(0), model, "source").count() == 0
 
 
+def test_language_evidence_by_hand(spark):
+    """The fusion against sums made one by one: priors and evidence without the own row, missing host, site, suffix and markup, repeated rows."""
+    texts = {"es": "la casa es grande y el perro corre", "de": "der Hund und die Katze sind im Haus", "?": "zzz qqq", "": ""}
+    r = random.Random(12)
+    model = language_id.fit(spark.createDataFrame([(texts[k], k) for k in ("es", "de")] * 3, "text string, lang string"))
+    rows = [(i, texts[r.choice(["es", "de", "de", "?", ""])], r.choice([None, "a.x.de", "b.x.de", "c.es"]), r.choice([None, "x.de", "c.es"]), r.choice([None, "", "de", "es"]), r.choice([None, "de", "es"])) for i in range(60)]
+    rows += [(100, texts["?"], "a.x.de", "x.de", "de", None)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, h string, s string, x string, m string")
+    got = Counter((g.doc_id, g.language, round(g.probability, 9)) for g in language_id.identify(frame, model, "h", "m", "x", "s").collect())
+    soft = lambda v: np.exp(np.array(v) - max(v)) / np.exp(np.array(v) - max(v)).sum()
+    seen = [(model.evidence(t)[0], soft(model.evidence(t)[0]) if model.evidence(t)[1] else np.zeros(2)) for _, t, *_ in rows]
+    total = sum(p for _, p in seen)
+    wanted = Counter()
+    for i, row in enumerate(rows):
+        text, own = seen[i]
+        group = lambda c, i=i, row=row: sum((p for j, (_, p) in enumerate(seen) if j != i and rows[j][c] == row[c]), np.zeros(2))
+        prior = (total - own + 1) / (total - own + 1).sum()
+        for c in (3, 2):
+            if row[c]:
+                prior = (group(c) + 20 * prior) / (group(c).sum() + 20)
+        logs = np.array(text) + np.log(prior)
+        for c in (5, 4):
+            if row[c]:
+                logs = logs + np.log((group(c) + 0.5) / (total - own + 1))
+        post = soft(logs)
+        wanted[row[0], model.languages[int(post.argmax())], round(float(post.max()), 9)] += 1
+    assert got == wanted
+
+
+def test_language_sample(spark):
+    """However often a text is repeated it is one, rare languages keep theirs, and the bound holds."""
+    rows = [("ein Text", "de")] * 4000 + [(f"der Text {i}", "de") for i in range(3000)] + [("un texto", "es"), ("otro", "es")]
+    drawn = language_id.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), sample_texts=500).collect()
+    count = Counter(d.lang for d in drawn)
+    assert count["es"] == 2 and 400 <= count["de"] <= 600 and len({d.text for d in drawn}) == len(drawn)
+
+
 def test_declared_markup_decides(spark):
     """Of texts that say nothing either way, the declared language and the host decide."""
     docs = spark.createDataFrame([(i, "la casa es grande y el perro corre" if i % 2 else "der Hund und die Katze sind im Haus", "es" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")

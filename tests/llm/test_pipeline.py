@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paddock.llm import jaccard
+from paddock.llm.common import written
 
 from ..compare import SF
 from .test_operators import awkward, docs_of
 
 
 def staged(spark, docs):
-    out = [docs]
+    """Each stage's rows, written and read again as the next one's."""
+    out = [written(docs)[0]]
     for _, stage in corpus_pipeline.STAGES:
-        out.append(stage(spark, out[-1], SF).cache())
+        out.append(written(stage(spark, out[-1], SF))[0])
     return out
 
 
@@ -31,8 +33,6 @@ def test_stages(spark):
     assert single.groupBy("doc_id").count().filter("count > 1").isEmpty()
     assert {r[0] for r in packed.select("doc_id").collect()} == {r[0] for r in mixed.select("doc_id").collect()}
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").isEmpty()
-    for frame in (told, lined, single, mixed, packed):
-        frame.unpersist()
 
 
 def test_odd_rows(spark):
@@ -41,3 +41,17 @@ def test_odd_rows(spark):
         frame.count()
     for frame in staged(spark, docs.limit(0)):
         assert frame.count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Unlike texts under one id, or under none, all stay; copies and near copies go, whatever order the rows come in."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(100))
+    rows = [(1, text("a"), "en", "s"), (1, text("b"), "en", "s"), (2, text("c"), "en", "s"), (2, text("c"), "en", "s"), (None, text("d"), "en", "s"), (None, text("e"), "en", "s"), (3, text("b") + " x", "en", "s"), (4, text("f"), "en", "s")]
+    found = []
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.near_duplicates(spark, written(docs_of(spark, order))[0], SF)
+        assert kept.columns == docs_of(spark, rows).columns
+        found.append(Counter((r.doc_id, r.text) for r in kept.collect()))
+    assert found[0] == found[1]
+    assert set(found[0].values()) == {1}
+    assert {t[:2] for _, t in found[0]} == {"a0", "b0", "c0", "d0", "e0", "f0"} and len(found[0]) == 6
