@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import plain_key
 from ..functions.scoring import clamp, half_up, roi, runner_grade, sigmoid
+from .pedigree import parents_of
 
 #: The order of the features.
 FEATURES = ("s_time", "s_earn", "s_win", "s_score", "s_races", "m_time", "m_earn", "m_win", "m_score", "m_races", "ds_time", "ss_time")
@@ -17,16 +18,13 @@ def _side(ratings: DataFrame, prefix: str) -> DataFrame:
 
 
 def pair_features(pairs: DataFrame, ratings: DataFrame, horses: DataFrame, sire: str = "sire", dam: str = "dam", how: str = "inner") -> DataFrame:
-    """``pairs`` with the twelve features of their sire and dam. Names that several rows share fan out, as in a join by name.
-
-    The four lookups of ratings go by the plain key; those of horses by the name as it stands.
-    """
+    """``pairs`` with the twelve features of their sire and dam, looked up by plain key. Ratings that share a name fan out, as in a join by name."""
     key = lambda c: plain_key(F.col(c))
     out = pairs.join(_side(ratings, "s"), key(sire) == F.col("__s"), how).join(_side(ratings, "m"), key(dam) == F.col("__m"), how)
     for parent, short in ((dam, "ds"), (sire, "ss")):
-        of = horses.select(F.col("name").alias(f"__{short}h"), F.col("sire").alias(f"__{short}p"))
+        of = parents_of(horses).select(F.col("__key").alias(f"__{short}h"), F.col("sire").alias(f"__{short}p"))
         times = ratings.select(plain_key(F.col("name")).alias(f"__{short}k"), F.col("time_percentile").cast("double").alias(f"{short}_time"))
-        out = out.join(of, F.col(parent) == F.col(f"__{short}h"), "left").join(times, key(f"__{short}p") == F.col(f"__{short}k"), "left")
+        out = out.join(of, key(parent) == F.col(f"__{short}h"), "left").join(times, key(f"__{short}p") == F.col(f"__{short}k"), "left")
     return out.drop(*(c for c in out.columns if c.startswith("__")))
 
 

@@ -4,23 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.names import truthy
+from ..functions.names import plain_key, truthy
 
 ANCESTORS = ("sire", "dam", "sire_sire", "sire_dam", "dam_sire", "dam_dam")
 
 
+def parents_of(horses: DataFrame) -> DataFrame:
+    """``__key, sire, dam``: one row a name, by plain key. Of rows that share a name the one with more parents known, then the last in order."""
+    known = F.when(F.col("sire").isNotNull(), 1).otherwise(0) + F.when(F.col("dam").isNotNull(), 1).otherwise(0)
+    best = horses.groupBy(plain_key(F.col("name")).alias("__key")).agg(F.max(F.struct(known.alias("known"), "sire", "dam")).alias("b"))
+    return best.select("__key", "b.sire", "b.dam")
+
+
 def grandparents(horses: DataFrame, parents: DataFrame | None = None) -> DataFrame:
-    """Adds the parents of sire and dam, from ``parents`` (or the horses) with one row a name."""
-    known = (parents if parents is not None else horses).select("name", "sire", "dam")
-    s = known.select(F.col("name").alias("__s"), F.col("sire").alias("sire_sire"), F.col("dam").alias("sire_dam"))
-    d = known.select(F.col("name").alias("__d"), F.col("sire").alias("dam_sire"), F.col("dam").alias("dam_dam"))
-    return horses.join(s, horses["sire"] == s["__s"], "left").join(d, horses["dam"] == d["__d"], "left").drop("__s", "__d")
+    """Adds the parents of sire and dam, looked up by plain key in ``parents`` (or the horses); rows never multiply."""
+    known = parents_of(parents if parents is not None else horses)
+    s = known.select(F.col("__key").alias("__s"), F.col("sire").alias("sire_sire"), F.col("dam").alias("sire_dam"))
+    d = known.select(F.col("__key").alias("__d"), F.col("sire").alias("dam_sire"), F.col("dam").alias("dam_dam"))
+    named = lambda c: F.nullif(plain_key(F.col(c)), F.lit(""))
+    return horses.join(s, named("sire") == F.col("__s"), "left").join(d, named("dam") == F.col("__d"), "left").drop("__s", "__d")
 
 
 def with_fallback(pedigree: DataFrame, fallback: DataFrame, key: str = "name") -> DataFrame:
-    """Ancestors of ``pedigree``, from ``fallback`` where null or empty, field by field."""
-    other = fallback.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in ANCESTORS))
-    joined = pedigree.join(other, pedigree[key] == other["__key"], "left")
+    """Ancestors of ``pedigree``, from ``fallback`` (one row a name) where null or empty, field by field."""
+    other = fallback.select(plain_key(F.col(key)).alias("__key"), *(F.col(c).alias(f"__{c}") for c in ANCESTORS))
+    joined = pedigree.join(other, plain_key(pedigree[key]) == other["__key"], "left")
     return joined.withColumns({c: truthy(F.col(c), F.col(f"__{c}")) for c in ANCESTORS}).drop("__key", *(f"__{c}" for c in ANCESTORS))
 
 
@@ -44,6 +52,11 @@ def parents_to_complete(horses: DataFrame, pedigree: DataFrame) -> DataFrame:
 
 
 def ancestor_names(horses: DataFrame) -> DataFrame:
-    """``name, ancestors``: up to six distinct ancestors, in upper case."""
-    up = F.array(*(F.upper(F.nullif(F.col(c), F.lit(""))) for c in ANCESTORS))
+    """``name, ancestors``: up to six distinct ancestors, by plain key."""
+    up = F.array(*(F.nullif(plain_key(F.col(c)), F.lit("")) for c in ANCESTORS))
     return grandparents(horses).select("name", F.array_distinct(F.filter(up, lambda x: x.isNotNull())).alias("ancestors"))
+
+
+def already_complete(horses: DataFrame, pedigree: DataFrame) -> DataFrame:
+    """One row, ``n``: how many of the parents have all four grandparents."""
+    return parents_latest(horses).join(complete_names(pedigree), "name", "left_semi").agg(F.count(F.lit(1)).alias("n"))

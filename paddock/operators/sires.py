@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import plain_key
 from ..functions.scoring import GRADE_WEIGHTS, SIRE_PERCENTILES, STATIC_SIRE_GRADES, grade_weight, graded, rounded, volume_multiplier
 
 
@@ -20,37 +21,40 @@ def ranking_rollup(rows: DataFrame) -> DataFrame:
 
 
 def ordinal_rank(rolled: DataFrame) -> DataFrame:
-    """Rank by earnings, each rank once; equal earnings by name. One row a name goes through the sort."""
+    """Rank by earnings, each rank once; equal earnings by name. A row a sire, not a runner, goes through the one sort."""
     return rolled.withColumn("vp_rank", F.row_number().over(Window.orderBy(F.desc("vp_total_earnings_eur"), "name")))
 
 
 def competition_rank(rolled: DataFrame) -> DataFrame:
-    """Rank by earnings, equal earnings sharing the best."""
+    """Rank by earnings, equal earnings sharing the best. A row a sire goes through the one sort."""
     return rolled.withColumn("vp_rank", F.rank().over(Window.orderBy(F.desc("vp_total_earnings_eur"))))
 
 
 def running_progeny(horses: DataFrame, races: DataFrame, as_of: Column, days: int = 180) -> DataFrame:
-    """``sire, n_in_corsa``: distinct names of progeny with a race since ``days`` before ``as_of``."""
+    """``sire, n_in_corsa``: distinct names of progeny with a race since ``days`` before ``as_of``; sires by plain key."""
     recent = races.filter(F.col("race_date") >= F.date_sub(as_of, days)).select(F.col("horse_name").alias("name")).distinct()
-    return horses.join(recent, "name", "left_semi").filter("sire is not null and sire <> ''").groupBy("sire").agg(F.countDistinct("name").alias("n_in_corsa"))
+    own = horses.join(recent, "name", "left_semi").select(plain_key(F.col("sire")).alias("sire"), "name")
+    return own.filter("sire <> ''").groupBy("sire").agg(F.countDistinct("name").alias("n_in_corsa"))
 
 
 def sire_stats(rated: DataFrame, rankings: DataFrame, running: DataFrame, mode: str = "dynamic", with_grade: bool = True) -> DataFrame:
-    """One row a sire of rated progeny.
+    """One row a sire of rated progeny; sires meet their rankings by plain key, the upper case without blanks at the ends.
 
     The mean of grade weights and the share of top grades divide by the progeny rated; the volume multiplier goes by the
     larger of those and the ranking's offspring, or in the static mode by those alone. ``avg_score`` is the mean times the
     multiplier. The boost is up to five points for earnings relative to the best ranked sire.
     """
     count = lambda g: F.count_if(F.col("grade") == g)
-    grouped = rated.filter("sire is not null and sire <> ''").groupBy("sire").agg(
+    keyed = rated.withColumn("sire", plain_key(F.col("sire"))).filter("sire <> ''")
+    grouped = keyed.groupBy("sire").agg(
         F.count(F.lit(1)).alias("__n"),
         F.sum(grade_weight(F.col("grade"))).alias("__weight"),
         *(count(g).alias(f"n_{g}") for g in GRADE_WEIGHTS),
         rounded(F.coalesce(F.avg("career_earnings"), F.lit(0.0))).alias("avg_earnings"),
     )
     top = rankings.agg(F.coalesce(F.nullif(F.max("vp_total_earnings_eur"), F.lit(0)), F.lit(1)).alias("__top"))  # one row
-    ranked = rankings.select(F.col("name").alias("__name"), F.col("vp_total_offspring").alias("__offspring"), F.col("vp_total_earnings_eur").alias("__earned"))
+    first = F.max(F.struct(F.col("vp_total_earnings_eur").alias("e"), F.col("vp_total_offspring").alias("o")))  # spellings of one name are one sire
+    ranked = rankings.groupBy(plain_key(F.col("name")).alias("__name")).agg(first.alias("__r")).select("__name", F.col("__r.o").alias("__offspring"), F.col("__r.e").alias("__earned"))
     joined = grouped.join(ranked, grouped["sire"] == ranked["__name"], "left").join(F.broadcast(top)).join(running, "sire", "left")
     total = F.greatest(F.coalesce("__offspring", F.lit(0)), F.col("__n"))
     score = rounded(F.col("__weight") / F.col("__n") * volume_multiplier(total if mode == "dynamic" else F.col("__n")))

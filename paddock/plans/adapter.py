@@ -8,32 +8,33 @@ from ..operators.career import careers as with_careers
 from ..operators.ratings import rate
 from ..operators.sires import competition_rank, ranking_rollup, running_progeny, sire_stats
 from ..session import table
+from .store import stored
 
 AS_OF = "2001-08-01"
 
 
 def horses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers; the nation is the sire; one in fifty has no year of birth."""
+    """Customers; the nation is the sire, which one in nine spells its own way; one in fifty has no year of birth."""
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     return c.select(
         F.col("c_name").alias("name"),
         F.when(key % 50 != 7, (2000 + key % 20).cast("int")).alias("birth_year"),
         F.when(key % 2 == 0, "F").otherwise("M").alias("sex"),
-        F.concat(F.lit("SIRE "), F.col("c_nationkey")).alias("sire"),
+        F.when(key % 9 == 4, F.concat(F.lit(" Sire "), F.col("c_nationkey"), F.lit(" "))).otherwise(F.concat(F.lit("SIRE "), F.col("c_nationkey"))).alias("sire"),
         key.alias("key"),
     )
 
 
 def family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with customers for parents: half and a third of the key."""
+    """Customers with customers for parents, half and a third of the key; one in seven spells its dam in capitals and blanks."""
     key = F.col("key")
     name = lambda k: F.concat(F.lit("Customer#"), F.lpad(F.floor(k).cast("string"), 9, "0"))
-    return horses(spark, sf_dir).withColumns({"sire": F.when(key >= 2, name(key / 2)), "dam": F.when(key >= 3, name(key / 3))})
+    return horses(spark, sf_dir).withColumns({"sire": F.when(key >= 2, name(key / 2)), "dam": F.when(key >= 3, F.when(key % 7 == 5, F.concat(F.upper(name(key / 3)), F.lit("  "))).otherwise(name(key / 3)))})
 
 
 def races(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders; those of status F did not finish; times come in all three formats and as a code."""
+    """Orders; those of status F, and all of one customer in thirteen, did not finish; times come in all three formats and as a code."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     s, t = (10 + k % 9).cast("string"), (k % 10).cast("string")
     time = F.when(k % 4 == 0, F.concat(F.lit("1'"), s, F.lit('"'), t)).when(k % 4 == 1, F.concat(F.lit("1."), s, F.lit("."), t)).when(k % 4 == 2, F.concat(s, F.lit("."), t)).otherwise("r.p.")
@@ -41,7 +42,7 @@ def races(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("id"),
         F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("horse_name"),
         F.col("o_orderdate").cast("date").alias("race_date"),
-        F.when(F.col("o_orderstatus") != "F", F.substring("o_orderpriority", 1, 1).cast("int")).alias("placement"),
+        F.when((F.col("o_orderstatus") != "F") & (F.col("o_custkey") % 13 != 4), F.substring("o_orderpriority", 1, 1).cast("int")).alias("placement"),
         time.alias("time_km"),
         F.col("o_totalprice").alias("prize_net"),
         k.cast("string").alias("race_code"),
@@ -49,11 +50,11 @@ def races(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def careers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_careers(horses(spark, sf_dir), races(spark, sf_dir))
+    return stored(spark, sf_dir, "careers", lambda: with_careers(horses(spark, sf_dir), races(spark, sf_dir)))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate(careers(spark, sf_dir))
+    return stored(spark, sf_dir, "ratings", lambda: rate(careers(spark, sf_dir)))
 
 
 def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +74,11 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    running = running_progeny(horses(spark, sf_dir), races(spark, sf_dir), F.lit(AS_OF).cast("date"))
-    return sire_stats(ratings(spark, sf_dir), rankings(spark, sf_dir), running)
+    def derive() -> DataFrame:
+        running = running_progeny(horses(spark, sf_dir), races(spark, sf_dir), F.lit(AS_OF).cast("date"))
+        return sire_stats(ratings(spark, sf_dir), rankings(spark, sf_dir), running)
+
+    return stored(spark, sf_dir, "stats", derive)
 
 
 def studs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,8 @@ def last_races(races: DataFrame, name: str, most: int = 20) -> DataFrame:
 
 
 def half_siblings(horses: DataFrame, ratings: DataFrame, name: str, year: int, most: int = 6) -> DataFrame:
-    own = horses.filter((F.col("name") == name) & (F.col("birth_year") == year)).select(F.col("sire").alias("__sire")).limit(1)
-    kin = horses.join(F.broadcast(own), F.col("sire") == F.col("__sire"), "left_semi").filter(~((F.col("name") == name) & (F.col("birth_year") == year)))
+    own = horses.filter((F.col("name") == name) & (F.col("birth_year") == year)).select(plain_key(F.col("sire")).alias("__sire")).limit(1)
+    kin = horses.join(F.broadcast(own), plain_key(F.col("sire")) == F.col("__sire"), "left_semi").filter(~((F.col("name") == name) & (F.col("birth_year") == year)))
     return with_rating(kin, ratings).select("name", "birth_year", "grade", "score").orderBy(F.col("score").desc_nulls_last(), "name").limit(most)
 
 
@@ -154,13 +154,16 @@ def totals(horses: DataFrame, races: DataFrame, stats: DataFrame) -> DataFrame:
 def advise(mares: DataFrame, horses: DataFrame, studs: DataFrame, stats: DataFrame, budget: float | None = None, most: int = 15) -> DataFrame:
     """For each mare the best active and priced studs that are none of her ancestors; any number of mares.
 
-    Studs are ranked first: at most six ancestors can fall out, so only so many more than ``most`` are met with a mare.
+    Studs are ranked first, one row a plain key, the best rated and then the cheapest of it: at most six ancestors can fall
+    out, so only so many more than ``most`` are met with a mare.
     """
     priced = studs.filter("stud_fee_eur is not null and stud_status = 'active'")
     priced = priced.filter(F.col("stud_fee_eur") <= budget) if budget else priced
-    rated = priced.join(stats.select(F.col("sire").alias("name"), "avg_score", "n_in_corsa", "pct_top_S", "avg_earnings"), "name").dropDuplicates(["name"])
-    best = rated.orderBy(F.desc("avg_score"), "name").limit(most + 6)  # a bounded side for the join
-    ancestors = ancestor_names(horses).join(mares.select("name"), "name", "left_semi").withColumnRenamed("name", "mare")
-    met = ancestors.join(F.broadcast(best), ~F.array_contains("ancestors", F.upper(F.col("name"))))
+    known = stats.select(plain_key(F.col("sire")).alias("__sire"), "avg_score", "n_in_corsa", "pct_top_S", "avg_earnings")
+    rated = priced.join(known, plain_key(F.col("name")) == F.col("__sire"))
+    first = F.max_by(F.struct("name", "stud_fee_eur", "avg_score", "n_in_corsa", "pct_top_S", "avg_earnings"), F.struct("avg_score", -F.col("stud_fee_eur"), "name"))
+    best = rated.groupBy("__sire").agg(first.alias("b")).select("b.*").orderBy(F.desc("avg_score"), "name").limit(most + 6)  # a bounded side for the join
+    ancestors = ancestor_names(horses).join(mares.select("name").distinct(), "name", "left_semi").withColumnRenamed("name", "mare")
+    met = ancestors.join(F.broadcast(best), ~F.array_contains("ancestors", plain_key(F.col("name"))))
     rank = F.row_number().over(Window.partitionBy("mare").orderBy(F.desc("avg_score"), "name"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= most).drop("ancestors")

@@ -33,10 +33,10 @@ def query(sql: str | None = None):
 NAME = "'Customer#' || lpad({}::VARCHAR, 9, '0')"
 BASE = f"""
 horses AS (SELECT c_name AS name, CASE WHEN c_custkey % 50 <> 7 THEN (2000 + c_custkey % 20)::INT END AS birth_year,
-  CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, 'SIRE ' || c_nationkey AS sire, c_custkey AS key FROM customer),
-family AS (SELECT * REPLACE (CASE WHEN key >= 2 THEN {NAME.format("floor(key / 2)::BIGINT")} END AS sire), CASE WHEN key >= 3 THEN {NAME.format("floor(key / 3)::BIGINT")} END AS dam FROM horses),
+  CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, CASE WHEN c_custkey % 9 = 4 THEN ' Sire ' || c_nationkey || ' ' ELSE 'SIRE ' || c_nationkey END AS sire, c_custkey AS key FROM customer),
+family AS (SELECT * REPLACE (CASE WHEN key >= 2 THEN {NAME.format("floor(key / 2)::BIGINT")} END AS sire), CASE WHEN key >= 3 THEN CASE WHEN key % 7 = 5 THEN upper({NAME.format("floor(key / 3)::BIGINT")}) || '  ' ELSE {NAME.format("floor(key / 3)::BIGINT")} END END AS dam FROM horses),
 races AS (SELECT o_orderkey AS id, {NAME.format("o_custkey")} AS horse_name, o_orderdate::DATE AS race_date,
-  CASE WHEN o_orderstatus <> 'F' THEN left(o_orderpriority, 1)::INT END AS placement,
+  CASE WHEN o_orderstatus <> 'F' AND o_custkey % 13 <> 4 THEN left(o_orderpriority, 1)::INT END AS placement,
   CASE o_orderkey % 4 WHEN 0 THEN '1''' || (10 + o_orderkey % 9) || '"' || (o_orderkey % 10) WHEN 1 THEN '1.' || (10 + o_orderkey % 9) || '.' || (o_orderkey % 10)
     WHEN 2 THEN (10 + o_orderkey % 9) || '.' || (o_orderkey % 10) ELSE 'r.p.' END AS time_km,
   CASE WHEN o_orderkey % 4 < 3 THEN 60 + 10 + o_orderkey % 9 + (o_orderkey % 10) / 10.0::DOUBLE END AS secs,
@@ -49,8 +49,8 @@ careers AS (SELECT h.*, coalesce(career_races, 0) AS career_races, coalesce(care
   FROM horses h LEFT JOIN stat s ON s.horse_name = h.name LEFT JOIN best b ON b.horse_name = h.name),
 pct AS (SELECT *, CASE WHEN career_earnings > 0 THEN round(cume_dist() OVER (PARTITION BY career_earnings > 0 ORDER BY career_earnings) * 100 + 1e-9, 2) ELSE 0 END AS earn_percentile,
   CASE WHEN record_seconds > 0 THEN round(cume_dist() OVER (PARTITION BY record_seconds > 0 ORDER BY round(record_seconds, 6) DESC) * 100 + 1e-9, 2) ELSE 0 END AS time_percentile,
-  CASE WHEN career_races > 0 THEN career_wins * 100.0::DOUBLE / career_races ELSE 0 END AS rate FROM careers),
-scored AS (SELECT *, round(least(earn_percentile * 0.5::DOUBLE + time_percentile * 0.3::DOUBLE + rate * 0.2::DOUBLE, 100) + 1e-9, 2) AS score, round(rate + 1e-9, 2) AS win_rate FROM pct WHERE birth_year IS NOT NULL),
+  CASE WHEN career_races > 0 THEN career_wins * 100.0::DOUBLE / career_races ELSE 0 END AS rate FROM careers WHERE career_races > 0),
+scored AS (SELECT * REPLACE (upper(trim(sire)) AS sire), round(least(earn_percentile * 0.5::DOUBLE + time_percentile * 0.3::DOUBLE + rate * 0.2::DOUBLE, 100) + 1e-9, 2) AS score, round(rate + 1e-9, 2) AS win_rate FROM pct WHERE birth_year IS NOT NULL),
 ratings AS (SELECT *, CASE WHEN score >= 97 THEN 'SSS' WHEN score >= 90 THEN 'SS' WHEN score >= 80 THEN 'S' WHEN score >= 65 THEN 'A' WHEN score >= 50 THEN 'B'
   WHEN score >= 35 THEN 'C' WHEN score >= 20 THEN 'D' WHEN score >= 10 THEN 'E' ELSE 'F' END AS grade,
   round(cume_dist() OVER (PARTITION BY sire ORDER BY score) * 100 + 1e-9, 2) AS sire_percentile, 'performance' AS rating_mode FROM scored),
@@ -58,7 +58,7 @@ ranking_rows AS (SELECT 'SIRE ' || (regexp_extract(p_brand, '([0-9]+)', 1)::INT
   floor(p_retailprice / p_size)::BIGINT AS media, p_partkey AS ord FROM part),
 rolled AS (SELECT name, arg_max(vp_id, prodotti::BIGINT * 1000000000 - ord) AS vp_id, sum(prodotti)::BIGINT AS vp_total_offspring, sum(somme_vinte)::BIGINT AS vp_total_earnings_eur,
   round(avg(media) + 1e-9, 2) AS vp_avg_earnings_eur FROM ranking_rows GROUP BY name),
-running AS (SELECT sire, count(DISTINCT name) AS n_in_corsa FROM horses WHERE name IN (SELECT horse_name FROM races WHERE race_date >= DATE '{a.AS_OF}' - 180) GROUP BY sire),
+running AS (SELECT upper(trim(sire)) AS sire, count(DISTINCT name) AS n_in_corsa FROM horses WHERE name IN (SELECT horse_name FROM races WHERE race_date >= DATE '{a.AS_OF}' - 180) GROUP BY 1),
 grouped AS (SELECT sire, count(*) AS n, sum(CASE grade WHEN 'SSS' THEN 100 WHEN 'SS' THEN 85 WHEN 'S' THEN 70 WHEN 'A' THEN 55 WHEN 'B' THEN 40 WHEN 'C' THEN 25 WHEN 'D' THEN 15 WHEN 'E' THEN 8 WHEN 'F' THEN 2 ELSE 0 END) AS weight,
   {", ".join(f"count(*) FILTER (grade = '{g}') AS n_{g}" for g in fs.GRADE_WEIGHTS)}, round(avg(career_earnings) + 1e-9, 2) AS avg_earnings FROM ratings GROUP BY sire),
 total AS (SELECT g.*, greatest(coalesce(r.vp_total_offspring, 0), n) AS offspring, round(coalesce(r.vp_total_earnings_eur / (SELECT max(vp_total_earnings_eur) FROM rolled) * 5, 0) + 1e-9, 2) AS vp_boost
@@ -112,12 +112,12 @@ def time_to_seconds(spark, sf):
 
 @query(sql("SELECT name, earn_percentile FROM pct"))
 def earn_percentile(spark, sf):
-    return rate_ops.share_of_all(a.careers(spark, sf), "career_earnings", "earn_percentile", F.lit(True)).select("name", "earn_percentile")
+    return rate_ops.share_of_all(a.careers(spark, sf).filter(rate_ops.raced()), "career_earnings", "earn_percentile", F.lit(True)).select("name", "earn_percentile")
 
 
 @query(sql("SELECT name, time_percentile FROM pct"))
 def time_percentile(spark, sf):
-    return rate_ops.share_of_all(a.careers(spark, sf), "record_seconds", "time_percentile", F.lit(True), False).select("name", "time_percentile")
+    return rate_ops.share_of_all(a.careers(spark, sf).filter(rate_ops.raced()), "record_seconds", "time_percentile", F.lit(True), False).select("name", "time_percentile")
 
 
 @query(sql("SELECT name, CASE WHEN career_earnings > 0 THEN round(cume_dist() OVER (PARTITION BY birth_year, career_earnings > 0 ORDER BY career_earnings) * 100 + 1e-9, 2) ELSE 0 END AS earn_percentile FROM careers"))
@@ -187,7 +187,7 @@ def running_progeny(spark, sf):
 
 # pedigrees
 
-GRAND = "SELECT h.name, h.sire, h.dam, s.sire AS sire_sire, s.dam AS sire_dam, d.sire AS dam_sire, d.dam AS dam_dam FROM family h LEFT JOIN family s ON s.name = h.sire LEFT JOIN family d ON d.name = h.dam"
+GRAND = "SELECT h.name, h.sire, h.dam, s.sire AS sire_sire, s.dam AS sire_dam, d.sire AS dam_sire, d.dam AS dam_dam FROM family h LEFT JOIN family s ON upper(trim(s.name)) = upper(trim(h.sire)) LEFT JOIN family d ON upper(trim(d.name)) = upper(trim(h.dam))"
 
 
 @query(sql(GRAND))
@@ -219,7 +219,7 @@ def incomplete_pedigree(spark, sf):
     return pedigree.incomplete(a.family(spark, sf))
 
 
-@query(sql(f"SELECT name, list_sort(list_distinct(list_filter([upper(sire), upper(dam), upper(sire_sire), upper(sire_dam), upper(dam_sire), upper(dam_dam)], lambda x: x IS NOT NULL)))::VARCHAR AS ancestors FROM ({GRAND})"))
+@query(sql(f"SELECT name, list_sort(list_distinct(list_filter([upper(trim(sire)), upper(trim(dam)), upper(trim(sire_sire)), upper(trim(sire_dam)), upper(trim(dam_sire)), upper(trim(dam_dam))], lambda x: x IS NOT NULL)))::VARCHAR AS ancestors FROM ({GRAND})"))
 def ancestor_names(spark, sf):
     named = pedigree.ancestor_names(a.family(spark, sf))
     return named.select("name", F.concat(F.lit("["), F.array_join(F.array_sort("ancestors"), ", "), F.lit("]")).alias("ancestors"))
@@ -264,7 +264,7 @@ def profile_head(spark, sf):
     return one.select("name", *pedigree.ANCESTORS, "birth_year", "score", "grade")
 
 
-@query(sql("SELECT h.name, h.birth_year, r.grade, r.score FROM horses h LEFT JOIN ratings r ON r.name = h.name AND r.birth_year = h.birth_year WHERE h.sire = (SELECT sire FROM horses WHERE name = 'Customer#000000041') AND h.name <> 'Customer#000000041' ORDER BY r.score DESC NULLS LAST, h.name LIMIT 6"))
+@query(sql("SELECT h.name, h.birth_year, r.grade, r.score FROM horses h LEFT JOIN ratings r ON r.name = h.name AND r.birth_year = h.birth_year WHERE upper(trim(h.sire)) = (SELECT upper(trim(sire)) FROM horses WHERE name = 'Customer#000000041') AND h.name <> 'Customer#000000041' ORDER BY r.score DESC NULLS LAST, h.name LIMIT 6"))
 def profile_siblings(spark, sf):
     return answers.half_siblings(a.horses(spark, sf), a.ratings(spark, sf), "Customer#000000041", 2001)
 
@@ -301,7 +301,7 @@ def stud_ratings(spark, sf):
 
 @query(f"WITH {BASE}, {STUD_STATS} " + f"""
 SELECT mare, name, stud_fee_eur, avg_score, rank FROM (SELECT g.name AS mare, s.name, s.stud_fee_eur, t.avg_score, (row_number() OVER (PARTITION BY g.name ORDER BY t.avg_score DESC, s.name))::INT AS rank
-FROM ({GRAND}) g JOIN studs s ON s.stud_status = 'active' AND s.stud_fee_eur <= 6000 AND s.name NOT IN (coalesce(g.sire, ''), coalesce(g.dam, ''), coalesce(g.sire_sire, ''), coalesce(g.sire_dam, ''), coalesce(g.dam_sire, ''), coalesce(g.dam_dam, '')) AND upper(s.name) NOT IN (coalesce(upper(g.sire), ''), coalesce(upper(g.dam), ''), coalesce(upper(g.sire_sire), ''), coalesce(upper(g.sire_dam), ''), coalesce(upper(g.dam_sire), ''), coalesce(upper(g.dam_dam), ''))
+FROM ({GRAND}) g JOIN studs s ON s.stud_status = 'active' AND s.stud_fee_eur <= 6000 AND s.name NOT IN (coalesce(g.sire, ''), coalesce(g.dam, ''), coalesce(g.sire_sire, ''), coalesce(g.sire_dam, ''), coalesce(g.dam_sire, ''), coalesce(g.dam_dam, '')) AND upper(s.name) NOT IN (coalesce(upper(trim(g.sire)), ''), coalesce(upper(trim(g.dam)), ''), coalesce(upper(trim(g.sire_sire)), ''), coalesce(upper(trim(g.sire_dam)), ''), coalesce(upper(trim(g.dam_sire)), ''), coalesce(upper(trim(g.dam_dam)), ''))
 JOIN stud_stats t ON t.sire = s.name JOIN horses h ON h.name = g.name AND h.sex = 'F') WHERE rank <= 15""")
 def advisor_candidates(spark, sf):
     mares = a.horses(spark, sf).filter("sex = 'F'").select("name")
@@ -467,8 +467,8 @@ def feature_medians(spark, sf):
 FEATURE_SQL = ", ".join(f"{p}.{c}::DOUBLE AS {p}_{n}" for p in ("s", "m") for n, c in (("time", "time_percentile"), ("earn", "earn_percentile"), ("win", "win_rate"), ("score", "score"), ("races", "career_races")))
 
 
-@query(sql(f"""SELECT f.name, f.grade, f.score, {FEATURE_SQL}, ds.time_percentile AS ds_time, ss.time_percentile AS ss_time, (f.grade IN ('D', 'E', 'F'))::INT AS poor FROM ratings f JOIN family h ON h.name = f.name JOIN ratings s ON s.name = h.sire JOIN ratings m ON m.name = h.dam
-LEFT JOIN family hm ON hm.name = h.dam LEFT JOIN ratings ds ON ds.name = hm.sire LEFT JOIN family hs ON hs.name = h.sire LEFT JOIN ratings ss ON ss.name = hs.sire"""))
+@query(sql(f"""SELECT f.name, f.grade, f.score, {FEATURE_SQL}, ds.time_percentile AS ds_time, ss.time_percentile AS ss_time, (f.grade IN ('D', 'E', 'F'))::INT AS poor FROM ratings f JOIN family h ON h.name = f.name JOIN ratings s ON s.name = h.sire JOIN ratings m ON upper(m.name) = upper(trim(h.dam))
+LEFT JOIN family hm ON upper(hm.name) = upper(trim(h.dam)) LEFT JOIN ratings ds ON ds.name = hm.sire LEFT JOIN family hs ON hs.name = h.sire LEFT JOIN ratings ss ON ss.name = hs.sire"""))
 def breeding_features(spark, sf):
     return breeding.training_rows(a.ratings(spark, sf), a.family(spark, sf)).withColumn("poor", fs.is_poor(F.col("grade")))
 
