@@ -5,6 +5,7 @@ Keys are compared null-safely where a key may be null. All of them are idempoten
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,11 +33,19 @@ def insert_if_absent(old: DataFrame, incoming: DataFrame, keys: list[str], order
 
 
 def insert_stubs(old: DataFrame, incoming: DataFrame, keys: list[str], stub: dict[str, Column]) -> DataFrame:
-    """Adds a row of defaults for each key that is not known."""
-    stubs = incoming.select(*keys).distinct().join(old.select(*keys), keys, "left_anti")
+    """Adds a row of defaults for each key that is not known; keys are compared null-safely."""
+    asked = incoming.select(*keys).distinct()
+    stubs = asked.join(old.select(*keys).alias("o"), reduce(lambda a, b: a & b, (asked[k].eqNullSafe(F.col(f"o.{k}")) for k in keys)), "left_anti")
     return old.unionByName(stubs.withColumns(stub), allowMissingColumns=True)
 
 
+def known_or_new(old: DataFrame, incoming: DataFrame, key: str, year: str) -> DataFrame:
+    """``<key>, is_new, <year>``: for each incoming key whether a stub has to be made, and the latest year that is known for it."""
+    known = old.groupBy(F.col(key).alias("__key")).agg(F.max(year).alias(year), F.lit(False).alias("is_new"))
+    asked = incoming.select(key).distinct()
+    return asked.join(known, asked[key].eqNullSafe(known["__key"]), "left").select(key, F.coalesce("is_new", F.lit(True)).alias("is_new"), year)
+
+
 def replace_upsert(old: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows take the place of those with their key."""
     return old.join(incoming, same_key(old, incoming, keys), "left_anti").unionByName(incoming, allowMissingColumns=True)
@@ -49,10 +58,12 @@ def coalesce_upsert(old: DataFrame, incoming: DataFrame, keys: list[str]) -> Dat
     return o.join(n, on, "full_outer").select(*(F.coalesce(*([F.col(f"n.{c}")] if c in incoming.columns else []), F.col(f"o.{c}")).alias(c) for c in old.columns))
 
 
-def keyed_update(rows: DataFrame, changes: DataFrame, keys: list[str], overwrite: bool = True) -> DataFrame:
-    """Columns of ``changes`` (one row a key) set in the rows with its key; without ``overwrite`` only where it has a value."""
+def keyed_update(rows: DataFrame, changes: DataFrame, keys: list[str], overwrite: bool = True, by: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Columns of ``changes`` (one row a key) set in the rows with its key; without ``overwrite`` only where it has a value.
+
+    Keys are compared as ``by`` makes them, such as normalised names."""
     r, c = rows.alias("r"), changes.withColumn("__hit", F.lit(True)).alias("c")
-    on = reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys))
+    on = reduce(lambda a, b: a & b, (by(F.col(f"r.{k}")).eqNullSafe(by(F.col(f"c.{k}"))) for k in keys))
     changed = [x for x in changes.columns if x not in keys]
 
     def value(x: str) -> Column:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.names import plain_key, truthy
+from ..functions.names import flag, nationality, plain_key, truthy
 from ..functions.scoring import GRADE_WEIGHTS, rounded
 from ..operators.pedigree import ancestor_names, grandparents
 
@@ -80,6 +80,23 @@ def sire_page(stats: DataFrame, studs: DataFrame, ratings: DataFrame, pedigree:
     return base.join(F.broadcast(found), F.lit(True), "left").join(F.broadcast(stud), F.lit(True), "left").join(F.broadcast(tree), F.lit(True), "left").withColumn("nationality", truthy(F.col("nationality"), F.col("stud.country")))
 
 
+def nationality_of(names: DataFrame, pedigree: DataFrame, studs: DataFrame, horses: DataFrame) -> DataFrame:
+    """``name, nationality, flag``: of the pedigree, else of the stud, else of the horse, by plain key; then that of a
+    well-known sire, then the default. Of rows that share a name the last in order counts."""
+    key = plain_key(F.col("name"))
+    joined = names.select("name")
+    for i, (df, c) in enumerate(((pedigree, "nationality"), (studs, "country"), (horses, "country"))):
+        one = df.groupBy(key.alias(f"__k{i}")).agg(F.max(F.nullif(F.col(c), F.lit(""))).alias(f"__n{i}"))
+        joined = joined.join(one, key == F.col(f"__k{i}"), "left")
+    given = F.coalesce("__n0", "__n1", "__n2")
+    return joined.select("name", nationality(given, F.trim("name")).alias("nationality"), flag(given, F.trim("name")).alias("flag"))
+
+
+def compare_pedigrees(horses: DataFrame, names: list[str]) -> DataFrame:
+    """Two generations of the horses compared, a row each."""
+    return grandparents(horses.filter(F.col("name").isin(*names)), horses).select("name", "sire", "dam", "sire_sire", "sire_dam", "dam_sire", "dam_dam")
+
+
 SORTS = {"score": "score", "earnings": "career_earnings"}
 
 

@@ -6,10 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.names import plain_key
 from ..operators.career import careers
-from ..operators.merge import insert_if_absent, insert_stubs
+from ..operators.merge import insert_if_absent, insert_stubs, keyed_update
+from ..operators.queues import missing_meetings
 from ..operators.ratings import rate
 from ..operators.sires import running_progeny, sire_stats
+from ..sources.pages import career_profiles, career_races, result_rows
 
 #: Races before this day are not taken in.
 FIRST_DAY = "2012-01-01"
@@ -41,3 +44,29 @@ def nightly(horses: DataFrame, races: DataFrame, incoming: DataFrame, rankings:
     stats = sire_stats(ratings, rankings, running_progeny(known, races, as_of))
     counters = horses.agg(F.count(F.lit(1)).alias("horses")).join(old_horses.agg(F.count(F.lit(1)).alias("horses_before"))).join(races.agg(F.count(F.lit(1)).alias("races"))).join(old_races.agg(F.count(F.lit(1)).alias("races_before")))  # one row each
     return Nightly(known, races, ratings, stats, counters)
+
+
+KEYS = ["horse_name", "race_date"]
+
+
+def missing_results(races: DataFrame, meetings: DataFrame, pages: DataFrame, least: int = 3) -> DataFrame:
+    """Races with those of meetings that lack runners, read from their result pages (url, html), and inserted if absent.
+
+    ``meetings`` is what ``pages.meetings`` finds; meetings and stored races meet by day and track, in any spelling of it.
+    """
+    wanted = meetings.select(F.col("data").alias("race_date"), plain_key(F.col("ippodromo")).alias("track"), "sigla", "url")
+    stored = races.select(F.col("race_date").cast("string").alias("race_date"), plain_key(F.col("track")).alias("track"))
+    gaps = missing_meetings(wanted, stored, ["race_date", "track"], least)
+    rows = result_rows(gaps.join(pages, "url"))
+    found = rows.select(F.col("name").alias("horse_name"), F.col("race_date").cast("date").alias("race_date"), "track", "placement", "time_km", "distance", "driver", F.col("prize").alias("prize_net"), "race_code")
+    return insert_if_absent(races, found, KEYS, [F.col("race_code").asc_nulls_last()])
+
+
+def full_careers(horses: DataFrame, races: DataFrame, pages: DataFrame, as_of: Column, first_day: str = FIRST_DAY) -> tuple[DataFrame, DataFrame]:
+    """Horses and races after career pages (name, html) were read: known fields of the profiles win over stored ones, races
+    since ``first_day`` are inserted if absent, and careers are computed anew."""
+    profiles = career_profiles(pages, as_of).groupBy("name").agg(*(F.max(c).alias(c) for c in ("sex", "country", "birth_year", "sire", "dam")))
+    merged = keyed_update(horses, profiles, ["name"], overwrite=False)
+    dated = career_races(pages).filter(F.col("race_date") >= F.lit(first_day).cast("date"))
+    inserted = insert_if_absent(races, dated, KEYS, [F.col("race_code").asc_nulls_last()])
+    return careers(merged, inserted, order="race_code"), inserted

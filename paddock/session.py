@@ -1,25 +1,10 @@
-"""The session that tests, the benchmark and local runs share."""
+"""Reading the tables that the queries run over."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str = "8", memory: str = "12g") -> SparkSession:
-    """A local session in UTC with AQE; on a cluster the caller brings its own."""
-    return (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("paddock")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", memory)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
-
-
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,12 +13,14 @@ from ..functions.parsing import CAREER_MARK, RESULT_MARK, iso_date, leading_int,
 
 
 class _Rows(HTMLParser):
-    """Rows of cells as they close: (section, table id, row, cells, classes, first link)."""
+    """Rows of cells as they close: (section, table id, table, row in it, cells, classes, first link); links: (id, target, label)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[tuple] = []
-        self.section, self.table, self.row = 0, "", 0
+        self.section, self.table, self.number, self.depth, self.row = 0, "", 0, 0, 0
+        self.links: list[list[str]] = []
+        self.linked = False
         self.cells: list[list[str]] | None = None
         self.classes: list[str] = []
         self.link = ""
@@ -30,6 +32,9 @@ class _Rows(HTMLParser):
             self.section += 1
         elif tag == "table":
             self.table = known.get("id") or ""
+            if not self.depth:
+                self.number, self.row = self.number + 1, 0
+            self.depth += 1
         elif tag == "tr":
             self._close()
             self.cells, self.classes, self.link = [], [], ""
@@ -37,42 +42,70 @@ class _Rows(HTMLParser):
             self.cells.append([])
             self.classes.append(known.get("class") or "")
             self.open = True
-        elif tag == "a" and self.open and len(self.cells or ()) == 1 and not self.link:
-            self.link = known.get("href") or ""
+        elif tag == "a":
+            if self.open and len(self.cells or ()) == 1 and not self.link:
+                self.link = known.get("href") or ""
+            if "href" in known:
+                self.links.append([known.get("id") or "", known["href"] or "", ""])
+                self.linked = True
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("td", "th"):
             self.open = False
         elif tag in ("tr", "table"):
             self._close()
+            self.depth -= tag == "table" and self.depth > 0
+        elif tag == "a":
+            self.linked = False
 
     def handle_data(self, data: str) -> None:
         if self.open and self.cells:
             self.cells[-1].append(data.strip())
+        if self.linked:
+            self.links[-1][2] += data.strip()
 
     def _close(self) -> None:
         if self.cells:
-            self.found.append((self.section, self.table, self.row, ["".join(c) for c in self.cells], self.classes, self.link))
+            self.found.append((self.section, self.table, self.number, self.row, ["".join(c) for c in self.cells], self.classes, self.link))
             self.row += 1
         self.cells, self.open = None, False
 
 
-@udtf(returnType="section int, table_id string, row int, cells array<string>, classes array<string>, link string")
+def _read(html: str) -> _Rows:
+    rows = _Rows()
+    rows.feed(html)
+    rows.close()
+    rows._close()
+    return rows
+
+
+@udtf(returnType="section int, table_id string, table int, row int, head array<string>, cells array<string>, classes array<string>, link string")
 class TableRows:
     def eval(self, html: str) -> Iterator[tuple]:
         if html:
-            rows = _Rows()
-            rows.feed(html)
-            rows.close()
-            rows._close()
-            yield from rows.found
+            head: dict[int, list[str]] = {}
+            for section, name, table, row, cells, classes, link in _read(html).found:
+                yield section, name, table, row, head.setdefault(table, cells), cells, classes, link
+
+
+@udtf(returnType="at int, element string, href string, label string")
+class Links:
+    def eval(self, html: str) -> Iterator[tuple]:
+        if html:
+            for at, (element, href, label) in enumerate(_read(html).links):
+                yield at, element, href, label
 
 
 def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with a row for each table row in ``html``; pages without any fall out."""
+    """``pages`` with a row for each table row in ``html``, ``head`` being the first row of its table; pages without any fall out."""
     return pages.lateralJoin(TableRows(F.col(html).outer()))
 
 
+def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` with a row for each link in ``html``: its place, element id, target and label."""
+    return pages.lateralJoin(Links(F.col(html).outer()))
+
+
 def page_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
@@ -109,23 +142,28 @@ def career_races(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Class names of the cells of result pages, with prizes and without.
+CLASSES = {"name": ("nome_cav_u", "nome_cav"), "place": ("piaz_u", "piaz"), "time": ("tempo_u", "tempo"), "distance": ("dist_cav_u", "dist_cav"), "driver": ("driver_u", "driver"), "prize": ("premio_u",)}
+
+
 def result_rows(pages: DataFrame) -> DataFrame:
     """Runners of result pages (race_date, track, sigla, html): cells are known by their class, with or without prizes."""
     rows = table_rows(pages).filter("section > 0 and table_id = 'tabella_risultati'")
 
-    def named(*classes: str) -> Column:
+    def named(field: str) -> Column:
+        classes = CLASSES[field]
         at = [F.get("cells", (F.array_position(F.col("classes"), c) - 1).cast("int")) for c in classes]
         return F.coalesce(truthy(*(F.when(F.array_contains("classes", c), x) for c, x in zip(classes, at, strict=True))), F.lit(""))
 
-    name = canonical_name(named("nome_cav_u", "nome_cav"))
-    place = named("piaz_u", "piaz")
+    name = canonical_name(named("name"))
+    place = named("place")
     return rows.filter(F.length(name) >= 2).select(
         name.alias("name"),
         placement(place, RESULT_MARK).alias("placement"),
-        placed_time(named("tempo_u", "tempo")).alias("time_km"),
-        leading_int(named("dist_cav_u", "dist_cav")).alias("distance"),
-        named("driver_u", "driver").alias("driver"),
-        local_number(named("premio_u")).alias("prize"),
+        placed_time(named("time")).alias("time_km"),
+        leading_int(named("distance")).alias("distance"),
+        named("driver").alias("driver"),
+        local_number(named("prize")).alias("prize"),
         F.concat_ws("_", "race_date", "sigla", F.concat(F.lit("R"), F.col("section"))).alias("race_code"),
         "race_date",
         "track",
@@ -140,10 +178,8 @@ HEADERS = {
 
 
 def header_races(pages: DataFrame) -> DataFrame:
-    """Races of pages (name, html) whose first table names its columns."""
-    rows = table_rows(pages)
-    first = rows.filter("row = 0").select(F.col("name").alias("__name"), F.transform("cells", lambda c: F.lower(c)).alias("__head"), F.col("table_id").alias("__table"))
-    body = rows.filter("row > 0 and size(cells) >= 3").join(first, F.col("name") == F.col("__name"))
+    """Races of pages (name, html) whose first table names its columns; other tables are not read."""
+    body = table_rows(pages).filter("table = 1 and row > 0 and size(cells) >= 3").withColumn("__head", F.transform("head", lambda c: F.lower(c)))
 
     def field(n: str) -> Column:
         return F.coalesce(truthy(*(F.when(F.array_contains("__head", h), F.get("cells", (F.array_position(F.col("__head"), h) - 1).cast("int"))) for h in HEADERS[n])), F.lit(""))
@@ -156,19 +192,38 @@ def header_races(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Labels of a detail page, the words that tell a sex, and the labels that end a name.
+LABELS = {"birth_year": ("Nato nel", "Anno di nascita"), "country": ("Paese", "Nazionalità", "Nazionalita"), "sire": ("Padre",), "dam": ("Madre",), "record_career": ("Record",)}
+MALE, FEMALE = ("maschio", "stallone", "geldone"), ("femmina", "fattrice", "puledra")
+NEXT_LABELS = ("Padre", "Madre", "Anno")
+
+
+def _labelled(text: Column, field: str) -> Column:
+    """What follows the first of the field's labels that the text has, without the colon."""
+    after = [F.get(F.split(text, label, 2), F.lit(1)) for label in LABELS[field]]
+    return F.ltrim(F.coalesce(*after), F.lit(": "))
+
+
 def detail_profile(pages: DataFrame) -> DataFrame:
-    """Profile of a detail page (name, html) by patterns."""
-    t = page_text(F.col("html"))
-    either = lambda p: F.coalesce(*(F.nullif(F.regexp_extract(t, p, k), F.lit("")) for k in (1, 2)))
-    one = lambda p: F.nullif(F.trim(F.regexp_extract(t, p, 1)), F.lit(""))
+    """Profile of a detail page (name, html): the values after known labels."""
+    text = page_text(F.col("html"))
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+    told = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
+
+    def name(field: str) -> Column:
+        parts = F.split(_labelled(text, field), " (?=" + "|".join(NEXT_LABELS) + ")", 2)
+        value = F.trim(F.get(parts, F.lit(0)))
+        return F.when((F.size(parts) == 2) & (value == F.upper(value)) & ~value.rlike("[0-9:]"), F.nullif(value, F.lit("")))
+
+    country = F.regexp_extract(_labelled(text, "country"), "^[A-Z]{2,3}", 0)
     return pages.select(
         "name",
-        either(r"Nato(?:a)?\s+nel\s+(\d{4})|Anno\s+di\s+nascita[:\s]+(\d{4})").try_cast("int").alias("birth_year"),
-        F.when(t.rlike(r"(?i)\b(maschio|stallone|geldone)\b"), "M").when(t.rlike(r"(?i)\b(femmina|fattrice|puledra)\b"), "F").alias("sex"),
-        either(r"Paese[:\s]+([A-Z]{2,3})|Nazionalit[aà][:\s]+([A-Z]{2,3})").alias("country"),
-        one(r"Padre[:\s]+([A-Z\s']+?)(?:\s+Madre|\s+Anno)").alias("sire"),
-        one(r"Madre[:\s]+([A-Z\s']+?)(?:\s+Padre|\s+Anno)").alias("dam"),
-        one(r"Record[:\s]+(\d+'\d+\"\d+)").alias("record_career"),
+        F.substring(_labelled(text, "birth_year"), 1, 4).try_cast("int").alias("birth_year"),
+        F.when(told(MALE), "M").when(told(FEMALE), "F").alias("sex"),
+        F.nullif(country, F.lit("")).alias("country"),
+        name("sire").alias("sire"),
+        name("dam").alias("dam"),
+        F.nullif(F.regexp_extract(_labelled(text, "record_career"), "^[0-9]+'[0-9]+\"[0-9]+", 0), F.lit("")).alias("record_career"),
     )
 
 
@@ -177,22 +232,28 @@ def page_links(pages: DataFrame, id_col: str = "page_id", html: str = "html") ->
     return pages.select(id_col, F.posexplode(links(F.col(html))).alias("position", "link"))
 
 
-def meetings(pages: DataFrame) -> DataFrame:
-    """Meetings that a home page (html) links to."""
-    found = pages.select(F.explode(links(F.col("html"))).alias("url")).filter(F.col("url").rlike(r"data=\d{4}-\d{2}-\d{2}"))
-    value = lambda k: F.coalesce(url_value(F.col("url"), k), F.lit(""))
-    return found.select(url_value(F.col("url"), "data").alias("data"), value("sigla").alias("sigla"), value("ippodromo").alias("ippodromo"), value("note_giorno").alias("note_giorno"), "url")
+#: The id of links to result pages, and the page that they lead to.
+RESULT_LINK, RESULT_PAGE = "link_risultati", "hRis.php?"
+
+
+def meetings(pages: DataFrame, base: str) -> DataFrame:
+    """Meetings that a home page (html) links to: ``data, sigla, ippodromo, note_giorno, url``, addresses going on from ``base``."""
+    found = anchors(pages).filter((F.col("element") == RESULT_LINK) & F.regexp_extract("href", r"data=(\d{4}-\d{2}-\d{2})", 1).try_cast("date").isNotNull())
+    value = lambda k: F.coalesce(url_value(F.col("href"), k), F.lit(""))
+    query = F.get(F.split("href", r"\?", 2), F.lit(1))
+    url = F.concat(F.lit(base), F.coalesce(F.concat(F.lit(RESULT_PAGE), query), F.col("href")))
+    return found.select(F.substring(value("data"), 1, 10).alias("data"), value("sigla").alias("sigla"), value("ippodromo").alias("ippodromo"), value("note_giorno").alias("note_giorno"), url.alias("url"))
 
 
-def horse_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """``name, birth_year, url_detail``: horses that home pages link to, each (name, year) once."""
-    anchors = F.regexp_extract_all(F.col("html"), F.lit(r'(?s)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), 1)
-    found = pages.select(id_col, F.posexplode(anchors).alias("at", "a"))
-    href, label = F.regexp_extract("a", r'href="([^"]*)"', 1), F.upper(page_text(F.col("a")))
-    both = F.concat_ws(" ", href, label)
-    year = F.coalesce(*(F.nullif(F.regexp_extract(both, r"anno=(\d{4})|birth_year=(\d{4})|[(\[](\d{4})[)\]]", k), F.lit("")) for k in (1, 2, 3))).try_cast("int")
-    rows = found.filter((F.contains(href, F.lit("horse.php")) | F.contains(F.lower(href), F.lit("cavallo"))) & (F.length(label) >= 2))
-    return rows.groupBy(label.alias("name"), year.alias("birth_year")).agg(F.min_by(href, F.struct(id_col, "at")).alias("url_detail"))
+def horse_links(pages: DataFrame, base: str, id_col: str = "page_id") -> DataFrame:
+    """``name, birth_year, url_detail``: horses that home pages link to, each (name, year) once; relative addresses go on from ``base``."""
+    found = anchors(pages).withColumn("name", F.upper("label"))
+    found = found.filter((F.contains(F.lower("href"), F.lit("cavallo")) | F.contains("href", F.lit("horse.php"))) & (F.length("name") >= 2))
+    bracketed = F.substring_index(F.get(F.split(F.translate("name", "[]", "()"), r"\(", 2), F.lit(1)), ")", 1)
+    four = lambda c: F.when(c.rlike("^[0-9]{4}$"), c).try_cast("int")
+    year = F.coalesce(*(four(F.substring(url_value(F.col("href"), k), 1, 4)) for k in ("anno", "birth_year")), four(bracketed))
+    url = F.when(F.startswith("href", F.lit("http")), F.col("href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim("href", F.lit("/"))))
+    return found.groupBy("name", year.alias("birth_year")).agg(F.min_by(url, F.struct(id_col, "at")).alias("url_detail"))
 
 
 PEDIGREE = "array<map<string,struct<nome:string>>>"
@@ -200,12 +261,18 @@ PEDIGREE = "array<map<string,struct<nome:string>>>"
 PEDIGREE_KEYS = {"p": "sire", "m": "dam", "pp": "sire_sire", "mp": "sire_dam", "pm": "dam_sire", "mm": "dam_dam"}
 
 
+#: What precedes the data in the page, and the function that it is given to.
+SCRIPT, CALL = "data:text/javascript;base64,", "populateTableWithJSON"
+
+
 def pedigree_pages(pages: DataFrame) -> DataFrame:
     """``name`` and six ancestors from pedigree pages (name, html), whose data is a script in Base64."""
-    scripts = F.regexp_extract_all(F.col("html"), F.lit(r'<script src="data:text/javascript;base64,([^"]+)"'), 1)
-    decoded = F.transform(scripts, lambda s: F.decode(F.try_to_binary(s, F.lit("base64")), "UTF-8"))
-    call = F.get(F.filter(decoded, lambda s: F.contains(s, F.lit("populateTableWithJSON"))), F.lit(0))
-    document = F.from_json(F.regexp_extract(call, r"(?s)populateTableWithJSON\(\s*(\[.*?\])\s*,\s*['\"]cavallo['\"]\s*\)", 1), PEDIGREE)
+    scripts = F.slice(F.split("html", SCRIPT), 2, 1 << 20)
+    decoded = F.transform(scripts, lambda s: F.decode(F.try_to_binary(F.substring_index(s, '"', 1), F.lit("base64")), "UTF-8"))
+    call = F.get(F.filter(decoded, lambda s: F.contains(s, F.lit(CALL))), F.lit(0))
+    # the first argument: what stands between the call and its second argument, without the comma between them
+    first = F.get(F.split(F.get(F.split(call, CALL + r"\(", 2), F.lit(1)), "['\"]cavallo['\"]", 2), F.lit(0))
+    document = F.from_json(F.trim(F.regexp_replace(first, ",\\s*$", "")), PEDIGREE)
     named = lambda k: canonical_name(F.get(F.filter(F.transform("__d", lambda m: F.try_element_at(m, F.lit(k))["nome"]), lambda x: x.isNotNull()), F.lit(0)))
     return pages.select("name", document.alias("__d")).select("name", *(named(k).alias(c) for k, c in PEDIGREE_KEYS.items()))
 

@@ -44,7 +44,3 @@ def test_models_are_trained_whole(spark, monkeypatch):
     catalogue.QUERIES["train_models"](spark, SF)
     assert [(a["rounds"], a["folds"], a["depth"], a["rate"]) for a in asked] == [(150, 5, 3, 0.08)]
 
-
-def test_html_rows(spark):
-    rows = catalogue.QUERIES["html_table_rows"](spark, SF)
-    assert rows.count() > 0
