@@ -65,7 +65,8 @@ def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null and lang <> ''")
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    share = rows.groupBy("lang").agg((F.lit(float(sample_texts)) / F.approx_count_distinct("hash", 0.02)).alias("share"))  # a row a language
+    # a row a language: staged, so that Spark sees how small it is and leaves the texts where they lie
+    share = staged(rows.groupBy("lang").agg((F.lit(float(sample_texts)) / F.approx_count_distinct("hash", 0.02)).alias("share")))
     drawn = rows.join(share, "lang").filter((F.col("hash") / F.lit(2.0**64) + 0.5) < F.col("share"))
     return drawn.dropDuplicates(["lang", "hash"]).select("text", "lang")
 
