@@ -28,7 +28,7 @@ from .common import staged, tasks
 from .jaccard import Words, mixed
 
 #: Tokens of a chunk, the unit that is sorted at once in a task, and training tokens of a shard at most, about.
-CHUNK, SHARD = 1_000_000, 2_000_000
+CHUNK, SHARD = 800_000, 1_000_000
 #: Levels of the quantised logs; they lie evenly between the least and the largest of a shard.
 LEVELS = 1 << 8
 #: Bits of a context's hash that are kept within its word, and within its word and context.
@@ -375,9 +375,19 @@ class _Block:
         return self.w[self.word_of[pair]], self.v[pair], self.u[some], c[some]
 
 
+def _views(table: pa.Table) -> list[dict]:
+    """The rows of a table whose binary values are views, not copies."""
+    out = []
+    for batch in table.to_batches():
+        for i in range(batch.num_rows):
+            values = ((n, batch.column(k)[i]) for k, n in enumerate(batch.schema.names))
+            out.append({n: memoryview(x.as_buffer()) if x.is_valid and pa.types.is_binary(x.type) else x.as_py() for n, x in values})
+    return out
+
+
 def _score_shard(table: pa.Table, base: Base, prior: float, back: float) -> list[dict]:
     """Builds the shard's trie from its training events and sums up what it says of all events, a document at a time."""
-    rows = table.to_pylist()
+    rows = _views(table)
     trained = [_Block(b).trained(b["train"]) for b in rows]
     trie = Trie.mapped(Trie.build(*(np.concatenate(x) for x in zip(*trained, strict=True)), base, prior, back))
     del trained
@@ -398,7 +408,7 @@ def _score_shard(table: pa.Table, base: Base, prior: float, back: float) -> list
         event_word = b.word_of[b.pair_of][b.triple_of]
         there, at = np.unique(b.docs, return_inverse=True)
         out.append({
-            "chunk": row["chunk"], "ids": row["ids"], "held": row["held"], "sizes": row["sizes"], "docs": _slim(there),
+            "chunk": row["chunk"], **{n: None if row[n] is None else bytes(row[n]) for n in ("ids", "held", "sizes")}, "docs": _slim(there),
             "base": np.bincount(at, base_log[event_word]).tobytes(), "score": np.bincount(at, (over3 - under[b.pair_of])[b.triple_of]).astype(np.float32).tobytes(),
             "known": _slim(np.bincount(at, (known > 0)[event_word]).astype(np.int64)),
         })
