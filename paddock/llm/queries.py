@@ -23,8 +23,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the ratio of the oracle, not the operator's own."""
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), ratio=0.1)
+    """With the operator's own ratio of a fiftieth and at least five pages."""
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "source", "text", F.col("lines_dropped").cast("long").alias("lines_dropped"))
 
 
@@ -35,7 +35,7 @@ WITH lines AS (
 pages AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 boiler AS (
   SELECT l.source, l.bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM lines WHERE bare <> '' GROUP BY source, bare) l
-  JOIN pages p ON l.source = p.source WHERE l.n >= 5 AND l.n > 0.1 * p.n)
+  JOIN pages p ON l.source = p.source WHERE l.n >= 5 AND l.n > 0.02::DOUBLE * p.n)
 SELECT l.doc_id, l.source, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (b.bare IS NULL), '') AS text,
        count(*) FILTER (b.bare IS NOT NULL) AS lines_dropped
 FROM lines l LEFT JOIN boiler b ON l.source = b.source AND l.bare = b.bare
