@@ -33,6 +33,8 @@ FILTER_BITS = 26
 #: 64-bit words of a set's sketch.
 SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+#: Keys that over a thousandth of all rows have are fewer than this, so a number for each can be sent to every task.
+HOT = 1000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -193,24 +195,43 @@ def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, members array<long>")
 
 
+def _frequent(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """``at``: the keys that over a thousandth of the ``total`` rows have."""
+    counted = rows.groupBy(F.col(key).alias("at")).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.filter(F.col("rows") * HOT > total).select("at")
+
+
+def _looked_up(rows: DataFrame, key: str, hot: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """``rows`` with the ``value`` that ``table``, of one row for each ``at``, has for their ``key``.
+
+    What the keys ``hot`` find is sent to their rows, so no task gets all rows of one; the others are met by a shuffle.
+    """
+    few = F.broadcast(table.join(F.broadcast(hot), "at"))
+    marked = rows.join(few, F.col(key) == F.col("at"), "left").drop("at")
+    far = marked.filter(F.col(value).isNull()).drop(value).join(table, F.col(key) == F.col("at")).drop("at")
+    return marked.filter(F.col(value).isNotNull()).unionByName(far)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node that each end of an edge ``(a, b)`` reaches; least labels with hooking and pointer jumping.
 
     A node takes the least of its own label and its neighbours', its label's node takes the least that it finds this way (so
     trees hook onto lower ones as a whole, and a chain needs rounds by the log of its length), then each label becomes its
-    label's label. Labels only fall, so this ends; it goes on until nothing changes. Labels are staged each round; ends
-    with a third of all edges are partially aggregated.
+    label's label. Labels only fall, so this ends; it goes on until nothing changes. Labels are staged each round. A node
+    with a third of all edges, or a label with a third of all nodes, is met where its rows lie; sums are partial first.
     """
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    hubs, nodes = staged(_frequent(both, "b", both.count())), labels.count()
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        near = _looked_up(both, "b", hubs, labels.withColumnRenamed("node", "at"), "component").groupBy("a").agg(F.min("component").alias("near"))
         found = labels.join(near, labels["node"] == near["a"], "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         found = staged(found)
         hooks = found.groupBy(F.col("component").alias("root")).agg(F.min("low").alias("hook"))
         lower = staged(found.join(hooks, found["node"] == hooks["root"], "left").select("node", "component", F.least("low", F.coalesce("hook", "low")).alias("low")))
-        up = lower.select(F.col("node").alias("up"), F.col("low").alias("jump"))
-        labels = staged(lower.join(up, lower["low"] == up["up"], "left").select("node", F.coalesce("jump", "low").alias("component"), (F.coalesce("jump", "low") != lower["component"]).alias("moved")))
+        up = lower.select(F.col("node").alias("at"), F.col("low").alias("jump"))
+        jumped = _looked_up(lower, "low", _frequent(lower, "low", nodes), up, "jump")
+        labels = staged(jumped.select("node", F.col("jump").alias("component"), (F.col("jump") != F.col("component")).alias("moved")))
         if labels.filter("moved").isEmpty():
             return labels.select("node", "component")
         labels = labels.select("node", "component")

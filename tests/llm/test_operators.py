@@ -106,6 +106,42 @@ def test_jaccard_long_chains(spark):
     assert got == {node: 0 if node < 1000 else 1000 for node, _ in rows}
 
 
+@pytest.mark.parametrize("hot", [2, 1000, 1 << 40])
+def test_components_with_hubs(spark, monkeypatch, hot):
+    """Hubs, chains between them and lone pairs, whichever keys count as frequent: all, some or none."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rng = random.Random(7)
+    edges = [(5000, i) for i in range(1000, 1400)] + [(i, 6000) for i in range(2000, 2300)] + [(1399, 7000), (7000, 7001), (7001, 2000)]
+    edges += [(i, i + 1) for i in range(8000, 8100, 2)] + [(9000, 9000), (5000, 1000)]
+    rng.shuffle(edges)
+    by = {}
+
+    def root(i):
+        while by.setdefault(i, i) != i:
+            i = by[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((root(a), root(b)))
+            by[high] = low
+    got = jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(by) and {r.node: r.component for r in got} == {i: root(i) for i in list(by)}
+
+
+def test_components_of_nothing(spark):
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("path", [LOWER, BYTE])
+def test_word_ids_of_any_file(path):
+    """A file whose texts may not be cut goes to the library whole."""
+    ids, library = packing.WordIds(path), Tokenizer.from_file(path)
+    assert ids.cut == (path == LOWER)
+    texts = ["", " ", "Ab, c\nd. e", "don't  stop,\tno.", "x <|endoftext|> y", "\u03a3\u03a3 a", "ein , zwei\n\ndrei"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_counts(spark):
     rows = awkward()
     library = Tokenizer.from_file(BYTE)
