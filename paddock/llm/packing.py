@@ -11,6 +11,7 @@ best-fit decreasing over all pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,19 +34,36 @@ LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: So many of these go to the library as one text.
 JOINED = 256
 
+# The settings of tokenizers files whose texts may be cut as ``WordIds`` does.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def may_be_cut(settings: dict) -> bool:
+    """Whether a tokenizers file lowers case, drops white space, splits letters from marks, neither adds nor cuts ids, and has control strings that all begin as ``encode`` expects."""
+    return (
+        (settings["normalizer"] or {}).get("normalizers") == NORMALIZERS
+        and (settings["pre_tokenizer"] or {}).get("pretokenizers") == [SPLIT, BYTES]
+        and not any(settings[part] for part in ("truncation", "padding", "post_processor"))
+        and all(a["content"].startswith("<|") for a in settings["added_tokens"])
+    )
+
 
 class WordIds:
     """Ids of texts by a tokenizers file that lowers case, drops white space and never joins letters to marks, with the
     ids of frequent chunks kept. Texts are lowered first (unless they hold the one letter whose lower case depends on its place, or what may be a
     control string) and cut
     at U+0020, at U+000A and before single marks; anything else, other white space included, is left to the library.
-    New chunks of letters alone go to it joined by blanks, and its ids are told apart at those that end a word."""
+    New chunks of letters alone go to it joined by blanks, and its ids are told apart at those that end a word.
+    Whether the file is of this kind is looked up in its settings; whole texts go to the library if it is not."""
 
     def __init__(self, path: str, cached: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.cached = Tokenizer.from_file(path), {"": b""}, cached
+        self.cut = may_be_cut(json.loads(self.tokenizer.to_str()))
         vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
@@ -68,6 +86,8 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.cut:
+            return [ids.tobytes() for ids in self._library(texts)]
         lowered = (t if "\u03a3" in t or "<|" in t else t.lower() for t in texts)
         split = [MARK.sub(r" \1", t).replace("\n", " ").split(" ") for t in lowered]
         known = self.known
