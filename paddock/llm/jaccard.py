@@ -237,16 +237,27 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "component")
 
 
+def _with_set(pairs: DataFrame, narrow: DataFrame, total: int, sets: DataFrame, end: str) -> DataFrame:
+    """``pairs`` with ``set_<end>``, the whole set of that end. An end of over a thousandth of the ``total`` rows of ``narrow``, the pairs alone, is split into
+    parts of about that many, each with a copy of its set: fewer than twice HOT copies, and no pair goes."""
+    counted = narrow.groupBy(F.col(end).alias("at")).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") * HOT > total)
+    hot = F.broadcast(staged(counted.select("at", F.ceil(F.col("rows") * HOT / total).cast("int").alias("parts"))))
+    dealt = pairs.join(hot, F.col(end) == F.col("at"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"), F.lit(0))).drop("at", "parts")
+    copies = sets.join(hot, F.col("id") == F.col("at"), "left").select(F.col("id").alias(end), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("members").alias(f"set_{end}"))
+    return dealt.join(copies, [end, "part"]).drop("part")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose whole sets reach the threshold."""
     pairs = staged(pairs)
     ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = staged(_whole(docs, ids, width))
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
+    total = max(1, pairs.count())
+    with_a = _with_set(pairs, pairs, total, sets, "a")
+    with_both = _with_set(with_a, pairs, total, sets, "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     reached = both * 100 >= percent * (F.size("set_a") + F.size("set_b") - both)
-    return staged(pairs.join(left, "a").join(right, "b").filter(reached).select("a", "b").distinct())
+    return staged(with_both.filter(reached).select("a", "b").distinct())
 
 
 def _near(a: Column, b: Column, percent: int) -> Column:
