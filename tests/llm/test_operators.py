@@ -129,6 +129,19 @@ def test_components_with_hubs(spark, monkeypatch, hot):
     assert len(got) == len(by) and {r.node: r.component for r in got} == {i: root(i) for i in list(by)}
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_linked_with_a_hub(spark, monkeypatch, hot):
+    """Pairs of one hub, at either end, and others: those that link stay, each once."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    words = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join(words[: 100 - i % 40]) for i in range(80)}
+    pairs = [(0, i) for i in range(1, 80)] + [(i, 79) for i in range(60)] + [(3, 4), (3, 4)]
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = jaccard._linked(spark.createDataFrame(pairs, "a long, b long"), docs, 5, 80).collect()
+    sets = {i: shingled(t) for i, t in texts.items()}
+    assert sorted(map(tuple, got)) == sorted({(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])})
+
+
 def test_components_of_nothing(spark):
     assert jaccard.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
