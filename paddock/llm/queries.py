@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import ann, chat, jaccard, language_id, line_dedup, lm, mixing, packing, tokens, topk
+from . import ann, chat, jaccard, language_id, line_dedup, lm, mixing, packing, sharding, tokens, topk
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,33 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), lambda i: F.crc32(i.cast("string").cast("binary")) % 7 == 2)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards in three regions of two racks; one more shard is a region of its own."""
+    found = sharding.assign(table(spark, sf_dir, "documents"), sharding.Tree.of(24))
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+# The checksum bit by bit: each byte is followed by eight steps. Draws: regions of weight 8 (one more of 1), racks of 4, shards of 1.
+OP11 = r"""
+WITH b AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, coalesce('=' || doc_id, '-') AS key,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+d AS (
+  SELECT doc_id, size, key, ('0x' || substr(md5('11:slot:' || key), 1, 12))::BIGINT AS place,
+    xor(list_reduce(list_prepend(4294967295, flatten(list_transform(bytes, lambda x: [x, 256, 256, 256, 256, 256, 256, 256, 256]))),
+      lambda c, x: CASE WHEN x < 256 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS text_crc32,
+    list_transform(range(0, 4), lambda i: -ln((('0x' || substr(md5('11:' || i || ':' || key), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656) / CASE WHEN i < 3 THEN 8 ELSE 1 END) AS draws FROM b),
+r AS (SELECT *, list_position(draws[1:3], list_min(draws[1:3])) - 1 AS region, list_position(draws, list_min(draws)) = 4 AS more FROM d),
+k AS (SELECT *, list_transform(range(0, 2), lambda i: -ln((('0x' || substr(md5('11:' || region || ':' || i || ':' || key), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656) / 4) AS racks FROM r),
+s AS (SELECT *, list_position(racks, list_min(racks)) - 1 AS rack FROM k),
+t AS (SELECT *, list_transform(range(0, 4), lambda i: -ln((('0x' || substr(md5('11:' || region || ':' || rack || ':' || i || ':' || key), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656)) AS leaves FROM s),
+u AS (SELECT *, (8 * region + 4 * rack + list_position(leaves, list_min(leaves)) - 1)::INT AS shard FROM t)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, size, text_crc32) - 1 AS slot, CASE WHEN more THEN 24 ELSE shard END AS grown_shard
+FROM u
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -133,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op8_token_counts": op8_token_counts,
     "op9_lm_scoring": op9_lm_scoring,
+    "op11_sharding": op11_sharding,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_mixing": OP4, "op5_chat_formatting": OP5, "op7_exact_top_k": OP7}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_mixing": OP4, "op5_chat_formatting": OP5, "op7_exact_top_k": OP7, "op11_sharding": OP11}
