@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import ann, chat, jaccard, language_id, line_dedup, lm, mixing, packing, sharding, tokens, topk
+from . import alignment, ann, chat, jaccard, language_id, line_dedup, lm, mixing, packing, sharding, tokens, topk
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +149,10 @@ FROM u
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -161,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_lm_scoring": op9_lm_scoring,
     "op11_sharding": op11_sharding,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_mixing": OP4, "op5_chat_formatting": OP5, "op7_exact_top_k": OP7, "op11_sharding": OP11}
