@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import alignment, ann, chat, jaccard, language_id, line_dedup, lm, mixing, packing, sharding, tokens, topk
+from . import alignment, ann, chat, codes, jaccard, language_id, line_dedup, lm, mixing, packing, sharding, tokens, topk
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +153,38 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _op13(rounds: int = 6) -> str:
+    """Assignments and moves in turn, as many as there are rounds; of equal distances the lower index is least."""
+    steps = [
+        """
+a{0} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min(list_sum(list_transform(x, lambda y, i: (y - c[i]) * (y - c[i])))::HUGEINT * 16 + e) AS best
+                      FROM parts JOIN b{0} USING (p) GROUP BY vec_id, p)"""
+        + """,
+s{1} AS (SELECT p, best % 16 AS e, i, sum(x[i]) AS total, count(*) AS n FROM a{0}, range(1, 9) AS r(i) GROUP BY ALL),
+m{1} AS (SELECT p, e, list((total - ((total % n) + n) % n) // n ORDER BY i) AS c FROM s{1} GROUP BY p, e),
+b{1} AS MATERIALIZED (SELECT p, e, coalesce(m{1}.c, b{0}.c) AS c FROM b{0} LEFT JOIN m{1} USING (p, e))"""
+        * (k < rounds)
+        for k in range(rounds + 1)
+    ]
+    turns = ",".join(step.format(k, k + 1) for k, step in enumerate(steps))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * 8 + 1 : p * 8 + 8] AS x FROM kept, range(0, 8) AS r(p)),
+b0 AS MATERIALIZED (SELECT p, e, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 16),{turns},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', (best % 16)::INT), '' ORDER BY p) AS code, sum(best // 16)::BIGINT AS error
+          FROM a{rounds} JOIN kept USING (vec_id) GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -166,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op11_sharding": op11_sharding,
     "op12_alignment": op12_alignment,
+    "op13_codes": op13_codes,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_mixing": OP4, "op5_chat_formatting": OP5, "op7_exact_top_k": OP7, "op11_sharding": OP11}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_mixing": OP4, "op5_chat_formatting": OP5, "op7_exact_top_k": OP7, "op11_sharding": OP11, "op13_codes": _op13()}
