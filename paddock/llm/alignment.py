@@ -1,7 +1,8 @@
 """Operator 12: alignment of two tokenizers by a cogroup of postings.
 
 Each task reads its texts once. A text's tokens under both tokenizers cover the same bytes; where both have an end, a group
-ends, and each stretch between two neighbouring ends of either is one link: a pair of tokens that overlap. Of a chunk of
+ends, and each stretch between two neighbouring ends of either is one link: a pair of tokens that overlap. Where neither tokenizer
+joins what stands before a blank to what follows, texts are cut there into units, and each distinct unit is aligned once. Of a chunk of
 documents a task writes a row a document (counts and groups) and, for each id of side A, its postings: the ids of side B it
 is linked with, in how many of the chunk's documents, and per document how often.
 
@@ -15,7 +16,9 @@ up in the stream as far as they fit, and then by document.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +29,12 @@ from pyspark.sql import DataFrame, functions as F
 from .common import staged, tasks
 from .tokens import _alphabet
 
-#: Bytes of text that a task aligns at a time (one text at least): so many tokens of both sides are held at once.
-CHUNK_BYTES = 1 << 23
+#: Characters of text that a task aligns at a time (one text at least): so many units, or tokens of both sides, are held at once.
+CHUNK_CHARS = 1 << 22
+#: Units that a worker keeps aligned, and the characters of the longest one kept.
+KEPT, KEPT_CHARS = 500_000, 64
+#: So many units go to a library as one text.
+JOINED = 256
 #: A ids with over a thousandth of all postings are fewer than this, so a number for each can be sent to every task.
 HOT = 1000
 #: Contributions that a stream holds before it adds them up by document and, if that does not halve them, gives them out.
@@ -37,14 +44,27 @@ DOC = "key long, id long, n_a long, n_b long, n_groups long, n_links long, group
 POSTING = "a int, bs array<int>, ns array<int>, first long, docs array<int>, times array<int>"
 
 
+#: A unit: a blank and all up to the next blank that does not follow white space.
+UNIT = re.compile(r" (?:[^ ]+|(?<=\s) )*")
+
+
 class Side:
-    """A tokenizer's ids of texts, the bytes of each id, and the ids as text."""
+    """A tokenizer's ids of texts, the bytes of each id, and whether the ids of a text are those of its units."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
-        self.encode, self.bytes = encode, token_bytes
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes], cut: bool):
+        self.encode, self.bytes, self.cut = encode, token_bytes, cut
         self.lengths = np.array([len(b) for b in token_bytes], np.int64)
 
 
+def _joins(tokens: list[str]) -> bool:
+    """Whether a token goes on with a blank after something that is not white space."""
+    return any(re.search(r"\S ", t) for t in tokens)
+
+
+# The setting of tokenizers files whose pretokens hold white space at their start alone, or are white space.
+PRETOKENS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
 def byte_level_side(path: str) -> Side:
     """A tokenizers file of the byte-level kind; its special strings are plain text, and each text gets a space in front."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -58,7 +78,9 @@ def byte_level_side(path: str) -> Side:
     table = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         table[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-    return Side(lambda texts: [e.ids for e in tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)], table)
+    settings = json.loads(tokenizer.to_str())
+    cut = settings["normalizer"] is None and settings["pre_tokenizer"] == PRETOKENS and not _joins([t.decode(errors="replace") for t in table])
+    return Side(lambda texts: [e.ids for e in tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)], table, cut)
 
 
 def piece_side(path: str) -> Side:
@@ -66,8 +88,11 @@ def piece_side(path: str) -> Side:
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    table = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())]
-    return Side(lambda texts: model.encode(texts, num_threads=1), table)
+    pieces = [model.id_to_piece(i).replace("▁", " ") for i in range(model.get_piece_size())]
+    table = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.encode() for i, p in enumerate(pieces)]
+    # merges keep to a unit if no piece goes beyond one, and the text reaches them unchanged
+    same = all(model.normalize(x) == "▁" + x.replace(" ", "▁") for x in ("a", "  a  b\n c ", "\t a\u3000 b"))
+    return Side(lambda texts: model.encode(texts, num_threads=1), table, same and not _joins(pieces))
 
 
 _SIDES: dict[str, Side] = {}
@@ -80,37 +105,71 @@ def side(path: str) -> Side:
     return _SIDES[path]
 
 
-def _ids(s: Side, texts: list[str]) -> list[list[int]]:
-    """Without tokens where the tokens' bytes are not those of a space and the text."""
-    return [ids if b"".join(map(s.bytes.__getitem__, ids)) == b" " + t.encode() else [] for ids, t in zip(s.encode(texts), texts, strict=True)]
+_UNITS: dict[tuple[str, str], Units] = {}
+
+
+def units(left: str, right: str) -> Units:
+    if (left, right) not in _UNITS:
+        _UNITS[left, right] = Units(side(left), side(right))
+    return _UNITS[left, right]
+
+
+def _flat_ids(s: Side, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ids of all texts, which stand with their blanks in front, and the bytes of each text; None if the tokens of a text do not spell it."""
+    found = s.encode([t[1:] for t in texts])
+    ids = np.concatenate([np.array(x, np.int64) for x in found]) if found else np.empty(0, np.int64)
+    whole = "".join(texts).encode()
+    if b"".join(map(s.bytes.__getitem__, ids.tolist())) != whole:
+        return None
+    sizes = np.array([len(t) for t in texts] if len(whole) == sum(map(len, texts)) else [len(t.encode()) for t in texts], np.int64)
+    ends, upto = np.cumsum(s.lengths[ids]), np.cumsum([len(x) for x in found], dtype=np.int64)
+    return (ids, sizes) if (ends[upto - 1] == np.cumsum(sizes)).all() else None
 
 
 class Aligned:
-    """The tokens of a chunk of texts under both sides.
+    """The tokens of texts under both sides, from their ids, one text after the other, and the bytes of each text.
 
-    ``a, b``: all ids, one text after the other; ``upto_a, upto_b, upto_groups, upto_links``: how many there are up to the end of each text;
-    ``group_a, group_b``: the group of each token; ``link_a, link_b``: the tokens of each link. All numbers count from the chunk's start.
+    ``a, b``: the ids; ``upto_a, upto_b, upto_groups, upto_links``: how many there are up to the end of each text;
+    ``group_a, group_b``: the group of each token; ``link_a, link_b``: the tokens of each link. All numbers count from the start.
     """
 
-    def __init__(self, left: Side, right: Side, texts: list[str]):
-        full = [i for i, t in enumerate(texts) if t]
-        two = [_ids(s, [texts[i] for i in full]) for s in (left, right)]
-        ids: list[list[list[int]]] = [[[] for _ in texts], [[] for _ in texts]]
-        for i, x, y in zip(full, *two, strict=True):
-            if x and y:
-                ids[0][i], ids[1][i] = x, y
-        flat = [np.fromiter((t for text in some for t in text), np.int64, sum(map(len, some))) for some in ids]
-        self.a, self.b = flat
-        ends_a, ends_b = np.cumsum(left.lengths[self.a]), np.cumsum(right.lengths[self.b])
-        # both sides cover the same bytes, so each text ends where tokens of both end
-        self.upto_a, self.upto_b = (np.cumsum([len(t) for t in some], dtype=np.int64) for some in ids)
+    def __init__(self, left: Side, right: Side, a: np.ndarray, b: np.ndarray, sizes: np.ndarray):
+        self.a, self.b = a, b
+        ends_a, ends_b, ends = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b]), np.cumsum(sizes)
         both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
         twice = both[1:] == both[:-1]
         common, every = both[1:][twice], both[np.append(~twice, True)] if len(both) else both
         self.group_a, self.group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
         self.link_a, self.link_b = np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
-        bytes_upto = np.concatenate([[0], ends_a])[self.upto_a]
-        self.upto_groups, self.upto_links = np.searchsorted(common, bytes_upto, side="right"), np.searchsorted(every, bytes_upto, side="right")
+        self.upto_a, self.upto_b, self.upto_groups, self.upto_links = (np.searchsorted(x, ends, side="right") for x in (ends_a, ends_b, common, every))
+
+    @classmethod
+    def of(cls, left: Side, right: Side, texts: list[str]) -> Aligned:
+        """Of texts with their blanks in front; those that either side does not spell have no tokens."""
+        found = [_flat_ids(s, texts) for s in (left, right)]
+        sizes = None
+        if None in found:  # one by one, to find which
+            kept = [[_flat_ids(s, [t]) for s in (left, right)] for t in texts]
+            none = (np.empty(0, np.int64), np.zeros(1, np.int64))
+            kept = [[none, none] if None in two else two for two in kept]
+            found = [tuple(np.concatenate(x) for x in zip(*(two[i] for two in kept), strict=True)) for i in (0, 1)]
+        (a, sizes), (b, _) = found
+        return cls(left, right, a, b, sizes)
+
+    @classmethod
+    def of_units(cls, left: Side, right: Side, units: list[str]) -> Aligned:
+        """Of units, which go to the libraries many at a time: their tokens are told apart at the units' ends."""
+        joined, found = ["".join(units[i : i + JOINED]) for i in range(0, len(units), JOINED)], []
+        if not any(u[-1].isspace() for u in units):  # else a unit would not end where the next begins
+            found = [_flat_ids(s, joined) for s in (left, right)]
+        if not found or None in found:
+            return cls.of(left, right, units)
+        sizes = np.array([len(u.encode()) for u in units], np.int64)
+        return cls(left, right, found[0][0], found[1][0], sizes)
+
+    def counts(self) -> np.ndarray:
+        """Of each text: tokens of A, of B, groups, links."""
+        return np.stack([np.diff(upto, prepend=0) for upto in (self.upto_a, self.upto_b, self.upto_groups, self.upto_links)], axis=1)
 
     def groups(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each text."""
@@ -130,21 +189,118 @@ class Aligned:
             start = stop
         return out
 
-    def postings(self) -> pa.RecordBatch | None:
-        """A row for each A id with a link: ``a, bs, ns, docs, times``; the documents of each of ``bs`` stand one after the other."""
-        if not len(self.link_a):
-            return None
-        docs = np.searchsorted(self.upto_links, np.arange(len(self.link_a)), side="right")
-        n, wide = len(self.upto_links), int(self.b.max()) + 1
-        found, times = np.unique((self.a[self.link_a] * wide + self.b[self.link_b]) * n + docs, return_counts=True)
-        pairs, starts = np.unique(found // n, return_index=True)
-        counts = np.diff(np.append(starts, len(found)))
-        a, first = np.unique(pairs // wide, return_index=True)
-        of_b = pa.array(np.append(first, len(pairs)).astype(np.int32))
-        of_doc = pa.array(np.append(starts[first], len(found)).astype(np.int32))
-        ints = lambda x: pa.array(x.astype(np.int32))
-        lists = [pa.ListArray.from_arrays(o, ints(x)) for o, x in ((of_b, pairs % wide), (of_b, counts), (of_doc, found % n), (of_doc, times))]
-        return pa.RecordBatch.from_arrays([ints(a), *lists], ["a", "bs", "ns", "docs", "times"])
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two ids of each link."""
+        return self.a[self.link_a], self.b[self.link_b]
+
+
+class Units:
+    """Alignments of distinct units, of which those of ``KEPT`` are kept: counts and groups of each, and the links of all, one unit's after the other."""
+
+    def __init__(self, left: Side, right: Side):
+        self.sides, self.at, self.groups = (left, right), {}, []
+        self.counts = np.zeros((0, 4), np.int64)
+        self.link_a, self.link_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, units: list[str]) -> None:
+        plain = [u for u in units if not ("▁" in u or u[-1].isspace())]
+        for some, of in ((plain, Aligned.of_units), (list(set(units).difference(plain)), Aligned.of)):
+            if some:
+                found = of(*self.sides, some)
+                self.at.update(zip(some, range(len(self.groups), len(self.groups) + len(some)), strict=True))
+                self.groups += found.groups()
+                self.counts = np.concatenate([self.counts, found.counts()])
+                self.link_a, self.link_b = (np.concatenate(x) for x in zip((self.link_a, self.link_b), found.links(), strict=True))
+
+    def shrink(self) -> None:
+        """Forgets units that are too long to meet again, and the last ones beyond ``KEPT``."""
+        if len(self.groups) > KEPT or any(len(u) > KEPT_CHARS for u in list(self.at)[self.short :]):
+            stay = [u for u in self.at if len(u) <= KEPT_CHARS][:KEPT]
+            old = np.array([self.at[u] for u in stay], np.int64)
+            rows = spread(self.starts()[old], self.counts[old, 3])
+            self.at, self.groups = {u: i for i, u in enumerate(stay)}, [self.groups[i] for i in old.tolist()]
+            self.counts, self.link_a, self.link_b = self.counts[old], self.link_a[rows], self.link_b[rows]
+        self.short = len(self.at)
+
+    short = 0
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.counts[:, 3]) - self.counts[:, 3]
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of each run, one run after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def cut_units(text: str) -> list[str]:
+    units = UNIT.findall(f" {text}")
+    if units[-1] == " ":  # a blank that ends a text belongs to what it follows
+        units[-2:] = ["".join(units[-2:])]
+    return units
+
+
+Chunk = tuple[np.ndarray, list[str], pa.RecordBatch | None]
+
+
+def whole_chunk(left: Side, right: Side, texts: list[str]) -> Chunk:
+    """Counts of each text (tokens of either side, groups, links), their groups, and the postings; by whole texts."""
+    full = [i for i, t in enumerate(texts) if t]
+    x = Aligned.of(left, right, [f" {texts[i]}" for i in full])
+    counts, groups = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
+    counts[full] = x.counts()
+    for i, g in zip(full, x.groups(), strict=True):
+        groups[i] = g
+    docs = np.array(full, np.int64)[np.searchsorted(x.upto_links, np.arange(len(x.link_a)), side="right")]
+    return counts, groups, postings(*x.links(), docs, np.ones(len(docs), np.int64), len(texts))
+
+
+def cut_chunk(known: Units, texts: list[str]) -> Chunk:
+    """The same, by units."""
+    split = [cut_units(t) if t else [] for t in texts]
+    fresh = list(set().union(*split).difference(known.at))
+    if fresh:
+        known.add(fresh)
+    sizes = np.array([len(units) for units in split], np.int64)
+    at = np.fromiter((i for units in split for i in map(known.at.__getitem__, units)), np.int64, int(sizes.sum()))
+    of = np.repeat(np.arange(len(texts)), sizes)
+    bad = np.unique(of[known.counts[at, 0] == 0])  # a unit that its tokens do not spell leaves its text without tokens
+    fine = ~np.isin(of, bad)
+    at, of = at[fine], of[fine]
+    sizes[bad] = 0
+    counts = np.stack([np.bincount(of, known.counts[at, i], len(texts)).astype(np.int64) for i in range(4)], axis=1) if len(texts) else np.zeros((0, 4), np.int64)
+    parts, groups, start = list(map(known.groups.__getitem__, at.tolist())), [], 0
+    for n in sizes.tolist():
+        groups.append(";".join(parts[start : start + n]))
+        start += n
+    found, often = np.unique(of * len(known.groups) + at, return_counts=True)
+    docs, units = found // len(known.groups), found % len(known.groups)
+    n = known.counts[units, 3]
+    rows = spread(known.starts()[units], n)
+    out = counts, groups, postings(known.link_a[rows], known.link_b[rows], np.repeat(docs, n), np.repeat(often, n), len(texts))
+    known.shrink()
+    return out
+
+
+def postings(a: np.ndarray, b: np.ndarray, docs: np.ndarray, times: np.ndarray, n: int) -> pa.RecordBatch | None:
+    """A row for each A id with a link: ``a, bs, ns, docs, times``; the documents of each of ``bs`` stand one after the other.
+    The links given are so many times in that one of the ``n`` documents."""
+    if not len(a):
+        return None
+    wide = int(b.max()) + 1
+    links = (a * wide + b) * n + docs
+    order = np.argsort(links, kind="stable")
+    links = links[order]
+    firsts = np.flatnonzero(np.append(True, links[1:] != links[:-1]))
+    found, times = links[firsts], np.add.reduceat(times[order], firsts)
+    pairs, starts = np.unique(found // n, return_index=True)
+    counts = np.diff(np.append(starts, len(found)))
+    a, first = np.unique(pairs // wide, return_index=True)
+    of_b = pa.array(np.append(first, len(pairs)).astype(np.int32))
+    of_doc = pa.array(np.append(starts[first], len(found)).astype(np.int32))
+    ints = lambda x: pa.array(x.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(o, ints(x)) for o, x in ((of_b, pairs % wide), (of_b, counts), (of_doc, found % n), (of_doc, times))]
+    return pa.RecordBatch.from_arrays([ints(a), *lists], ["a", "bs", "ns", "docs", "times"])
 
 
 def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
@@ -166,14 +322,14 @@ def _written(docs: DataFrame, left: str, right: str, id_col: str, text_col: str)
         sides, key = (side(left), side(right)), TaskContext.get().partitionId() << 40
         for whole in batches:
             ids, texts = whole.column(0), [t or "" for t in whole.column(1).to_pylist()]
-            for start, stop in _chunks(texts, CHUNK_BYTES):
-                x = Aligned(*sides, texts[start:stop])
-                counted = [np.diff(upto, prepend=0) for upto in (x.upto_a, x.upto_b, x.upto_groups, x.upto_links)]
-                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in x.groups()]
+            for start, stop in _chunks(texts, CHUNK_CHARS):
+                some = texts[start:stop]
+                counts, groups, found = cut_chunk(units(left, right), some) if all(s.cut for s in sides) else whole_chunk(*sides, some)
+                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 columns = {"key": pa.array(np.arange(key, key + stop - start)), "id": ids.slice(start, stop - start), "groups_sha256": pa.array(digests, pa.string())}
-                columns |= {n: pa.array(c) for n, c in zip(("n_a", "n_b", "n_groups", "n_links"), counted, strict=True)}
+                columns |= {n: pa.array(np.ascontiguousarray(counts[:, i])) for i, n in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
                 yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(stop - start, f.type)) for f in schema], schema=schema)
-                if (found := x.postings()) is not None:
+                if found is not None:
                     columns = dict(zip(found.schema.names, found.columns, strict=True)) | {"first": pa.array(np.full(found.num_rows, key))}
                     yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(found.num_rows, f.type)) for f in schema], schema=schema)
                 key += stop - start

@@ -1,6 +1,7 @@
 """Alignment against overlaps of byte ranges made token by token."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -68,7 +69,7 @@ def rows_of(frame):
 @pytest.mark.parametrize(("chunk", "hot", "held"), [(1 << 23, 1000, 1 << 20), (300, 3, 50), (1, 1, 1)])
 def test_against_byte_ranges(spark, monkeypatch, chunk, hot, held):
     """Whichever chunks the texts fall into, whichever A ids are split, and whenever sums are given out."""
-    monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(alignment, "CHUNK_CHARS", chunk)
     monkeypatch.setattr(alignment, "HOT", hot)
     monkeypatch.setattr(alignment, "HELD", held)
     rows = [(100 + i, t, "en", "a") for i, t in enumerate(ODD)] + [r for r in awkward() if len(r[1] or "") < 5000]
@@ -77,9 +78,34 @@ def test_against_byte_ranges(spark, monkeypatch, chunk, hot, held):
     assert rows_of(alignment.align(docs, A, B)) == wanted
 
 
+def test_units_give_what_whole_texts_give():
+    """On texts of all kinds of white space; and with hardly any unit kept."""
+    left, right = alignment.side(A), alignment.side(B)
+    assert left.cut and right.cut
+    r = random.Random(2)
+    alphabet = ["a", "the", "é", "你", "'s", "12", "▁", "!", "<s>", " ", " ", " ", "  ", "\n", "\t", "\x1c", "\u00a0", "\u3000", "\u2028", "\x85"]
+    texts = ["".join(r.choices(alphabet, k=r.randrange(1, 40))) for _ in range(1500)] + [t for t in ODD if t]
+    whole = alignment.whole_chunk(left, right, texts)
+    known = alignment.Units(left, right)
+    for _ in range(2):
+        cut = alignment.cut_chunk(known, texts)
+        assert cut[1] == whole[1] and (cut[0] == whole[0]).all() and cut[2].equals(whole[2])
+
+
+def test_units_kept(monkeypatch):
+    monkeypatch.setattr(alignment, "KEPT", 3)
+    monkeypatch.setattr(alignment, "KEPT_CHARS", 5)
+    left, right = alignment.side(A), alignment.side(B)
+    known = alignment.Units(left, right)
+    for texts in (["one two three", "four longerthanfive"], ["two one six", "four"], ["longerthanfive"], ["x"]):
+        cut, whole = alignment.cut_chunk(known, texts), alignment.whole_chunk(left, right, texts)
+        assert cut[1] == whole[1] and (cut[0] == whole[0]).all() and cut[2].equals(whole[2])
+        assert len(known.at) <= 3 and len(known.groups) == len(known.counts) == len(known.at) and known.counts[:, 3].sum() == len(known.link_a)
+
+
 def test_side_a_in_every_part(spark, monkeypatch):
     """An A id that all documents have, split into many parts, keeps the counts of its pairs."""
-    monkeypatch.setattr(alignment, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(alignment, "CHUNK_CHARS", 1)
     monkeypatch.setattr(alignment, "HOT", 20)
     texts = [f"the {w}" for w in ("cat", "dog", "tree") for _ in range(40)] + ["thel"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
