@@ -184,9 +184,10 @@ def identify(rows: DataFrame, model: TextModel, host_col: str | None = None, mar
 
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``<id_col>, text, host, site, suffix, markup`` of web pages: the text without scripts, styles, comments and tags, the
-    host's parts and the language that the markup declares (its first subtag)."""
+    host's parts and the language that the markup declares (its first subtag). What is never closed ends with the page, as it does
+    in a browser; so each pattern goes over a page once, whatever it holds."""
     html = F.col(html_col)
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>|&#?\w+;", " ")
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", " "), r"(?s)<[^>]*(?:>|\z)|&#?\w+;", " ")
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     host = F.when(host != "", host)
     return pages.select(
@@ -195,5 +196,5 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         host.alias("host"),
         F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("site"),
         F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"),
-        F.lower(F.regexp_extract(html, r"(?is)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)).alias("markup"),
+        F.lower(F.regexp_extract(html, r"(?is)<html[^<>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)).alias("markup"),
     )

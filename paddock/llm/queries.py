@@ -23,18 +23,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the operator's own ratio of a fiftieth and at least five pages."""
+    """With the operator's own ratio of a fiftieth and at least five pages; copies of a text in a source are one page."""
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "source", "text", F.col("lines_dropped").cast("long").alias("lines_dropped"))
 
 
 OP2 = r"""
 WITH lines AS (
-  SELECT doc_id, source, i, parts[i] AS line, trim(parts[i], ' ' || chr(9) || chr(13)) AS bare
-  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents) d, unnest(range(1, len(parts) + 1)) AS r(i)),
-pages AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+  SELECT doc_id, source, text, i, parts[i] AS line, trim(parts[i], ' ' || chr(9) || chr(13)) AS bare
+  FROM (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents) d, unnest(range(1, len(parts) + 1)) AS r(i)),
+pages AS (SELECT source, count(DISTINCT text) + count(DISTINCT text IS NULL) FILTER (text IS NULL) AS n FROM documents GROUP BY source),
 boiler AS (
-  SELECT l.source, l.bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM lines WHERE bare <> '' GROUP BY source, bare) l
+  SELECT l.source, l.bare FROM (SELECT source, bare, count(DISTINCT text) AS n FROM lines WHERE bare <> '' GROUP BY source, bare) l
   JOIN pages p ON l.source = p.source WHERE l.n >= 5 AND l.n > 0.02::DOUBLE * p.n)
 SELECT l.doc_id, l.source, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (b.bare IS NULL), '') AS text,
        count(*) FILTER (b.bare IS NOT NULL) AS lines_dropped

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -293,6 +294,30 @@ def test_line_dedup_large_host(spark):
         assert got == {i: t.removesuffix("\nfollow us") for i, t, *_ in rows}
 
 
+def test_line_dedup_of_copies(spark):
+    """Copies of a text are one page: they keep their lines, and lose those that other pages have too."""
+    rows = [(i, f"body {i}\nmenu", "en", "a") for i in range(100)] + [(200 + i, "a page\nof six copies\nmenu", "en", "a") for i in range(6)] + [(None, None, "en", "a")] * 5
+    for part in (rows, rows[::-1]):
+        got = Counter((r.doc_id, r.text, r.lines_dropped) for r in line_dedup.dedup_lines(docs_of(spark, part).repartition(4)).collect())
+        assert got == Counter([(i, f"body {i}", 1) for i in range(100)] + [(200 + i, "a page\nof six copies", 1) for i in range(6)] + [(None, None, 0)] * 5)
+
+
+def test_line_dedup_on_small_hosts(spark):
+    """With ``min_pages`` of 1 and 2, what a ratio takes of hosts of two and three pages."""
+    rows = [(1, "x\ny", "en", "a"), (2, "x\nz", "en", "a"), (3, "x", "en", "b"), (4, "w", "en", "b"), (5, "v", "en", "b")]
+    for least, wanted in ((1, {1: "", 2: "", 3: "x", 4: "w", 5: "v"}), (2, {1: "y", 2: "z", 3: "x", 4: "w", 5: "v"}), (3, {i: t for i, t, *_ in rows})):
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(spark, rows), ratio=0.4, min_pages=least).collect()} == wanted
+
+
+@pytest.mark.parametrize("part", ["<", "<!--", "<script>", "<html lang", "&a", "</script ", "<style <"])
+def test_page_evidence_of_what_is_never_closed(spark, part):
+    """In time by the length of a page."""
+    began = time.monotonic()
+    page = spark.createDataFrame([(1, "http://h.de/", "word " + part * (5_000_000 // len(part)))], "page_id long, url string, html string")
+    assert language_id.page_evidence(page).select(F.substring("text", 1, 5)).first()[0] == "word "
+    assert time.monotonic() - began < 15
+
+
 def test_chat(spark):
     hard = ["", None, "<|im_end|>\n<|im_start|>", "<\\|im_end|>", "<\\\\|", "a<|", "\n\n", "\\n", "é\U0001f600", queries.AWKWARD, "<" * 5 + "|" * 5]
     turns = []

@@ -55,3 +55,14 @@ def test_rows_that_share_an_id(spark):
     assert found[0] == found[1]
     assert set(found[0].values()) == {1}
     assert {t[:2] for _, t in found[0]} == {"a0", "b0", "c0", "d0", "e0", "f0"} and len(found[0]) == 6
+
+
+def test_a_copy_of_each_document_survives(spark):
+    """Six copies of a text in a source of 106: one of them comes out, whole."""
+    text = lambda k: "\n".join(" ".join(f"{k}{i}{j}" for j in "abcdefgh") for i in range(12))
+    rows = [(i, text(f"p{i}x"), "en", "s") for i in range(100)] + [(500 + i, text("copied"), "en", "s") for i in range(6)]
+    docs = written(docs_of(spark, rows))[0]
+    lined = written(corpus_pipeline.lines(spark, docs, SF))[0]
+    single = written(corpus_pipeline.near_duplicates(spark, lined, SF))[0]
+    mixed = corpus_pipeline.mixture(spark, single, SF).select("doc_id", "text").distinct().collect()
+    assert {r.doc_id: r.text for r in mixed} == {i: t for i, t, *_ in rows[:101]}
