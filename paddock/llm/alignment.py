@@ -10,7 +10,7 @@ Postings are shuffled by their A id into sorted streams, which Spark spills. An
 first in its stream and are bounded by the vocabulary of side B; its postings follow and are read once, row by row, never
 held: a link's count is looked up, compared with the id's maximum, and added to its document. An A id with more than a
 thousandth of all postings is split by chunk into parts that each get the counts. Documents' contributions are added
-up in the stream as far as they fit, and then by document.
+up in the stream as far as they fit, packed by chunk, and added up by document where a chunk's meet.
 """
 
 from __future__ import annotations
@@ -341,13 +341,18 @@ def _flat(column: pa.Array, start: int, stop: int) -> np.ndarray:
     return column.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False)
 
 
+ADDED = "first long, docs array<int>, best array<long>, sums array<long>"
+
+
 class Contributions:
-    """Sums by document of what a stream's postings add: rows ``key, n_best, count_sum``."""
+    """Sums by document of what a stream's postings add. They go out a row a chunk: ``first``, the key of the chunk's first document, and of
+    each of its documents that got any the place in the chunk and the sums."""
 
     def __init__(self):
-        self.parts, self.n = [], 0
+        self.parts, self.n, self.firsts = [], 0, np.empty(0, np.int64)
 
-    def add(self, keys: np.ndarray, best: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, firsts: np.ndarray, keys: np.ndarray, best: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.firsts = np.union1d(self.firsts, firsts)
         self.parts.append((keys, best, total))
         self.n += len(keys)
         if self.n > HELD:
@@ -365,9 +370,24 @@ class Contributions:
 
     def out(self) -> Iterator[pa.RecordBatch]:
         self.summed()
-        for part in self.parts:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["key", "n_best", "count_sum"])
-        self.parts, self.n = [], 0
+        for keys, best, total in self.parts:
+            chunk = np.searchsorted(self.firsts, keys, side="right") - 1
+            starts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+            first, of = self.firsts[chunk[starts]], pa.array(np.append(starts, len(keys)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(of, pa.array(x)) for x in ((keys - self.firsts[chunk]).astype(np.int32), best, total)]
+            yield pa.RecordBatch.from_arrays([pa.array(first), *lists], ["first", "docs", "best", "sums"])
+        self.parts, self.n, self.firsts = [], 0, np.empty(0, np.int64)
+
+
+def _by_document(rows: pa.Table) -> pa.Table:
+    """What one chunk's documents got in all streams, no more than its postings: ``key, n_best, count_sum``."""
+    first = rows.column("first")[0].as_py()
+    docs, best, total = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("docs", "best", "sums"))
+    sums = [np.zeros(int(docs.max()) + 1, np.int64) for _ in range(2)]
+    for out, x in zip(sums, (best, total), strict=True):
+        np.add.at(out, docs, x)
+    some = np.flatnonzero(sums[1])
+    return pa.table({"key": first + some, "n_best": sums[0][some], "count_sum": sums[1][some]})
 
 
 def _contributed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +418,7 @@ def _contributed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = np.repeat(first[start:stop], rows) + _flat(docs, start, stop)
                 m = _flat(times, start, stop).astype(np.int64)
                 count = np.repeat(counts[b], n)
-                yield from sums.add(keys, np.where(count == most, m, 0), m * count)
+                yield from sums.add(first[start:stop], keys, np.where(count == most, m, 0), m * count)
     yield from sums.out()
 
 
@@ -422,7 +442,7 @@ def align(docs: DataFrame, left: str, right: str, id_col: str = "doc_id", text_c
     counted = parted.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("first"), "bs", "ns", nothing.cast("array<int>").alias("docs"), nothing.cast("array<int>").alias("times"))
     posted = parted.select("a", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "first", "bs", "ns", "docs", "times")
     streams = counted.unionByName(posted).repartition(tasks(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "kind")
-    added = streams.mapInArrow(_contributed, "key long, n_best long, count_sum long").groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    added = streams.mapInArrow(_contributed, ADDED).groupBy("first").applyInArrow(_by_document, "key long, n_best long, count_sum long")
     found = rows.filter("key is not null").select("key", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return found.join(added, "key", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
