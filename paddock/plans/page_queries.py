@@ -10,13 +10,13 @@ from ..sources import pages
 from . import adapter as a
 from .registry import query
 
-CAREER_ROW = '<tr><td><a href="g.php?data=%s&amp;ippod=rm&amp;codice=%d&amp;n_corsa=%d">x</a></td><td>2^RM</td><td>%d%s</td><td>%d m</td><td>1.%d.%d</td><td></td><td>%d</td></tr>'
+CAREER_ROW = '<tr>%s<td><a href="g.php?data=%s&amp;ippod=rm&amp;codice=%d&amp;n_corsa=%d">x</a></td><td>2^RM</td><td>%d%s</td><td>%d m</td><td>1.%d.%d</td><td></td><td>%d</td></tr>'
 
 
 def career_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """A page a customer with its orders for races: the marker and the parents, then the table."""
+    """A page a customer with its orders for races: the marker and the parents, then the table, of which some rows are led by a th."""
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
-    row = F.format_string(CAREER_ROW, F.date_format("o_orderdate", "yyyy-MM-dd"), k, k % 9, k % 12 + 1, F.when(k % 5 < 4, fp.CAREER_MARK).otherwise(""), 1600 + k % 7 * 100, 10 + k % 9, k % 10, F.floor("o_totalprice"))
+    row = F.format_string(CAREER_ROW, F.when(k % 4 == 1, '<th><a href="#">n</a></th>').otherwise(""), F.date_format("o_orderdate", "yyyy-MM-dd"), k, k % 9, k % 12 + 1, F.when(k % 5 < 4, fp.CAREER_MARK).otherwise(""), 1600 + k % 7 * 100, 10 + k % 9, k % 10, F.floor("o_totalprice"))
     rows = o.select("o_custkey", row.alias("tr")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_list("tr")), "").alias("rows"))
     c, n = table(spark, sf, "customer"), F.col("c_custkey")
     head = F.format_string("<h1>X</h1> <p>HORSE %s.%s.%d</p><p>SIRE D'OR %d / DAM %d</p> carriera 10", F.when(n % 2 == 0, "f").otherwise("m"), F.when(n % 3 == 0, "e").otherwise("i"), n % 15 + 2, F.col("c_nationkey"), n)
@@ -57,7 +57,8 @@ def detail_profiles(spark, sf):
     k = F.col("s_suppkey")
     born = F.when(k % 3 == 1, F.format_string("Nato nel %d", 1990 + k % 20)).when(k % 3 == 2, F.format_string("Anno di nascita: %d", 1990 + k % 20)).otherwise("")
     sex = F.when(k % 4 == 0, "uno Stallone,").when(k % 4 == 1, "Fattrice").otherwise("")
-    page = F.format_string("<p>%s</p><p>Paese: %s</p><b>%s</b><p>Padre: %s</p><p>Madre: %s</p> Anno <i>Record: 1'%d\"%d</i>", sex, "n_name", born, "n_name", "r_name", 10 + k % 9, k % 10)
+    said = "<p>Nato nel mese di maggio. Padre di molti, Madre di pochi. Paese: ignoto. Record: nessuno</p>"  # labels without a sound value
+    page = F.format_string(said + "<p>%s</p><p>Paese: %s</p><b>%s</b><p>Padre: %s</p><p>Madre: %s</p> Anno <i>Record: 1'%d\"%d</i>", sex, "n_name", born, "n_name", "r_name", 10 + k % 9, k % 10)
     return pages.detail_profile(s.select(F.col("s_name").alias("name"), page.alias("html")))
 
 
@@ -117,7 +118,7 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
 def result_pages(spark, sf):
     """Result pages of three races a nation, runners that did not finish included, read back and counted."""
     c, k = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")), F.col("c_custkey")
-    cells = '<tr><td class="piaz%s">%s</td><td class="nome_cav%s">%s</td><td class="tempo%s">%s</td><td class="premio_u">%s</td></tr>'
+    cells = '<tr><th class="piaz">9º</th><td class="c1 piaz%s">%s</td><td class="nome_cav%s bold">%s</td><td class=" tempo%s  x">%s</td><td class="premio_u">%s</td></tr>'
     u, there = F.when(k % 2 == 0, "_u").otherwise(""), k % 9 < 6
     row = F.format_string(cells, u, F.when(there, F.concat(k % 9 + 1, F.lit("º"))).otherwise("rit."), u, "c_name", u, F.when(there, "1.14.6").otherwise("rit."), F.when(there, "2.150,50").otherwise(""))
     races = c.groupBy("n_name", (k % 3).alias("race")).agg(F.array_join(F.collect_list(row), "").alias("rows"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import re
+from collections.abc import Callable, Iterator
+from html import unescape
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import udtf
@@ -12,22 +13,77 @@ from ..functions.names import canonical_name, race_code, truthy
 from ..functions.parsing import CAREER_MARK, RESULT_MARK, iso_date, leading_int, lenient_number, links, local_number, parents, placed_time, placement, quoted_time, sex_country_age, url_value
 
 
-class _Rows(HTMLParser):
-    """Rows of cells as they close: (section, table id, table, row in it, cells, classes, first link); links: (id, target, label)."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+#: An attribute: its name, and its value in quotes or up to a blank.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s=>/][^\s=>/]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_RAW_END = {name: re.compile(f"</{name}\\b", re.IGNORECASE) for name in ("script", "style")}
+
+
+def _tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """Of markup, in one pass: ``("text", text, {})``, ``("start", name, attributes)`` and ``("end", name, {})``.
+
+    As in a browser, comments, declarations and tags that are never closed end with the page, and a ``<`` that begins none of these is text.
+    """
+    at, text, size = 0, [], len(html)
+    while at < size:
+        begin = html.find("<", at)
+        text.append(html[at : begin if begin >= 0 else size])
+        if begin < 0:
+            break
+        more = html[begin + 1 : begin + 2]
+        if more in ("!", "?") or more == "/" and not html[begin + 2 : begin + 3].isalpha():
+            if any(text):
+                yield "text", unescape("".join(text)), {}
+            text, comment = [], html.startswith("<!--", begin)
+            end = html.find("-->" if comment else ">", begin + (2 if comment else 1))
+            at = end + (3 if comment else 1) if end >= 0 else size
+            continue
+        close = more == "/"
+        named = _NAME.match(html, begin + 1 + close)
+        if not named:
+            text.append("<")
+            at = begin + 1
+            continue
+        name, at, known = named.group().lower(), named.end(), {}
+        while (found := _ATTRIBUTE.match(html, at)) is not None:
+            value = found.group(2) or ""
+            known.setdefault(found.group(1).lower(), unescape(value[1:-1] if value[:1] in ("'", '"') and value[:1] == value[-1:] and len(value) > 1 else value))
+            at = found.end()
+        end = html.find(">", at)
+        if end < 0:
+            break
+        alone, at = html[end - 1] == "/", end + 1
+        if any(text):
+            yield "text", unescape("".join(text)), {}
+        text = []
+        yield "end" if close else "start", name, known
+        if alone and not close:
+            yield "end", name, {}
+        elif name in _RAW_END and not close:
+            after = _RAW_END[name].search(html, at)
+            at = after.start() if after else size
+    if any(text):
+        yield "text", unescape("".join(text)), {}
+
+
+class _Rows:
+    """Rows of cells as they close: (section, table id, table, row in it, cells, their classes, which are td, first link in the first td); links: (id, target, label)."""
+
+    def __init__(self, html: str) -> None:
         self.found: list[tuple] = []
         self.section, self.table, self.number, self.depth, self.row = 0, "", 0, 0, 0
         self.links: list[list[str]] = []
         self.linked = False
         self.cells: list[list[str]] | None = None
-        self.classes: list[str] = []
+        self.classes: list[list[str]] = []
+        self.data: list[bool] = []
         self.link = ""
         self.open = False
+        for kind, value, known in _tokens(html):
+            {"start": self._start, "end": self._end, "text": self._text}[kind](value, known)
+        self._close()
 
-    def handle_starttag(self, tag: str, attrs) -> None:
-        known = dict(attrs)
+    def _start(self, tag: str, known: dict[str, str]) -> None:
         if tag == "div" and known.get("id") == "dati_corsa":
             self.section += 1
         elif tag == "table":
@@ -37,19 +93,20 @@ class _Rows(HTMLParser):
             self.depth += 1
         elif tag == "tr":
             self._close()
-            self.cells, self.classes, self.link = [], [], ""
+            self.cells, self.classes, self.data, self.link = [], [], [], ""
         elif tag in ("td", "th") and self.cells is not None:
             self.cells.append([])
-            self.classes.append(known.get("class") or "")
+            self.classes.append(known.get("class", "").split())
+            self.data.append(tag == "td")
             self.open = True
         elif tag == "a":
-            if self.open and len(self.cells or ()) == 1 and not self.link:
+            if self.open and self.data[-1:] == [True] and sum(self.data) == 1 and not self.link:
                 self.link = known.get("href") or ""
             if "href" in known:
                 self.links.append([known.get("id") or "", known["href"] or "", ""])
                 self.linked = True
 
-    def handle_endtag(self, tag: str) -> None:
+    def _end(self, tag: str, _: dict[str, str]) -> None:
         if tag in ("td", "th"):
             self.open = False
         elif tag in ("tr", "table"):
@@ -58,7 +115,7 @@ class _Rows(HTMLParser):
         elif tag == "a":
             self.linked = False
 
-    def handle_data(self, data: str) -> None:
+    def _text(self, data: str, _: dict[str, str]) -> None:
         if self.open and self.cells:
             self.cells[-1].append(data.strip())
         if self.linked:
@@ -66,33 +123,25 @@ class _Rows(HTMLParser):
 
     def _close(self) -> None:
         if self.cells:
-            self.found.append((self.section, self.table, self.number, self.row, ["".join(c) for c in self.cells], self.classes, self.link))
+            self.found.append((self.section, self.table, self.number, self.row, ["".join(c) for c in self.cells], self.classes, self.data, self.link))
             self.row += 1
         self.cells, self.open = None, False
 
 
-def _read(html: str) -> _Rows:
-    rows = _Rows()
-    rows.feed(html)
-    rows.close()
-    rows._close()
-    return rows
-
-
-@udtf(returnType="section int, table_id string, table int, row int, head array<string>, cells array<string>, classes array<string>, link string")
+@udtf(returnType="section int, table_id string, table int, row int, head array<string>, cells array<string>, classes array<array<string>>, data array<boolean>, link string")
 class TableRows:
     def eval(self, html: str) -> Iterator[tuple]:
         if html:
             head: dict[int, list[str]] = {}
-            for section, name, table, row, cells, classes, link in _read(html).found:
-                yield section, name, table, row, head.setdefault(table, cells), cells, classes, link
+            for section, name, table, row, cells, classes, data, link in _Rows(html).found:
+                yield section, name, table, row, head.setdefault(table, cells), cells, classes, data, link
 
 
 @udtf(returnType="at int, element string, href string, label string")
 class Links:
     def eval(self, html: str) -> Iterator[tuple]:
         if html:
-            for at, (element, href, label) in enumerate(_read(html).links):
+            for at, (element, href, label) in enumerate(_Rows(html).links):
                 yield at, element, href, label
 
 
@@ -107,13 +156,21 @@ def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def page_text(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    """The text without tags. What follows the last ``>`` holds none, so no ``<`` is followed to the end of the page in vain."""
+    rest = F.substring_index(html, ">", -1)
+    tagged = F.left(html, F.length(html) - F.length(rest))
+    return F.trim(F.regexp_replace(F.concat(F.regexp_replace(tagged, r"(?s)<[^>]*>", " "), rest), r"\s+", " "))
 
 
 def _cell(k: int) -> Column:
     return F.coalesce(F.get("cells", F.lit(k)), F.lit(""))
 
 
+def _data_cell(k: int) -> Column:
+    """The text of the k-th td; th cells don't count."""
+    return F.coalesce(F.get("__data", F.lit(k)), F.lit(""))
+
+
 def career_profiles(pages: DataFrame, as_of: Column) -> DataFrame:
     """``name, sex, country, birth_year, sire, dam`` of career pages (name, html)."""
     text = page_text(F.col("html"))
@@ -122,19 +179,20 @@ def career_profiles(pages: DataFrame, as_of: Column) -> DataFrame:
 
 
 def career_races(pages: DataFrame) -> DataFrame:
-    """Races of career pages (name, html): rows of six cells or more whose first links to a dated race."""
-    rows = table_rows(pages).filter((F.size("cells") >= 6) & F.col("link").rlike(r"data=\d{4}-\d{2}-\d{2}"))
+    """Races of career pages (name, html): rows of six td or more whose first links to a dated race."""
+    kept = F.transform(F.filter(F.arrays_zip("cells", "data"), lambda x: x["data"]), lambda x: x["cells"])
+    rows = table_rows(pages).withColumn("__data", kept).filter((F.size("__data") >= 6) & F.col("link").rlike(r"data=\d{4}-\d{2}-\d{2}"))
     day = F.regexp_extract("link", r"data=(\d{4}-\d{2}-\d{2})", 1)
     track = F.upper(F.regexp_extract("link", r"ippod=([A-Za-z]{2,4})", 1))
-    prize = F.when(_cell(6).isin("---", ""), 0.0).otherwise(lenient_number(_cell(6)))
+    prize = F.when(_data_cell(6).isin("---", ""), 0.0).otherwise(lenient_number(_data_cell(6)))
     return rows.select(
         canonical_name(F.col("name")).alias("horse_name"),
         day.try_cast("date").alias("race_date"),
         track.alias("track"),
-        placement(_cell(2), CAREER_MARK).alias("placement"),
-        _cell(2).alias("placement_raw"),
-        quoted_time(_cell(4)).alias("time_km"),
-        leading_int(_cell(3)).alias("distance"),
+        placement(_data_cell(2), CAREER_MARK).alias("placement"),
+        _data_cell(2).alias("placement_raw"),
+        quoted_time(_data_cell(4)).alias("time_km"),
+        leading_int(_data_cell(3)).alias("distance"),
         F.lit("").alias("driver"),
         prize.alias("prize_net"),
         prize.alias("prize_gross"),
@@ -147,13 +205,13 @@ CLASSES = {"name": ("nome_cav_u", "nome_cav"), "place": ("piaz_u", "piaz"), "tim
 
 
 def result_rows(pages: DataFrame) -> DataFrame:
-    """Runners of result pages (race_date, track, sigla, html): cells are known by their class, with or without prizes."""
+    """Runners of result pages (race_date, track, sigla, html): td cells are known by any of their classes, with or without prizes."""
     rows = table_rows(pages).filter("section > 0 and table_id = 'tabella_risultati'")
 
     def named(field: str) -> Column:
-        classes = CLASSES[field]
-        at = [F.get("cells", (F.array_position(F.col("classes"), c) - 1).cast("int")) for c in classes]
-        return F.coalesce(truthy(*(F.when(F.array_contains("classes", c), x) for c, x in zip(classes, at, strict=True))), F.lit(""))
+        cells = F.arrays_zip("cells", "classes", "data")
+        first = lambda c: F.get(F.filter(cells, lambda x: x["data"] & F.array_contains(x["classes"], c)), F.lit(0))["cells"]
+        return F.coalesce(truthy(*map(first, CLASSES[field])), F.lit(""))
 
     name = canonical_name(named("name"))
     place = named("place")
@@ -192,38 +250,42 @@ def header_races(pages: DataFrame) -> DataFrame:
     )
 
 
-#: Labels of a detail page, the words that tell a sex, and the labels that end a name.
-LABELS = {"birth_year": ("Nato nel", "Anno di nascita"), "country": ("Paese", "Nazionalità", "Nazionalita"), "sire": ("Padre",), "dam": ("Madre",), "record_career": ("Record",)}
+#: Labels of a detail page, the words that tell a sex, and the labels that end a parent's name.
+LABELS = {"birth_year": ("Nato nel", "Natoa nel", "Anno di nascita"), "country": ("Paese", "Nazionalità", "Nazionalita"), "sire": ("Padre",), "dam": ("Madre",), "record_career": ("Record",)}
 MALE, FEMALE = ("maschio", "stallone", "geldone"), ("femmina", "fattrice", "puledra")
-NEXT_LABELS = ("Padre", "Madre", "Anno")
+ENDS = {"sire": ("Madre", "Anno"), "dam": ("Padre", "Anno")}
 
 
-def _labelled(text: Column, field: str) -> Column:
-    """What follows the first of the field's labels that the text has, without the colon."""
-    after = [F.get(F.split(text, label, 2), F.lit(1)) for label in LABELS[field]]
-    return F.ltrim(F.coalesce(*after), F.lit(": "))
+def _first_sound(text: Column, field: str, value: Callable[[Column], Column]) -> Column:
+    """The first ``value`` that is not null of what follows the field's labels, wherever they stand in the text; a label goes on with a colon or a blank."""
+    after = F.split(text, "(?:" + "|".join(LABELS[field]) + ")(?=[: ])", -1)
+    values = F.transform(F.slice(after, 2, F.greatest(F.size(after), F.lit(1))), lambda x: value(F.ltrim(x, F.lit(": "))))
+    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
 
 
 def detail_profile(pages: DataFrame) -> DataFrame:
-    """Profile of a detail page (name, html): the values after known labels."""
+    """Profile of a detail page (name, html): of each field the first sound value after one of its labels."""
     text = page_text(F.col("html"))
     words = F.split(F.lower(text), r"[^\p{L}]+")
     told = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
+    leading = lambda pattern: lambda x: F.nullif(F.regexp_extract(x, pattern, 0), F.lit(""))
 
     def name(field: str) -> Column:
-        parts = F.split(_labelled(text, field), " (?=" + "|".join(NEXT_LABELS) + ")", 2)
-        value = F.trim(F.get(parts, F.lit(0)))
-        return F.when((F.size(parts) == 2) & (value == F.upper(value)) & ~value.rlike("[0-9:]"), F.nullif(value, F.lit("")))
+        def value(x: Column) -> Column:
+            parts = F.split(x, " (?=" + "|".join(ENDS[field]) + ")", 2)
+            head = F.trim(F.get(parts, F.lit(0)))
+            return F.when((F.size(parts) == 2) & (head != "") & (F.translate(head, "ABCDEFGHIJKLMNOPQRSTUVWXYZ' ", "") == ""), head)
+
+        return _first_sound(text, field, value)
 
-    country = F.regexp_extract(_labelled(text, "country"), "^[A-Z]{2,3}", 0)
     return pages.select(
         "name",
-        F.substring(_labelled(text, "birth_year"), 1, 4).try_cast("int").alias("birth_year"),
+        _first_sound(text, "birth_year", leading("^[0-9]{4}")).cast("int").alias("birth_year"),
         F.when(told(MALE), "M").when(told(FEMALE), "F").alias("sex"),
-        F.nullif(country, F.lit("")).alias("country"),
+        _first_sound(text, "country", leading("^[A-Z]{2,3}")).alias("country"),
         name("sire").alias("sire"),
         name("dam").alias("dam"),
-        F.nullif(F.regexp_extract(_labelled(text, "record_career"), "^[0-9]+'[0-9]+\"[0-9]+", 0), F.lit("")).alias("record_career"),
+        _first_sound(text, "record_career", leading("^[0-9]+'[0-9]+\"[0-9]+")).alias("record_career"),
     )
 
 

@@ -1,8 +1,8 @@
 """Parsers, chains, model documents, streaming and sinks on small fixtures."""
 
-import base64
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +209,47 @@ def test_tables(spark):
     one = schemas.inline_rankings(spark, [("B", "1", 3, 10, 2, 5, *[0] * 12), ("A", "2", 4, 20, 1, 6, *[0] * 12)])
     assert [(r.name, r.ord, r.first_letter) for r in one.orderBy("ord").collect()] == [("B", 0, "B"), ("A", 1, "A")]
     assert schemas.seeded(one.limit(0), one).count() == 2 and schemas.seeded(one.limit(1), one).count() == 1
+
+
+def test_cells_of_several_classes(spark):
+    """Any of a cell's classes names it; th cells don't."""
+    row = lambda name, more: f'<tr><th class="nome_cav">X Y</th><td class="piaz{more}">2º</td><td class="nome_cav_u{more}">{name}</td><td class="{more} premio_u">1.000,5</td></tr>'
+    html = '<div id="dati_corsa"><table id="tabella_risultati">' + row("one", "") + row("two", " bold") + "</table></div>"
+    got = pages.result_rows(spark.createDataFrame([("2024-01-01", "t", "RM", html)], "race_date string, track string, sigla string, html string")).collect()
+    assert [(r.name, r.placement, r.prize) for r in got] == [("ONE", 2, 1000.5), ("TWO", 2, 1000.5)]
+
+
+def test_labels_without_a_sound_value(spark):
+    """The first sound value after any place of any label counts."""
+    html = "Nato nel mese di maggio. Anno di nascita: 1999 Padre di molti. Padre: VARENNE Madre: IDEA Anno Record: nessuno Record: 1'12\"5 Paese: ignoto Nazionalità: FRA"
+    rows = [("a", html), ("b", "Padre: A1 Madre: lower Anno Nato nel 20x4 Nato nel 2011"), ("c", ""), ("d", None), ("e", "Padre: SOLO Padre: L'ALTRO B Anno Madre:  Anno")]
+    got = {r.name: tuple(r)[1:] for r in pages.detail_profile(spark.createDataFrame(rows, "name string, html string")).collect()}
+    assert got["a"] == (1999, None, "FRA", "VARENNE", "IDEA", "1'12\"5")
+    assert got["b"] == (2011, None, None, None, None, None) and got["c"] == got["d"] == (None,) * 6
+    assert got["e"] == (None, None, None, "L'ALTRO B", None, None)
+
+
+def test_career_rows_led_by_a_th(spark):
+    cells = '<td><a href="?data=2024-01-02&amp;ippod=rm&amp;codice=7">x</a></td><td>RM</td><td>3\u00b0</td><td>1600</td><td>1.14.2</td><td></td><td>100</td>'
+    html = f'<table><tr><th><a href="?data=1999-01-01">n</a></th>{cells}</tr><tr>{cells}</tr><tr><th>a</th><th>b</th><th>c</th><th>d</th><th>e</th><td><a href="?data=2024-01-03">x</a></td></tr></table>'
+    got = pages.career_races(spark.createDataFrame([("n", html)], "name string, html string")).collect()
+    assert [(str(r.race_date), r.placement, r.distance, r.time_km, r.prize_net) for r in got] == [("2024-01-02", 3, 1600, "1'14\"2", 100.0)] * 2
+
+
+def test_tokens():
+    """Quotes, cases, references, scripts, and what is never closed."""
+    html = "<!DOCTYPE x>a &lt; <B Id='q\">' CLASS=x&amp;y checked>b</b><br/>1 < 2<script>if (a<b) '</p>'</SCRIPT>c<!-- <p> -->d</ x>e<?f?><p title=\"g"
+    assert list(pages._tokens(html)) == [
+        ("text", "a < ", {}), ("start", "b", {"id": 'q">', "class": "x&y", "checked": ""}), ("text", "b", {}), ("end", "b", {}), ("start", "br", {}), ("end", "br", {}), ("text", "1 < 2", {}),
+        ("start", "script", {}), ("end", "script", {}), ("text", "c", {}), ("text", "d", {}), ("text", "e", {}),
+    ]
+
+
+@pytest.mark.parametrize("part", ["<", "<!--", "<!", "<?", "<a ", "</", "</a ", "<![", "&", "<a b='", "<a b=\"'", "<script>", "<td class=", "<![CDATA[", "< a='\" ", "<style></"])
+def test_markup_that_is_never_closed(spark, part):
+    """A page of 5 MB in time by its length, and no page ends the job."""
+    page = "<table><tr><td>1</td></tr></table> word " + part * (5_000_000 // len(part))
+    began = time.monotonic()
+    assert pages._Rows(page).found[0][4] == ["1"]
+    assert spark.createDataFrame([(page,)], "html string").select(F.substring(pages.page_text(F.col("html")), 1, 6)).first()[0] == "1 word"
+    assert time.monotonic() - began < 20
