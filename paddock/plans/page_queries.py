@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import parsing as fp
-from ..session import table
-from ..sources import pages
+from ..session import shared_path, table
+from ..sources import landing, pages
 from . import adapter as a
 from .registry import query
 
@@ -140,3 +140,17 @@ def html_table_rows(spark, sf):
     )
     made = rows.groupBy("track", "part").agg(F.concat(F.lit('<div id="dati_corsa"><table id="tabella_risultati">'), F.array_join(F.array_sort(F.collect_list("tr")), ""), F.lit("</table></div>")).alias("html"))
     return pages.result_rows(made.select(F.lit("2024-01-01").alias("race_date"), "track", F.upper("track").alias("sigla"), "html"))
+
+
+@query("""SELECT page_id, page_id % 7 <> 3 OR page_id % 5 = 2 AS reached, CASE WHEN page_id % 7 <> 3 OR page_id % 5 = 2 THEN len(regexp_extract_all(html, 'href="([^"]*)"')) END AS n,
+(CASE WHEN page_id % 7 <> 3 THEN 1 WHEN page_id % 2 = 0 THEN 3 ELSE 2 END)::BIGINT AS attempts FROM pages""")
+def landed_pages(spark, sf):
+    """All pages landed in a folder a host, some of them not reached at first; those that were asked for too seldom land again, some for good."""
+    p, path = table(spark, sf, "pages"), shared_path(spark, "landed")
+    host, k = F.regexp_extract("url", "//([^/:]+)", 1), F.col("page_id")
+    landing.land(p, path, host, k % 7 != 3, F.when((k % 7 == 3) & (k % 2 == 0), 2).otherwise(1))
+    again = landing.to_fetch_again(landing.landed(spark, path)).select("page_id")
+    landing.land(p.join(again, "page_id"), path, F.concat(F.lit("again/"), host), k % 5 == 2)
+    known = landing.latest(landing.landed(spark, path))
+    counts = landing.found_on(known, pages.page_links(known))
+    return counts.join(known.select("page_id", "attempts"), "page_id")

@@ -6,42 +6,21 @@ again. They stand for the base tables as they were when the session first asked;
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
-
-
-def _folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see; a local session may go without one of its own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="paddock-tables-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from ..session import dropped, shared_path
 
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may have ended already
-        pass
+_STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` derived from the base tables in ``sf_dir``, written by the first who asks in this application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        df, path = derive(), f"{_folder(spark)}/tables-{uuid.uuid4().hex}/{name}"
+        df, path = derive(), shared_path(spark, f"tables-{name}")
         df.write.parquet(path)
-        atexit.register(_drop, spark, path)
         _STORED[key] = (path, df.schema)
     path, schema = _STORED[key]
     return spark.read.schema(schema).parquet(path)
@@ -50,4 +29,4 @@ def stored(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], Dat
 def refresh(spark: SparkSession, sf_dir: str) -> None:
     """Forgets what was derived from ``sf_dir``: the next question derives it again."""
     for key in [k for k in _STORED if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
-        _drop(spark, _STORED.pop(key)[0])
+        dropped(spark, _STORED.pop(key)[0])

@@ -1,10 +1,46 @@
-"""Reading the tables that the queries run over."""
+"""The session's tables, and the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. A local session may go without; a cluster may not."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="paddock-checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may have ended already, and the folder with it
+        pass
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is there goes when the process ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(dropped, spark, path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
