@@ -536,4 +536,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.leaderboard(a.ratings(spark, sf_dir)).select("rank", "name", "birth_year", "sire", "grade", "score", "career_races", "career_wins", "career_earnings", "win_rate", "total", "pages")
 
 
-from . import model_queries, page_queries  # noqa: E402, F401  they register their own
+from . import model_queries, page_queries, stream_queries  # noqa: E402, F401  they register their own
