@@ -25,6 +25,34 @@ def grandparents(horses: DataFrame, parents: DataFrame | None = None) -> DataFra
     return horses.join(s, named("sire") == F.col("__s"), "left").join(d, named("dam") == F.col("__d"), "left").drop("__s", "__d")
 
 
+UP = """
+WITH RECURSIVE up (name, ancestor, path, met) AS (
+  SELECT DISTINCT name, name, '', array(key) FROM {asked}
+  UNION ALL
+  SELECT up.name, e.parent, concat(up.path, e.side), array_append(up.met, e.parent_key)
+  FROM up JOIN {edges} e ON e.child = element_at(up.met, -1)
+  WHERE length(up.path) < {depth} AND NOT array_contains(up.met, e.parent_key))
+SELECT name, path, ancestor FROM up WHERE path <> ''
+"""
+
+
+def ancestors(horses: DataFrame, depth: int, asked: DataFrame | None = None) -> DataFrame:
+    """``name, path, ancestor``: all known ancestors of ``asked`` (or of all) up to so many generations; ``path`` leads to them, 'sd' being the sire's dam.
+
+    By a recursive query that joins a generation at a time. Parents are looked up by plain key as in ``grandparents``. An ancestor that stands
+    in its own line ends that line, so a cycle in the data ends too; one that stands in several lines has a row for each.
+    """
+    if depth < 1:
+        raise ValueError("at least one generation")
+    spark = horses.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the depth bounds it
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(100, depth + 2)))
+    side = lambda c, s: parents_of(horses).select(F.col("__key").alias("child"), F.col(c).alias("parent"), plain_key(F.col(c)).alias("parent_key"), F.lit(s).alias("side"))
+    edges = side("sire", "s").unionByName(side("dam", "d")).filter("parent_key <> ''")
+    names = (asked if asked is not None else horses).select("name", plain_key(F.col("name")).alias("key")).filter("name is not null")
+    return spark.sql(UP, asked=names, edges=edges, depth=depth)
+
+
 def with_fallback(pedigree: DataFrame, fallback: DataFrame, key: str = "name") -> DataFrame:
     """Ancestors of ``pedigree``, from ``fallback`` (one row a name) where null or empty, field by field."""
     other = fallback.select(plain_key(F.col(key)).alias("__key"), *(F.col(c).alias(f"__{c}") for c in ANCESTORS))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.names import canonical_name, plain_key
 from ..functions.scoring import composite, rounded, runner_grade, win_rate
+from .ranges import running
 
 
 def share_of_all(rows: DataFrame, value: str, out: str, eligible: Column, higher_is_better: bool = True) -> DataFrame:
@@ -32,11 +33,17 @@ def share_of_all(rows: DataFrame, value: str, out: str, eligible: Column, higher
 
 
 def share_of_year(rows: DataFrame, value: str, out: str, eligible: Column, year: str = "birth_year", higher_is_better: bool = True) -> DataFrame:
-    """The same within a year of birth: an option, not the default."""
+    """The same within a year of birth, the missing year being one: an option, not the default.
+
+    Counts of the distinct (year, value) are accumulated over ranges, so a year with all rows is no task of its own.
+    """
     good = F.coalesce(eligible & (F.col(value) > 0), F.lit(False))
-    order = F.col(value).asc() if higher_is_better else F.col(value).desc()
-    share = F.cume_dist().over(Window.partitionBy(year, good).orderBy(order))
-    return rows.withColumn(out, F.when(good, rounded(share * 100)).otherwise(0.0))
+    counts = rows.filter(good).groupBy(F.col(year).alias("__y"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    order = F.col("__v").asc() if higher_is_better else F.col("__v").desc()
+    upto = running(counts, ["__y"], [order], {"__upto": F.col("__n")})
+    shares = upto.select("__y", "__v", rounded(F.col("__upto") * 100.0 / F.col("__upto_all")).alias("__share"))
+    joined = rows.join(shares, rows[year].eqNullSafe(shares["__y"]) & (rows[value] == shares["__v"]), "left")
+    return joined.withColumn(out, F.when(good, F.coalesce("__share", F.lit(0.0))).otherwise(0.0)).drop("__y", "__v", "__share")
 
 
 def raced() -> Column:

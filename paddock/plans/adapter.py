@@ -8,7 +8,8 @@ from ..operators.career import careers as with_careers
 from ..operators.ratings import rate
 from ..operators.sires import competition_rank, ranking_rollup, running_progeny, sire_stats
 from ..session import table
-from .store import stored
+from . import answers
+from .store import stored, stored_folder
 
 AS_OF = "2001-08-01"
 
@@ -90,3 +91,16 @@ def studs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("s_acctbal") > 0, "active").otherwise("retired").alias("stud_status"),
         F.col("s_name").alias("stud_farm"),
     )
+
+
+def horse_index(spark: SparkSession, sf_dir: str):
+    """Rated horses by their names."""
+    return stored_folder(spark, sf_dir, "horse-index", lambda path: answers.name_index(answers.with_rating(horses(spark, sf_dir), ratings(spark, sf_dir)), "name", path))[1]
+
+
+def sire_index(spark: SparkSession, sf_dir: str):
+    return stored_folder(spark, sf_dir, "sire-index", lambda path: answers.name_index(stats(spark, sf_dir), "sire", path))[1]
+
+
+def leaderboard(spark: SparkSession, sf_dir: str, sort: str = "score"):
+    return stored_folder(spark, sf_dir, f"leaderboard-{sort}", lambda path: answers.store_leaderboard(ratings(spark, sf_dir), path, sort))[1]

@@ -5,48 +5,56 @@ Answers are DataFrames; every order ends in a unique tie-breaker, and limits are
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import flag, nationality, plain_key, truthy
 from ..functions.scoring import GRADE_WEIGHTS, rounded
+from ..operators import ranges, search
 from ..operators.pedigree import ancestor_names, grandparents
 
 GRADES = tuple(GRADE_WEIGHTS)
 
 
-def _found(column: str, term: str) -> Column:
-    """Substring search without regard to case; the term's own wildcards work. Terms under two characters find nothing."""
-    return F.col(column).ilike(f"%{term}%") & F.lit(len(term) >= 2)
-
-
 def with_rating(horses: DataFrame, ratings: DataFrame) -> DataFrame:
     rated = ratings.select("name", "birth_year", "grade", "score", "rating_mode")
     return horses.join(rated, ["name", "birth_year"], "left")
 
 
-def search_horse(horses: DataFrame, ratings: DataFrame, term: str, most: int = 20) -> DataFrame:
-    hits = with_rating(horses.filter(_found("name", term)), ratings)
-    return hits.select("name", "birth_year", "sire", "sex", "grade", "score", "rating_mode").orderBy(F.col("score").desc_nulls_last(), "name", "birth_year").limit(most)
+def name_index(rows: DataFrame, column: str, path: str) -> search.Index:
+    """What the searches below read: rows with all columns that they show, indexed by name."""
+    return search.build(rows, column, path)
+
 
+def search_horse(spark: SparkSession, index: search.Index, term: str, most: int = 20) -> DataFrame:
+    """``index`` is over horses ``with_rating``."""
+    shown = search.search(spark, index, term).select("name", "birth_year", "sire", "sex", "grade", "score", "rating_mode")
+    return shown.orderBy(F.col("score").desc_nulls_last(), "name", "birth_year").limit(most)
 
-def search_sire(stats: DataFrame, term: str, most: int = 20) -> DataFrame:
+
+def search_sire(spark: SparkSession, index: search.Index, term: str, most: int = 20) -> DataFrame:
+    """``index`` is over the statistics of sires."""
     columns = ["n_figli_totali", "n_in_corsa", "avg_score", "n_SSS", "n_SS", "n_S", "pct_top_S"]
-    hits = stats.filter(_found("sire", term)).select(F.col("sire").alias("name"), *columns).distinct()
+    hits = search.search(spark, index, term).select(F.col("sire").alias("name"), *columns).distinct()
     return hits.orderBy(F.desc("avg_score"), "name").limit(most)
 
 
-def suggestions(horses: DataFrame, term: str, most: int = 5) -> DataFrame:
+def suggestions(spark: SparkSession, index: search.Index, term: str, most: int = 5) -> DataFrame:
     """Mares, or horses of unknown sex, when a name is not found."""
-    return horses.filter(_found("name", term) & ((F.col("sex") == "F") | F.col("sex").isNull())).select("name", "birth_year").orderBy("name", "birth_year").limit(most)
+    hits = search.search(spark, index, term).filter((F.col("sex") == "F") | F.col("sex").isNull())
+    return hits.select("name", "birth_year").orderBy("name", "birth_year").limit(most)
 
 
 def horse_profile(horses: DataFrame, ratings: DataFrame, name: str, year: int) -> DataFrame:
     """The horse with its rating and two generations, 0 or 1 row."""
     one = horses.filter((F.col("name") == name) & (F.col("birth_year") == year))
-    return grandparents(with_rating(one, ratings), horses)
+    return grandparents(with_rating(one, ratings), parents_asked(one, horses))
+
+
+def parents_asked(one: DataFrame, horses: DataFrame) -> DataFrame:
+    """The rows of ``horses`` that are sire or dam of a few, by plain key: nobody else's parents are aggregated."""
+    keys = one.select(F.explode(F.array("sire", "dam")).alias("__c")).select(plain_key(F.col("__c")).alias("__c")).filter("__c <> ''").distinct()
+    return horses.join(F.broadcast(keys), plain_key(F.col("name")) == F.col("__c"), "left_semi")  # two for each horse asked for
 
 
 def last_races(races: DataFrame, name: str, most: int = 20) -> DataFrame:
@@ -94,30 +102,29 @@ def nationality_of(names: DataFrame, pedigree: DataFrame, studs: DataFrame, hors
 
 def compare_pedigrees(horses: DataFrame, names: list[str]) -> DataFrame:
     """Two generations of the horses compared, a row each."""
-    return grandparents(horses.filter(F.col("name").isin(*names)), horses).select("name", "sire", "dam", "sire_sire", "sire_dam", "dam_sire", "dam_dam")
+    some = horses.filter(F.col("name").isin(*names))
+    return grandparents(some, parents_asked(some, horses)).select("name", "sire", "dam", "sire_sire", "sire_dam", "dam_sire", "dam_dam")
 
 
 SORTS = {"score": "score", "earnings": "career_earnings"}
 
 
-def filtered(ratings: DataFrame, mode: str = "performance", year: int | None = None, grade: str | None = None, sire: str | None = None) -> DataFrame:
-    tests = [F.col("rating_mode") == mode]
-    tests += [F.col("birth_year") == year] if year is not None else []
-    tests += [F.col("grade") == grade] if grade else []
-    tests += [F.col("sire").ilike(f"%{sire}%")] if sire else []
-    return ratings.filter(reduce(lambda a, b: a & b, tests))
-
-
-def leaderboard(ratings: DataFrame, page: int = 1, limit: int = 25, sort: str = "score", **tests) -> DataFrame:
-    """A page of the ratings that pass ``tests``, with the rank over all pages and the total in each row."""
-    limit, page = max(1, min(50, limit)), max(1, page)
-    rows = filtered(ratings, **tests)
-    order = [F.col(SORTS.get(sort, "score")).desc_nulls_last(), F.col("name"), F.col("birth_year")]
-    total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
-    shown = rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
-    rank = F.row_number().over(Window.orderBy(*order)) + (page - 1) * limit  # over one page
-    pages = F.ceil(F.col("total") / limit)
-    return shown.withColumn("rank", rank).join(F.broadcast(total)).withColumn("pages", pages)
+#: What a leaderboard's rows are counted by.
+FACETS = {"mode": "rating_mode", "year": "birth_year", "grade": "grade"}
+
+
+def store_leaderboard(ratings: DataFrame, path: str, sort: str = "score") -> ranges.Ranked:
+    """The ratings in the order of the leaderboard; ``sort`` is 'score' or 'earnings', and anything else the score."""
+    return ranges.store_ranked(ratings, path, [(SORTS.get(sort, "score"), False), ("name", True), ("birth_year", True)], list(FACETS.values()))
+
+
+def leaderboard(spark: SparkSession, stored: ranges.Ranked, page: int = 1, limit: int = 25, mode: str = "performance", year: int | None = None, grade: str | None = None, sire: str | None = None) -> DataFrame:
+    """A page of the ratings of that mode, year, grade and part of a sire's name, with the rank over all pages and the total in each row.
+
+    Whatever the page, the ranges that it lies in are read, and no others (with a sire, they are after its rows were counted).
+    """
+    facets = {FACETS["mode"]: mode} | ({FACETS["year"]: year} if year is not None else {}) | ({FACETS["grade"]: grade} if grade else {})
+    return ranges.page(spark, stored, max(1, page), max(1, min(50, limit)), facets, F.col("sire").ilike(f"%{sire}%") if sire else None)
 
 
 def years(ratings: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import names as fn, parsing as fp, scoring as fs
-from ..operators import breeding, career, dedupe, merge, pedigree, queues, ratings as rate_ops, sires as sire_ops
+from ..operators import breeding, career, dedupe, figures, merge, pedigree, queues, ratings as rate_ops, sires as sire_ops
 from ..session import table
 from ..sources import pages as page_ops, schemas
 from . import adapter as a, answers, nightly as night
@@ -180,6 +180,19 @@ def pedigree_two_gen(spark, sf):
     return pedigree.grandparents(a.family(spark, sf)).select("name", *pedigree.ANCESTORS)
 
 
+# a cycle in the data ends its line: in the oracle as here, nobody stands twice in one
+DEEP = """WITH RECURSIVE {base}, edges AS (SELECT upper(trim(name)) AS child, sire AS parent, 's' AS side FROM family WHERE sire IS NOT NULL UNION ALL SELECT upper(trim(name)), dam, 'd' FROM family WHERE dam IS NOT NULL),
+up AS (SELECT name, name AS ancestor, '' AS path, [upper(trim(name))] AS met FROM family
+  UNION ALL SELECT up.name, e.parent, up.path || e.side, list_append(up.met, upper(trim(e.parent))) FROM up JOIN edges e ON e.child = up.met[-1] WHERE length(up.path) < {depth} AND NOT list_contains(up.met, upper(trim(e.parent))))
+SELECT name, path, ancestor FROM up WHERE path <> ''"""
+
+
+@query(DEEP.format(base=BASE, depth=5))
+def pedigree_five_gen(spark, sf):
+    """All ancestors up to the fifth generation."""
+    return pedigree.ancestors(a.family(spark, sf), 5)
+
+
 @query(sql(f"SELECT p.name, {', '.join(f'''coalesce(nullif(CASE WHEN length(p.name) > 0 AND right(p.name, 1) = '3' THEN '' ELSE p.{c} END, ''), 'FB ' || p.name) AS {c}''' for c in pedigree.ANCESTORS)} FROM ({GRAND}) p"))
 def pedigree_fallback(spark, sf):
     full = pedigree_two_gen(spark, sf)
@@ -215,22 +228,36 @@ def ancestor_names(spark, sf):
 
 @query(sql("SELECT h.name, h.birth_year, h.sire, h.sex, r.grade, r.score, r.rating_mode FROM horses h LEFT JOIN ratings r ON r.name = h.name AND r.birth_year = h.birth_year WHERE h.name ILIKE '%MER#00000001%' ORDER BY r.score DESC NULLS LAST, h.name, h.birth_year LIMIT 20"))
 def search_name(spark, sf):
-    return answers.search_horse(a.horses(spark, sf), a.ratings(spark, sf), "MER#00000001")
+    return answers.search_horse(spark, a.horse_index(spark, sf), "MER#00000001")
 
 
 @query(sql("SELECT DISTINCT sire AS name, n_figli_totali, n_in_corsa, avg_score, n_SSS, n_SS, n_S, pct_top_S FROM stats WHERE sire ILIKE '%ire 1%' ORDER BY avg_score DESC, name LIMIT 20"))
 def search_sire(spark, sf):
-    return answers.search_sire(a.stats(spark, sf), "ire 1")
+    return answers.search_sire(spark, a.sire_index(spark, sf), "ire 1")
 
 
 @query(sql("SELECT name, birth_year FROM horses WHERE name ILIKE '%0002%' AND sex = 'F' ORDER BY name, birth_year LIMIT 5"))
 def suggestions(spark, sf):
-    return answers.suggestions(a.horses(spark, sf), "0002")
+    return answers.suggestions(spark, a.horse_index(spark, sf), "0002")
 
 
 @query(sql("SELECT r.name, r.birth_year, r.score, r.grade, rank, total, ceil(total / 25.0)::BIGINT AS pages FROM (SELECT *, (row_number() OVER (ORDER BY score DESC, name, birth_year))::INT AS rank, count(*) OVER () AS total FROM ratings WHERE birth_year = 2011) r WHERE rank BETWEEN 26 AND 50"))
 def leaderboard_page(spark, sf):
-    return answers.leaderboard(a.ratings(spark, sf), page=2, year=2011).select("name", "birth_year", "score", "grade", "rank", "total", "pages")
+    return answers.leaderboard(spark, a.leaderboard(spark, sf), page=2, year=2011).select("name", "birth_year", "score", "grade", "rank", "total", "pages")
+
+
+@query(sql("SELECT name, birth_year, score, rank, total FROM (SELECT *, (row_number() OVER (ORDER BY score DESC, name, birth_year))::INT AS rank, count(*) OVER () AS total FROM ratings) WHERE rank > 1000 AND rank <= 1050"))
+def leaderboard_deep_page(spark, sf):
+    """The 21st page of fifty: the ranges before it are counted, not read."""
+    return answers.leaderboard(spark, a.leaderboard(spark, sf), page=21, limit=50).select("name", "birth_year", "score", "rank", "total")
+
+
+@query(sql("SELECT name, birth_year, sex, score FROM (SELECT h.*, r.score FROM horses h LEFT JOIN ratings r ON r.name = h.name AND r.birth_year = h.birth_year) WHERE name ILIKE '%9%1' OR name ILIKE '%9%1%'"))
+def search_wildcards(spark, sf):
+    """A term of single characters and a wildcard, for which there is no gram: all names are compared."""
+    from ..operators import search
+
+    return search.search(spark, a.horse_index(spark, sf), "9%1").select("name", "birth_year", "sex", "score")
 
 
 @query(sql("SELECT DISTINCT birth_year FROM ratings"))
@@ -457,7 +484,7 @@ def complete_parents(spark, sf):
 @query(sql("SELECT r.name, r.birth_year, r.grade, round(r.career_earnings, 2) AS career_earnings, rank FROM (SELECT *, (row_number() OVER (ORDER BY career_earnings DESC, name, birth_year))::INT AS rank FROM ratings WHERE grade = 'B' AND sire ILIKE '%sire 1%') r WHERE rank <= 10"))
 def leaderboard_filtered(spark, sf):
     """By earnings, within a grade and sires whose name has a part."""
-    return rounded_money(answers.leaderboard(a.ratings(spark, sf), limit=10, sort="earnings", grade="B", sire="sire 1").select("name", "birth_year", "grade", "career_earnings", "rank"), "career_earnings")
+    return rounded_money(answers.leaderboard(spark, a.leaderboard(spark, sf, "earnings"), limit=10, grade="B", sire="sire 1").select("name", "birth_year", "grade", "career_earnings", "rank"), "career_earnings")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS rank FROM customer")
@@ -515,6 +542,17 @@ def tree_score(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(breeding.ensemble(x, trees, F.lit(10.0), F.lit(0.08)), 9).alias("score"))
 
 
+@query(sql("""SELECT r.birth_year, round(1 - sum((r.score - c.score) ** 2) / (var_pop(r.score) * count(*)), 9) AS r2, round((SELECT sum(CASE WHEN x.e > y.e THEN 1 WHEN x.e = y.e THEN 0.5 ELSE 0 END)::DOUBLE / count(*)
+FROM (SELECT earn_percentile AS e FROM ratings p WHERE grade IN ('D', 'E', 'F') AND p.birth_year = r.birth_year) x, (SELECT earn_percentile AS e FROM ratings q WHERE grade NOT IN ('D', 'E', 'F') AND q.birth_year = r.birth_year) y), 9) AS auc, count(*) AS n
+FROM ratings r JOIN (SELECT name, birth_year, least(earn_percentile, 100) AS score FROM ratings) c ON c.name = r.name AND c.birth_year = r.birth_year GROUP BY r.birth_year"""))
+def score_figures(spark, sf):
+    """How well earnings alone tell the score and a poor grade, year by year: R2, and the area under the curve by pairs."""
+    rows = a.ratings(spark, sf).withColumn("poor", fs.is_poor(F.col("grade")))
+    told = figures.r2(rows, "score", "earn_percentile", ["birth_year"]).withColumn("r2", F.round("r2", 9))
+    area = figures.area_under_curve(rows, "poor", "earn_percentile", ["birth_year"]).select("birth_year", F.round("auc", 9).alias("auc"))
+    return told.join(area, "birth_year").select("birth_year", "r2", "auc", "n")
+
+
 @query()
 def train_models(spark, sf):
     """Regression and classification: the figures of cross-validation."""
@@ -533,7 +571,7 @@ def schema_check(spark, sf):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who are the top-rated horses?"""
-    return answers.leaderboard(a.ratings(spark, sf_dir)).select("rank", "name", "birth_year", "sire", "grade", "score", "career_races", "career_wins", "career_earnings", "win_rate", "total", "pages")
+    return answers.leaderboard(spark, a.leaderboard(spark, sf_dir)).select("rank", "name", "birth_year", "sire", "grade", "score", "career_races", "career_wins", "career_earnings", "win_rate", "total", "pages")
 
 
 from . import model_queries, page_queries, stream_queries  # noqa: E402, F401  they register their own

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.merge import new_rows
+from ..session import exists
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, watermark: str = "7 days", time_col: str = "arrived_at"):
@@ -15,14 +16,12 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, watermark: str = "7 d
     """
 
     def merge(batch: DataFrame, number: int) -> None:
+        # reads the keys of the whole table; ``keyed.append_inserted`` keeps them as state instead
         spark = batch.sparkSession
         path = f"{table}/batch={number}"
-        try:
-            known = spark.read.parquet(table).filter(F.col("batch") != number)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = batch.limit(0)
+        known = batch.limit(0)
+        if exists(spark, table):
+            known = spark.read.schema(batch.schema.add("batch", "long")).parquet(table).filter(F.col("batch") != number)
         rows = new_rows(known, batch, ["horse_name", "race_date"], [F.col("race_code").asc_nulls_last(), F.col("id").asc_nulls_last()])
         rows.select(*batch.columns).write.mode("overwrite").parquet(path)
 
