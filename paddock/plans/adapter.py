@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import breeding, models
 from ..operators.career import careers as with_careers
 from ..operators.ratings import rate
 from ..operators.sires import competition_rank, ranking_rollup, running_progeny, sire_stats
@@ -104,3 +105,23 @@ def sire_index(spark: SparkSession, sf_dir: str):
 
 def leaderboard(spark: SparkSession, sf_dir: str, sort: str = "score"):
     return stored_folder(spark, sf_dir, f"leaderboard-{sort}", lambda path: answers.store_leaderboard(ratings(spark, sf_dir), path, sort))[1]
+
+
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breeding.training_rows(ratings(spark, sf_dir), family(spark, sf_dir))
+
+
+def model(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The model document trained on the given tables, with the operator's defaults, by the first who asks; None with too few rows."""
+
+    def build(path: str) -> bool:
+        rows = training_rows(spark, sf_dir)
+        made = breeding.train(rows)
+        if made:
+            middle = breeding.medians(rows).first().asDict()
+            text = models.document(*made, middle, breeding.grade_earnings(ratings(spark, sf_dir)), f"{AS_OF}T00:00:00Z")
+            models.write_model(spark, text, path)
+        return bool(made)
+
+    path, there = stored_folder(spark, sf_dir, "model", build)
+    return models.read_model(spark, path) if there else None

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import names as fn, parsing as fp, scoring as fs
 from ..operators import breeding, career, dedupe, figures, merge, pedigree, queues, ratings as rate_ops, sires as sire_ops
-from ..session import table
+from ..session import shared_path, table
 from ..sources import pages as page_ops, schemas
-from . import adapter as a, answers, nightly as night
+from . import adapter as a, answers, nightly as night, parts
 from .registry import ORACLES, QUERIES, query
 
 def as_of():
@@ -432,6 +432,67 @@ def nightly_counters(spark, sf):
     return done.counters
 
 
+NEW = "SELECT * FROM races WHERE id % 3 <> 0 AND id % 7 = 2"
+
+
+@query(sql(f"""SELECT h.name, coalesce(s.career_races, 0) AS career_races, coalesce(s.career_wins, 0) AS career_wins, round(coalesce(s.e, 0), 2) AS career_earnings FROM horses h LEFT JOIN
+(SELECT horse_name, count(placement) AS career_races, count(*) FILTER (placement = 1) AS career_wins, sum(CASE WHEN placement IS NOT NULL THEN prize_net ELSE 0 END) AS e FROM
+(SELECT * FROM races WHERE id % 3 = 0 UNION ALL (SELECT * FROM ({NEW}) r WHERE NOT EXISTS (SELECT 1 FROM races q WHERE q.id % 3 = 0 AND q.horse_name = r.horse_name AND q.race_date = r.race_date) QUALIFY row_number() OVER (PARTITION BY horse_name, race_date ORDER BY id) = 1))
+GROUP BY horse_name) s ON s.horse_name = h.name"""))
+def careers_by_part(spark, sf):
+    """New races recompute the careers of the parts that they fall in, by dynamic overwrite."""
+    root, r = shared_path(spark, "careers"), a.races(spark, sf)
+    parts.start(a.horses(spark, sf), r.filter("id % 3 = 0"), root)
+    parts.merge_races(spark, root, r.filter("id % 3 <> 0 and id % 7 = 2"), [F.col("id")])
+    return rounded_money(parts.stored_careers(spark, root).select("name", "career_races", "career_wins", "career_earnings"), "career_earnings")
+
+
+@query(sql(f"SELECT key AS id, CASE WHEN key % 6 = 1 THEN 'done' WHEN key % 3 = 0 THEN 'pending' ELSE 'old' END AS backfill_status, CASE WHEN key % 6 = 1 THEN '{a.AS_OF}' END AS last_backfill_at FROM horses"))
+def backfill_status(spark, sf):
+    """Statuses set where a horse was visited, others left."""
+    k = F.col("key")
+    rows = a.horses(spark, sf).select(k.alias("id"), "key", F.when(k % 3 == 0, "pending").otherwise("old").alias("backfill_status"), F.lit(None).cast("date").alias("last_backfill_at"))
+    return merge.set_status(rows, k % 6 == 1, F.lit("done"), as_of()).select("id", "backfill_status", F.col("last_backfill_at").cast("string").alias("last_backfill_at"))
+
+
+@query("SELECT p_brand AS name, p_partkey::VARCHAR AS vp_id, left(p_brand, 1) AS first_letter FROM part WHERE p_size > 25 UNION ALL SELECT 'Z' || n_name, NULL, 'Z' FROM nation WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size > 25)")
+def seeded_rankings(spark, sf):
+    """Ranking rows with their first letter, conformed; the seed would take their place if there were none."""
+    from ..functions import names
+
+    rows = table(spark, sf, "part").filter("p_size > 25").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("vp_id"), F.lit("loose").alias("eta"))
+    seed = table(spark, sf, "nation").select(F.concat(F.lit("Z"), "n_name").alias("name"))
+    return schemas.seeded(schemas.conform(rows, "rankings"), schemas.conform(seed, "rankings")).select("name", "vp_id", names.first_letter(F.col("name")).alias("first_letter"))
+
+
+@query(sql("""SELECT horse_name, race_date, placement FROM (SELECT 'H' || c_custkey AS horse_name, '2024-01-01' AS race_date, n_name AS track, 1 AS placement FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 5 = 0
+UNION ALL SELECT 'H' || c_custkey, '2024-01-01', n_name, (c_custkey % 9 + 1)::INT FROM customer JOIN nation ON n_nationkey = c_nationkey
+WHERE c_custkey % 5 <> 0 AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1 HAVING count(*) >= 3))"""))
+def gap_driven_results(spark, sf):
+    """Meetings with fewer than three runners stored are read from their result pages; the runners not known are inserted."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    k, day = F.col("c_custkey"), F.lit("2024-01-01")
+    stored = c.filter(k % 5 == 0).select(F.concat(F.lit("H"), k).alias("horse_name"), day.cast("date").alias("race_date"), F.lower("n_name").alias("track"), F.lit(1).alias("placement"), F.lit("r").alias("race_code"))
+    row = F.format_string('<tr><td class="piaz x">%dº</td><td class="nome_cav">h%d</td></tr>', k % 9 + 1, k)
+    html = F.concat(F.lit('<div id="dati_corsa"><table id="tabella_risultati">'), F.array_join(F.collect_list(row), ""), F.lit("</table></div>"))
+    made = c.groupBy("n_name").agg(html.alias("html")).select(F.concat(F.lit("u/"), "n_name").alias("url"), "html")
+    meetings = table(spark, sf, "nation").select(day.alias("data"), F.upper(F.substring("n_name", 1, 2)).alias("sigla"), F.col("n_name").alias("ippodromo"), F.lit("").alias("note_giorno"), F.concat(F.lit("u/"), "n_name").alias("url"))
+    after = night.missing_results(stored, meetings, made)
+    return after.select("horse_name", F.col("race_date").cast("string").alias("race_date"), "placement")
+
+
+@query(sql("""SELECT upper(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, 'SIRE D''OR ' || c_nationkey AS sire, count(o_orderkey) FILTER (o_orderkey % 5 < 4) AS career_races, count(o_orderkey) FILTER (o_orderkey % 5 < 4 AND o_orderkey % 12 = 0) AS career_wins
+FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate::DATE ORDER BY o_orderdate::DATE::VARCHAR || '_' || o_orderkey) = 1) o ON o_custkey = c_custkey GROUP BY ALL"""))
+def career_page_merge(spark, sf):
+    """Career pages of all horses: profiles fill what is unknown, races come in once a day, careers are computed anew."""
+    from .page_queries import career_pages
+
+    known = a.horses(spark, sf).select(F.upper("name").alias("name"), F.lit(None).cast("string").alias("sex"), F.lit(None).cast("string").alias("country"), "birth_year", F.lit(None).cast("string").alias("sire"), F.lit(None).cast("string").alias("dam"))
+    none = spark.createDataFrame([], schemas.schema("races")).drop("id")
+    merged, _ = night.full_careers(known, none, career_pages(spark, sf), as_of(), first_day="1990-01-01")
+    return merged.select("name", "sex", "sire", "career_races", "career_wins")
+
+
 # text and JSON
 
 
@@ -555,11 +616,11 @@ def score_figures(spark, sf):
 
 @query()
 def train_models(spark, sf):
-    """Regression and classification: the figures of cross-validation."""
-    rows = breeding.training_rows(a.ratings(spark, sf), a.family(spark, sf))
-    made = breeding.train(rows)
-    figures = made[2] if made else {"cv_r2_score": None, "cv_auc_poor": None, "n_samples": 0}
-    return spark.createDataFrame([(figures["cv_r2_score"], figures["cv_auc_poor"], figures["n_samples"])], "cv_r2_score double, cv_auc_poor double, n_samples long")
+    """Regression and classification, with the operator's defaults: the figures of cross-validation, from the document that was trained."""
+    made = a.model(spark, sf)
+    if made is None:
+        return spark.createDataFrame([(None, None, 0)], "cv_r2_score double, cv_auc_poor double, n_samples long")
+    return made.select("cv_r2_score", "cv_auc_poor", "n_samples")
 
 
 @query(sql("SELECT name, birth_year, 2::BIGINT AS n FROM ratings WHERE score >= 50"))

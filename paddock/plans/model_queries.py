@@ -49,29 +49,45 @@ graded AS (SELECT *, CASE {" ".join(f"WHEN score >= {s} THEN '{g}'" for s, g in
 earned AS (SELECT *, 1000.0::DOUBLE * CASE grade {" ".join(f"WHEN '{g}' THEN {w}" for g, w in fs.GRADE_WEIGHTS.items())} END AS earnings FROM graded)"""
 
 
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    mare = F.concat(F.lit("Customer#"), F.lpad((F.substring("name", 10, 9).cast("int") + 1).cast("string"), 9, "0"))
+    return breeding.pair_features(a.studs(spark, sf).select(F.col("name").alias("stallion"), mare.alias("mare")), a.ratings(spark, sf), a.family(spark, sf), "stallion", "mare")
+
+
 @query(f"""WITH {BASE}, {PAIR_SQL} SELECT stallion, mare, floor(score * 10 + 0.5) / 10 AS predicted_score, grade AS predicted_grade, floor(poor * 1000 + 0.5) / 1000 AS poor_foal_probability, earnings AS expected_earnings, fee AS stud_fee,
 CASE WHEN fee > 0 THEN floor((earnings - fee) / fee * 100 + 0.5) / 100 END AS roi_estimate, n_missing FROM earned""")
 def predict_pairs(spark, sf):
     """All studs with the mares of the next key: features, imputation, scoring by a model document, grade, earnings and return."""
-    mare = F.concat(F.lit("Customer#"), F.lpad((F.substring("name", 10, 9).cast("int") + 1).cast("string"), 9, "0"))
-    rows = breeding.pair_features(a.studs(spark, sf).select(F.col("name").alias("stallion"), mare.alias("mare")), a.ratings(spark, sf), a.family(spark, sf), "stallion", "mare")
-    scored = models.score_pairs(rows, models.parse_model(toy_document(spark)), a.studs(spark, sf))
+    scored = models.score_pairs(_pairs(spark, sf), models.parse_model(toy_document(spark)), a.studs(spark, sf))
     return scored.select("stallion", "mare", "predicted_score", "predicted_grade", "poor_foal_probability", "expected_earnings", "stud_fee", "roi_estimate", F.size("missing_data").alias("n_missing"))
 
 
-@query(f"SELECT true AS available, '{INFO['trained_at']}' AS trained_at, {INFO['n_samples']}::BIGINT AS n_samples, {INFO['cv_r2_score']}::DOUBLE AS cv_r2_score, {INFO['cv_auc_poor']}::DOUBLE AS cv_auc_poor, {len(breeding.FEATURES)} AS n_features")
-def model_info(spark, sf):
-    info = models.model_info(models.parse_model(toy_document(spark)))
-    return info.withColumn("n_features", F.size("feature_importances")).drop("feature_importances")
+TRAINING = f"(SELECT f.* FROM ratings f JOIN family h ON h.name = f.name JOIN ratings s ON s.name = h.sire JOIN ratings m ON upper(m.name) = upper(trim(h.dam)))"
 
 
-_SIRE = [f.startswith("s_") or f == "ss_time" for f in breeding.FEATURES]
-_SHARE = lambda side: f"round(sum(v) FILTER (s = {side}) / sum(v) * 100, 2)"
+@query(sql(f"SELECT true AS available, '{a.AS_OF}T00:00:00Z' AS trained_at, (SELECT count(*) FROM {TRAINING}) AS n_samples, true AS has_r2, true AS has_auc, {len(breeding.FEATURES)} AS n_features"))
+def model_info(spark, sf):
+    """What is told of the model trained on the given tables."""
+    info = models.model_info(a.model(spark, sf))
+    return info.select("available", "trained_at", "n_samples", F.col("cv_r2_score").isNotNull().alias("has_r2"), F.col("cv_auc_poor").between(0, 1).alias("has_auc"), F.size("feature_importances").alias("n_features"))
 
 
-@query(f"SELECT {_SHARE('true')} AS sire_share, {_SHARE('false')} AS dam_share FROM (SELECT unnest({list(IMPORTANCES.values())}::DOUBLE[]) AS v, unnest({[str(s).lower() for s in _SIRE]}::BOOLEAN[]) AS s)")
+@query()
 def importance_sides(spark, sf):
-    return models.importance_sides(models.parse_model(toy_document(spark)))
+    """Of the trained model, how much the sire's side tells and how much the dam's."""
+    return models.importance_sides(a.model(spark, sf))
+
+
+@query()
+def predict_trained(spark, sf):
+    """All studs with the mares of the next key, scored by the model trained on the given tables, read back from its document."""
+    return models.score_pairs(_pairs(spark, sf), a.model(spark, sf), a.studs(spark, sf)).select("stallion", "mare", "predicted_score", "predicted_grade", "poor_foal_probability", "expected_earnings", "stud_fee", "roi_estimate", F.size("missing_data").alias("n_missing"))
+
+
+@query(sql(f"SELECT grade, round(avg(career_earnings), 2) AS avg_earnings, count(*) AS n FROM ratings GROUP BY grade"))
+def model_earnings(spark, sf):
+    """Earnings by grade as the trained document has them."""
+    return a.model(spark, sf).select(F.explode("grade_earnings").alias("grade", "e")).select("grade", F.round("e.avg_earnings", 2).alias("avg_earnings"), "e.n")
 
 
 @query(sql("""SELECT count(*) AS n, count(*) FILTER (f.grade IN ('D', 'E', 'F')) AS n_poor, round(avg((f.grade IN ('D', 'E', 'F'))::INT) * 100, 1) AS poor_share

@@ -25,9 +25,28 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema(name)).parquet(f"{root}/{name}")
 
 
-def read_legacy(spark: SparkSession, url: str, name: str, driver: str) -> DataFrame:
-    """A table of a relational store by JDBC, conformed; the driver's jar must be on the class path."""
-    return conform(spark.read.format("jdbc").options(url=url, dbtable=name, driver=driver).load(), name)
+def read_legacy(spark: SparkSession, url: str, name: str, driver: str, key: str | None = None, parts: int = 8, cuts: list[str] | None = None, table: str | None = None) -> DataFrame:
+    """A table of a relational store by JDBC, conformed; the driver's jar must be on the class path.
+
+    With a numeric ``key`` it is read in ``parts`` ranges of it at a time, whose bounds the store is asked for; with ``cuts``, rising values
+    of a key of any kind, in the ranges between them. Null keys are read with the first range. Without a key one task reads all.
+    """
+    source, quoted_key = {"url": url, "dbtable": table or name, "driver": driver}, f'"{key}"'
+    if key and cuts:
+        quoted = ["'" + c.replace("'", "''") + "'" for c in cuts]
+        tests = [f"{quoted_key} < {quoted[0]} OR {quoted_key} IS NULL", *(f"{quoted_key} >= {x} AND {quoted_key} < {y}" for x, y in zip(quoted, quoted[1:], strict=False)), f"{quoted_key} >= {quoted[-1]}"]
+        return conform(spark.read.jdbc(url, source["dbtable"], predicates=tests, properties={"driver": driver}), name)
+    if key:
+        bounds = spark.read.format("jdbc").options(url=url, driver=driver, query=f"SELECT min({quoted_key}) AS low, max({quoted_key}) AS high FROM {source['dbtable']}").load().first()
+        if bounds[0] is not None and bounds[0] < bounds[1]:
+            source |= {"partitionColumn": key, "lowerBound": str(int(bounds[0])), "upperBound": str(int(bounds[1]) + 1), "numPartitions": str(parts)}
+    return conform(spark.read.format("jdbc").options(**source).load(), name)
+
+
+def write_legacy(df: DataFrame, url: str, table: str, driver: str, tasks: int = 8, batch: int = 10_000, types: str | None = None) -> None:
+    """Rows into a relational store, by at most so many connections at a time; ``types`` names columns whose types it makes otherwise than Spark would."""
+    named = {"createTableColumnTypes": types} if types else {}
+    df.write.format("jdbc").options(url=url, dbtable=table, driver=driver, batchsize=str(batch), numPartitions=str(tasks), **named).mode("append").save()
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
