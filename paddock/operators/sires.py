@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.names import plain_key
 from ..functions.scoring import GRADE_WEIGHTS, SIRE_PERCENTILES, STATIC_SIRE_GRADES, grade_weight, graded, rounded, volume_multiplier
+from .ranges import running
 
 
 def ranking_rollup(rows: DataFrame) -> DataFrame:
@@ -21,13 +22,17 @@ def ranking_rollup(rows: DataFrame) -> DataFrame:
 
 
 def ordinal_rank(rolled: DataFrame) -> DataFrame:
-    """Rank by earnings, each rank once; equal earnings by name. A row a sire, not a runner, goes through the one sort."""
-    return rolled.withColumn("vp_rank", F.row_number().over(Window.orderBy(F.desc("vp_total_earnings_eur"), "name")))
+    """Rank by earnings, each rank once; equal earnings by name. Ranks run on over ranges of rows, so no task sorts all."""
+    ranked = running(rolled, [], [F.desc("vp_total_earnings_eur"), F.asc("name")], {"__upto": F.lit(1)})
+    return ranked.withColumn("vp_rank", F.col("__upto").cast("int")).drop("__upto", "__upto_all")
 
 
 def competition_rank(rolled: DataFrame) -> DataFrame:
-    """Rank by earnings, equal earnings sharing the best. A row a sire goes through the one sort."""
-    return rolled.withColumn("vp_rank", F.rank().over(Window.orderBy(F.desc("vp_total_earnings_eur"))))
+    """Rank by earnings, equal earnings sharing the best: one more than the rows of higher earnings, which are counted by their distinct values."""
+    counts = rolled.groupBy(F.col("vp_total_earnings_eur").alias("__e")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = running(counts, [], [F.desc("__e")], {"__upto": F.col("__n")})
+    ranks = upto.select("__e", (F.col("__upto") - F.col("__n") + 1).cast("int").alias("vp_rank"))
+    return rolled.join(ranks, rolled["vp_total_earnings_eur"].eqNullSafe(ranks["__e"])).drop("__e")
 
 
 def running_progeny(horses: DataFrame, races: DataFrame, as_of: Column, days: int = 180) -> DataFrame:

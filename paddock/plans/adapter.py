@@ -125,3 +125,19 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame | None:
 
     path, there = stored_folder(spark, sf_dir, "model", build)
     return models.read_model(spark, path) if there else None
+
+
+def sire_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """For the pages of sires: names in another spelling (one of them of nobody), their stud entries, own rows among all horses, and pedigrees, from the nations."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    name = F.concat(F.lit("SIRE "), k)
+    customer = lambda i: F.concat(F.lit("Customer#"), F.lpad(i.cast("string"), 9, "0"))
+    names = n.select(F.concat(F.lit(" sire "), F.when(k == 7, -1).otherwise(k)).alias("name"))
+    studs_ = n.filter(k % 2 == 0).select(
+        F.concat(F.lower(name), F.lit(" ")).alias("name"), F.when(k % 6 != 4, k * 100.0).alias("stud_fee_eur"), F.col("n_name").alias("stud_farm"), F.lit("active").alias("stud_status"),
+        F.when(k % 4 == 0, F.substring("n_name", 1, 3)).alias("country"), (k * 1000.0).alias("progeny_earnings_2024"), (k / 2).alias("media_in_corsa"), k.cast("int").alias("tot_prod"),
+    )
+    own = n.filter(k % 3 == 0).select(name.alias("name"), F.when(k % 9 != 3, customer(k + 9)).alias("sire"), customer(k + 2).alias("dam"), F.lit("ITA").alias("country"))
+    rows = own.unionByName(family(spark, sf_dir).select("name", "sire", "dam", F.lit(None).cast("string").alias("country")))
+    sheet = n.filter(k % 2 == 1).select(name.alias("name"), F.concat(F.lit("P"), k).alias("sire"), F.lit("").alias("dam"), *(F.lit(None).cast("string").alias(c) for c in ("sire_sire", "sire_dam", "dam_sire")), F.col("n_name").alias("dam_dam"), F.when(k % 3 == 1, "FRA").alias("nationality"))
+    return names, studs_, rows, sheet

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.names import flag, nationality, plain_key, truthy
 from ..functions.scoring import GRADE_WEIGHTS, rounded
 from ..operators import ranges, search
-from ..operators.pedigree import ancestor_names, grandparents
+from ..operators.pedigree import ANCESTORS, ancestor_names, grandparents
 
 GRADES = tuple(GRADE_WEIGHTS)
 
@@ -67,25 +67,56 @@ def half_siblings(horses: DataFrame, ratings: DataFrame, name: str, year: int, m
     return with_rating(kin, ratings).select("name", "birth_year", "grade", "score").orderBy(F.col("score").desc_nulls_last(), "name").limit(most)
 
 
-def sire_page(stats: DataFrame, studs: DataFrame, ratings: DataFrame, pedigree: DataFrame, name: str) -> DataFrame:
-    """One row for the sire: its statistics, stud data, ancestors and its twenty best earning progeny, nested.
+def sire_pages(names: DataFrame, stats: DataFrame, studs: DataFrame, ratings: DataFrame, horses: DataFrame, pedigree: DataFrame, most: int = 20) -> DataFrame:
+    """All that a sire's page shows, a row for each of ``names`` that is known anywhere, whatever its spelling; any number of names.
 
-    The maximum of earnings and the mean win rate are of those twenty; a missing win rate counts as 0.
+    Statistics, with 0 for counts that are missing; the best paid stud entry; the ``most`` best earning progeny of the performance ratings, over
+    which the highest earnings and the mean win rate are taken (null without progeny, and what they lack counts 0); grades by
+    how often they occur; two generations of the sire's own row if that names a sire, else of the pedigree table; the nationality that is told first.
     """
-    key = name.strip().upper()
-    of = lambda df, c: df.filter(plain_key(F.col(c)) == key)
-    rank = F.row_number().over(Window.orderBy(F.desc("career_earnings"), "name", "birth_year"))
-    children = of(ratings, "sire").orderBy(F.desc("career_earnings"), "name", "birth_year").limit(20).withColumn("rank", rank)
-    child = F.struct("rank", "name", "birth_year", "grade", "score", "career_earnings", "win_rate")
-    top = children.agg(F.array_sort(F.collect_list(child)).alias("children"), F.coalesce(F.max("career_earnings"), F.lit(0.0)).alias("max_earnings"), rounded(F.coalesce(F.avg(F.coalesce("win_rate", F.lit(0.0))), F.lit(0.0))).alias("avg_win_rate"))
-    grades = of(ratings, "sire").groupBy("grade").agg(F.count(F.lit(1)).alias("cnt"))
-    spread = grades.agg(F.array_sort(F.collect_list(F.struct("grade", "cnt"))).alias("grade_distribution"))
-    stud = of(studs, "name").orderBy(F.col("stud_fee_eur").desc_nulls_last(), "name").limit(1)
-    stud = stud.select(F.struct("stud_fee_eur", "stud_farm", "stud_status", "country").alias("stud"))
-    tree = of(pedigree, "name").limit(1).select("sire", "dam", "sire_sire", "sire_dam", "dam_sire", "dam_dam", F.col("nationality"))
-    found = of(stats, "sire").drop("sire")
-    base = top.join(F.broadcast(spread)).withColumn("name", F.lit(key))  # each side is one row
-    return base.join(F.broadcast(found), F.lit(True), "left").join(F.broadcast(stud), F.lit(True), "left").join(F.broadcast(tree), F.lit(True), "left").withColumn("nationality", truthy(F.col("nationality"), F.col("stud.country")))
+    asked = names.select(plain_key(F.col("name")).alias("__k")).filter("__k <> ''").distinct()
+    of = lambda df, c: df.join(asked, plain_key(df[c]) == asked["__k"])
+    kids = of(ratings.filter("rating_mode = 'performance'"), "sire")
+    rank = F.row_number().over(Window.partitionBy("__k").orderBy(F.col("career_earnings").desc_nulls_last(), "name", "birth_year"))
+    child = F.struct(F.col("__rank").alias("rank"), "name", "birth_year", "grade", "score", "career_earnings", "record_career", "win_rate", "sire_percentile")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    top = kids.withColumn("__rank", rank).filter(F.col("__rank") <= most).groupBy("__k").agg(F.array_sort(F.collect_list(child)).alias("children"), F.max(zero("career_earnings")).alias("max_earnings"), F.avg(zero("win_rate")).alias("avg_win_rate"))
+    grades = kids.groupBy("__k", "grade").agg(F.count(F.lit(1)).alias("cnt"))
+    spread = grades.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("least"), "grade"))).alias("__g"))
+    spread = spread.select("__k", F.transform("__g", lambda g: F.struct(g["grade"].alias("grade"), (-g["least"]).alias("cnt"))).alias("grade_distribution"))
+    paid = F.struct("stud_fee_eur", "stud_farm", "stud_status", "progeny_earnings_2024", "media_in_corsa", "tot_prod")
+    stud = of(studs, "name").groupBy("__k").agg(F.max_by(F.struct(paid.alias("stud"), "country"), F.struct("stud_fee_eur", "name")).alias("__stud"))
+    stud = stud.select("__k", "__stud.stud", F.col("__stud.country").alias("__stud_country"))
+    own = of(horses, "name")
+    has = set(horses.columns)
+    either = lambda c: truthy(F.col(c), F.col(f"unire_{c}")) if f"unire_{c}" in has else F.nullif(F.col(c), F.lit(""))
+    own = own.groupBy("__k").agg(F.max_by(F.struct(either("sire").alias("sire"), either("dam").alias("dam"), "country"), F.struct(either("sire").isNotNull(), "sire", "dam")).alias("__own")).select("__k", "__own.sire", "__own.dam", F.col("__own.country").alias("__own_country"))
+    line = grandparents(own, parents_asked(own, horses.withColumns({c: either(c) for c in ("sire", "dam")})))
+    tree = lambda: F.struct(*(F.nullif(F.col(c), F.lit("")).alias(c) for c in ANCESTORS))
+    line = line.select("__k", F.when(F.col("sire").isNotNull(), tree()).alias("__line"), "__own_country")
+    sheet = of(pedigree, "name").groupBy("__k").agg(F.min(F.struct(*ANCESTORS, "nationality")).alias("p")).select("__k", "p.*").select("__k", tree().alias("__sheet"), F.col("nationality").alias("__told"))
+    known = of(stats, "sire").select("__k", F.struct(*stats.columns).alias("__s"))
+    joined = asked
+    for part in (known, stud, top, spread, line, sheet):
+        joined = joined.join(part, "__k", "left")
+    counts = ["n_figli_totali", "n_in_corsa", *(f"n_{g}" for g in GRADES)]
+    there = F.col("__s").isNotNull()
+    found = joined.filter(there | F.col("stud").isNotNull() | F.col("__sheet").isNotNull() | F.col("children").isNotNull())
+    return found.select(
+        F.coalesce("__s.sire", "__k").alias("sire"),
+        *(F.coalesce(F.col(f"__s.{c}"), F.lit(0)).alias(c) for c in counts),
+        *(F.col(f"__s.{c}").alias(c) for c in ("avg_score", "grade", "final_score", "pct_top_S", "avg_earnings")),
+        zero("__s.vp_boost").alias("vp_boost"),
+        "max_earnings",
+        "avg_win_rate",
+        "stud",
+        F.coalesce("children", F.array().cast(f"array<{joined.schema['children'].dataType.elementType.simpleString()}>")).alias("children"),
+        F.coalesce("grade_distribution", F.array().cast(f"array<{joined.schema['grade_distribution'].dataType.elementType.simpleString()}>")).alias("grade_distribution"),
+        F.coalesce("__line", "__sheet").alias("pedigree"),
+        truthy(F.col("__told"), F.col("__stud_country"), F.col("__own_country")).alias("nationality"),
+        (~there & F.col("children").isNull()).alias("no_offspring_data"),
+        there.alias("has_offspring_data"),
+    )
 
 
 def nationality_of(names: DataFrame, pedigree: DataFrame, studs: DataFrame, horses: DataFrame) -> DataFrame:

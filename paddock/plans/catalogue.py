@@ -297,10 +297,33 @@ def totals(spark, sf):
 @query(sql("""SELECT name, (SELECT count(*) FROM (SELECT 1 FROM ratings WHERE sire = 'SIRE 3' LIMIT 20)) AS n_children, round(max_earnings, 2) AS max_earnings, avg_win_rate, avg_score, final_score, pct_top_S FROM
 (SELECT 'SIRE 3' AS name, max(career_earnings) AS max_earnings, round(avg(coalesce(win_rate, 0)) + 1e-9, 2) AS avg_win_rate FROM (SELECT * FROM ratings WHERE sire = 'SIRE 3' ORDER BY career_earnings DESC, name, birth_year LIMIT 20)) JOIN stats ON sire = name"""))
 def sire_page(spark, sf):
-    none = a.studs(spark, sf).withColumns({"country": F.lit(None).cast("string")})
-    tree = pedigree_two_gen(spark, sf).withColumn("nationality", F.lit(None).cast("string"))
-    page = answers.sire_page(a.stats(spark, sf), none, a.ratings(spark, sf), tree, " sire 3")
-    return page.select("name", F.size("children").cast("long").alias("n_children"), F.round("max_earnings", 2).alias("max_earnings"), "avg_win_rate", "avg_score", "final_score", "pct_top_S")
+    names, studs, horses, sheets = a.sire_tables(spark, sf)
+    page = answers.sire_pages(names.filter("trim(name) = 'sire 3'"), a.stats(spark, sf), studs, a.ratings(spark, sf), horses, sheets)
+    return page.select(F.col("sire").alias("name"), F.size("children").cast("long").alias("n_children"), F.round("max_earnings", 2).alias("max_earnings"), fs.rounded(F.col("avg_win_rate")).alias("avg_win_rate"), "avg_score", "final_score", "pct_top_S")
+
+
+@query(sql(f"""SELECT coalesce(s.sire, q.k) AS sire, coalesce(s.n_figli_totali, 0) AS n_figli_totali, coalesce(s.n_in_corsa, 0) AS n_in_corsa, {", ".join(f"coalesce(s.n_{g}, 0) AS n_{g}" for g in fs.GRADE_WEIGHTS)}, s.avg_score, s.grade, s.final_score, s.pct_top_S, s.avg_earnings, coalesce(s.vp_boost, 0) AS vp_boost,
+round(t.max_earnings, 2) AS max_earnings, round(t.avg_win_rate, 6) AS avg_win_rate, u.fee AS stud_fee_eur, u.n_name AS stud_farm, u.status AS stud_status, u.progeny AS progeny_earnings_2024, u.media AS media_in_corsa, u.tot AS tot_prod, coalesce(t.children, '') AS children, coalesce(d.grades, '') AS grade_distribution,
+CASE WHEN o.sire IS NOT NULL THEN concat_ws('|', o.sire, o.dam, o.sire_sire, o.sire_dam, o.dam_sire, o.dam_dam) WHEN p.n % 2 = 1 THEN 'P' || p.n || '|' || p.n_name END AS pedigree,
+CASE WHEN p.n % 2 = 1 AND p.n % 3 = 1 THEN 'FRA' WHEN u.country IS NOT NULL THEN u.country WHEN p.n % 3 = 0 THEN 'ITA' END AS nationality, s.sire IS NULL AND t.k IS NULL AS no_offspring_data, s.sire IS NOT NULL AS has_offspring_data
+FROM (SELECT CASE WHEN n_nationkey = 7 THEN 'SIRE -1' ELSE 'SIRE ' || n_nationkey END AS k FROM nation) q LEFT JOIN (SELECT n_nationkey AS n, n_name, 'SIRE ' || n_nationkey AS k FROM nation) p ON p.k = q.k LEFT JOIN stats s ON s.sire = q.k
+LEFT JOIN (SELECT 'SIRE ' || n_nationkey AS k, CASE WHEN n_nationkey % 6 <> 4 THEN n_nationkey * 100.0::DOUBLE END AS fee, n_name, 'active' AS status, CASE WHEN n_nationkey % 4 = 0 THEN left(n_name, 3) END AS country, n_nationkey * 1000.0::DOUBLE AS progeny, n_nationkey / 2.0::DOUBLE AS media, n_nationkey::INT AS tot FROM nation WHERE n_nationkey % 2 = 0) u ON u.k = q.k
+LEFT JOIN (SELECT sire AS k, max(career_earnings) AS max_earnings, avg(coalesce(win_rate, 0)) AS avg_win_rate, string_agg(i || ':' || name || ':' || grade, ',' ORDER BY i) AS children FROM (SELECT *, row_number() OVER (PARTITION BY sire ORDER BY career_earnings DESC, name, birth_year) AS i FROM ratings) WHERE i <= 20 GROUP BY sire) t ON t.k = q.k
+LEFT JOIN (SELECT sire AS k, string_agg(grade || ':' || c, ',' ORDER BY c DESC, grade) AS grades FROM (SELECT sire, grade, count(*) AS c FROM ratings GROUP BY ALL) GROUP BY sire) d ON d.k = q.k
+LEFT JOIN (SELECT 'SIRE ' || n_nationkey AS k, f.sire AS sire_sire, f.dam AS sire_dam, g.sire AS dam_sire, g.dam AS dam_dam, h.sire, h.dam FROM nation JOIN (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 9 <> 3 THEN {NAME.format("(n_nationkey + 9)")} END AS sire, {NAME.format("(n_nationkey + 2)")} AS dam FROM nation WHERE n_nationkey % 3 = 0) h ON h.n = n_nationkey
+  LEFT JOIN family f ON f.name = h.sire LEFT JOIN family g ON g.name = h.dam) o ON o.k = q.k
+WHERE s.sire IS NOT NULL OR u.k IS NOT NULL OR p.n % 2 = 1 OR t.k IS NOT NULL"""))
+def sire_pages(spark, sf):
+    """All fields of the pages of all sires and of one that nobody knows."""
+    names, studs, horses, sheets = a.sire_tables(spark, sf)
+    page = answers.sire_pages(names, a.stats(spark, sf), studs, a.ratings(spark, sf), horses, sheets)
+    flat = page.withColumns({
+        "children": F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["rank"], c["name"], c["grade"])), ","),
+        "grade_distribution": F.array_join(F.transform("grade_distribution", lambda g: F.concat_ws(":", g["grade"], g["cnt"])), ","),
+        "pedigree": F.when(F.col("pedigree").isNotNull(), F.concat_ws("|", *(F.col(f"pedigree.{c}") for c in pedigree.ANCESTORS))),
+        "avg_win_rate": F.round("avg_win_rate", 6),
+    })
+    return rounded_money(flat.select("*", "stud.*").drop("stud"), "max_earnings")
 
 
 STUD_STATS = "stud_stats AS (SELECT r.name AS sire, score AS avg_score, career_races AS n_in_corsa, win_rate AS pct_top_S, career_earnings AS avg_earnings FROM ratings r)"
