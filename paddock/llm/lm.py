@@ -10,7 +10,8 @@ of the second to v. As in other n-gram tries, n-grams are kept with their last w
 that word; a shard holds monotone sequences in Elias-Fano form (words, running sums of their counts, pointers to their
 contexts, contexts relative to their word, pointers to theirs, and contexts relative to those) and quantised logs: of the
 numerator for each trigram, of both for each bigram. All events of a word go to its shard once, as packed blocks: there its
-trie is built from the training events and queried, packed as it is, for all of them, and only sums a document come back.
+trie is built from the training events and queried, packed as it is, for all of them, a context between its parent's pointer and the
+next one, and only sums a document come back. Contexts are told apart by 40 bits of their hashes within a word, and by 32 within a pair.
 Words so frequent that they would weigh on a shard are cut by context too, and the number of shards grows with the corpus. So
 no task holds the model, and the trie grows with the corpus.
 """
@@ -100,8 +101,9 @@ class EliasFano:
             word = (word << np.uint64(8)) | self.lows[at + k]
         return (word << (first & 7).astype(np.uint64)) >> np.uint64(64 - self.low_bits)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """For each x the first index whose value is not smaller: the range of its high part lies between two zeros, and is halved by low parts."""
+    def successor(self, x: np.ndarray, start: np.ndarray | int = 0, stop: np.ndarray | int | None = None) -> np.ndarray:
+        """For each x the first index from ``start`` to ``stop`` whose value is not smaller, or ``stop``: of that range, what lies between two zeros has
+        its high part, and is halved by low parts."""
         x = np.asarray(x, np.uint64)
         high, low = (x >> np.uint64(self.low_bits)).astype(np.int64), x & np.uint64((1 << self.low_bits) - 1)
         zeros = 64 * len(self.before) - self.n
@@ -113,7 +115,8 @@ class EliasFano:
             out[some] = np.minimum(self._select(h[some] - 1, False) - (h[some] - 1), self.n)
             return out
 
-        lo, hi = first(high), first(high + 1)
+        stop = self.n if stop is None else stop
+        lo, hi = (np.clip(first(h), start, stop) for h in (high, high + 1))
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) // 2
             less = self._low(mid) < low[open_]
@@ -121,12 +124,13 @@ class EliasFano:
             hi[open_[~less]] = mid[~less]
         return lo
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The index of each x, or -1."""
+    def find(self, x: np.ndarray, start: np.ndarray | int = 0, stop: np.ndarray | int | None = None) -> np.ndarray:
+        """The index of each x from ``start`` to ``stop``, or -1."""
         if not self.n:
             return np.full(len(x), -1)
-        at = np.minimum(self.successor(x), self.n - 1)
-        return np.where(self.at(at) == x, at, -1)
+        found = self.successor(x, start, stop)
+        at = np.minimum(found, self.n - 1)
+        return np.where((found < (self.n if stop is None else stop)) & (self.at(at) == x), at, -1)
 
     def dump(self) -> bytes:
         return np.array([self.n, self.low_bits, len(self.lows), len(self.highs)], np.int64).tobytes() + self.lows.tobytes() + self.highs.tobytes() + self.before.tobytes()
@@ -223,10 +227,17 @@ class Trie:
         return out
 
     @staticmethod
-    def under(level: EliasFano, parent: np.ndarray, context: np.ndarray, bits: int) -> np.ndarray:
-        """Index of each context within its parent by a search relative to it, or -1; a parent of -1 has none."""
-        out, some = np.full(len(parent), -1), np.flatnonzero(parent >= 0)
-        out[some] = level.find((parent[some].astype(np.uint64) << np.uint64(bits)) | context[some])
+    def under(level: EliasFano, pointers: EliasFano, parent: np.ndarray, of: np.ndarray, context: np.ndarray, bits: int) -> np.ndarray:
+        """Index of each context within its parent ``parent[of]`` by a search relative to it, between its pointer and the next, or -1; a parent of -1 has none."""
+        start, stop = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
+        some = np.flatnonzero(parent >= 0)
+        start[some] = pointers.at(parent[some]).astype(np.int64)
+        stop[some] = level.n
+        later = some[parent[some] + 1 < pointers.n]
+        stop[later] = pointers.at(parent[later] + 1).astype(np.int64)
+        out, rows = np.full(len(of), -1), np.flatnonzero(parent[of] >= 0)
+        above = of[rows]
+        out[rows] = level.find((parent[above].astype(np.uint64) << np.uint64(bits)) | context[rows], start[above], stop[above])
         return out
 
 
@@ -398,12 +409,12 @@ def _score_shard(table: pa.Table, base: Base, prior: float, back: float) -> list
         often = base.often_at(b.w)
         known = np.where(often >= 0, base.often_n[often], trie.counts(word))
         base_log, low = np.log10(base.p0(known)), prior * base.p0(known)
-        pair = Trie.under(trie.pairs, word[b.word_of], b.v, BITS)
+        pair = Trie.under(trie.pairs, trie.pointers, word, b.word_of, b.v, BITS)
         seen = pair >= 0
         over2 = np.where(seen, trie.over2.at(np.maximum(pair, 0)) if trie.pairs.n else 0.0, np.log10(low)[b.word_of])
         under = np.where(seen, trie.under2.at(np.maximum(pair, 0)) if trie.pairs.n else 0.0, np.log10(back * (known + prior))[b.word_of])
         under = np.where((b.w != END)[b.word_of], under, 0.0)  # each word but the end is a context once
-        triple = Trie.under(trie.triples, pair[b.pair_of], b.u, FAR_BITS)
+        triple = Trie.under(trie.triples, trie.far_pointers, pair, b.pair_of, b.u, FAR_BITS)
         over3 = np.where(triple >= 0, trie.over3.at(np.maximum(triple, 0)) if trie.triples.n else 0.0, np.log10(back) + over2[b.pair_of])
         event_word = b.word_of[b.pair_of][b.triple_of]
         there, at = np.unique(b.docs, return_inverse=True)
