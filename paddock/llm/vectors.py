@@ -1,9 +1,10 @@
 """Vectors in shards and queries in blocks: what operators 7 and 10 share.
 
 Shards are runs of rows as they are read, packed as matrices without a shuffle, so copies of a vector or an id spread as
-rows do. Each shard's tree is built once and stored with it. A stated query set is packed into blocks. Cells of a bounded
-number of shards meet cells of a bounded number of blocks; there each query keeps its best results from shard to shard,
-which bounds the search of the next. Only results are merged by query.
+rows do. Each shard's tree is built once and stored with it. A cell is some shards of a bounded number of bytes, and each shard goes to one cell
+once. A stated query set is packed into blocks, which travel to every cell: in its sorted stream, which Spark spills, the shards
+come first and are held, and the blocks pass one by one. Each query keeps its best results from shard to shard, which bounds
+the search of the next. Only results are merged by query.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql.window import Window
 from .common import staged, tasks
 
 SHARD_ROWS, BLOCK_ROWS, LEAF = 2048, 1024, 64
-#: Shards and blocks that meet in one task at most, about: some tens of MB of either.
-CELL_SHARDS, CELL_BLOCKS = 64, 16
+#: Bytes of the shards that a task holds at once, about, and of a shard and a block at most.
+CELL_BYTES, PACK_BYTES = 128 << 20, 4 << 20
 PACKED = "dim int, ids binary, data binary"
 TREED = PACKED + ", points binary, span binary, kids binary, lo binary, hi binary"
 
@@ -168,34 +169,42 @@ def search(rows: DataFrame, is_query, k: int, points_of: Callable[[np.ndarray],
     """
     spark = rows.sparkSession
     fine = usable(rows, id_col, vec_col)
-    asked = fine.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec"))
-    asked = staged(asked)
-    blocks = staged(packed(asked.repartition(max(1, -(-asked.count() // BLOCK_ROWS)), "id"), BLOCK_ROWS))
-    shards = staged(_treed(packed(fine, SHARD_ROWS), points_of))
-    n = shards.count()
-    salts = max(-(-n // CELL_SHARDS), min(n, 2 * tasks(spark)), 1)
-    groups = max(-(-blocks.count() // CELL_BLOCKS), 1)
-    dealt = lambda cells: F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")
-    every = lambda cells: F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    left = shards.withColumn("salt", dealt(salts)).withColumn("block", every(groups))
-    right = blocks.withColumn("block", dealt(groups)).withColumn("salt", every(salts))
-
-    def run(some: pa.Table, asking: pa.Table) -> pa.Table:
-        trees = [_read(r) for r in some.to_pylist()]
-        out: list[list] = [[], [], []]
-        for block in asking.to_pylist() if trees else ():
-            ids = np.frombuffer(block["ids"], np.int64)
-            queries, bests = np.frombuffer(block["data"]).reshape(-1, block["dim"]), [Best(k) for _ in ids]
-            for tree in trees:
-                probe(tree, ids, queries, bests)
-            for q, best in zip(ids.tolist(), bests, strict=True):
-                out[0] += [q] * len(best.ids)
-                out[1] += best.ids.tolist()
-                out[2] += [] if best.scores is None else best.scores.tolist()
+    asked = staged(fine.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("vec").alias("vec")))
+    widest = max(1, fine.agg(F.max(F.size("vec"))).first()[0] or 1)
+    fits = max(1, PACK_BYTES // (8 * widest))
+    blocks = staged(packed(asked.repartition(max(1, -(-asked.count() // BLOCK_ROWS)), "id"), min(BLOCK_ROWS, fits)))
+    shards = staged(_treed(packed(fine, min(SHARD_ROWS, fits)), points_of))
+    held = shards.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("data") + F.length("points") + F.length("lo") + F.length("hi")), F.lit(0))).first()
+    cells = max(-(-held[1] // CELL_BYTES), min(held[0], 2 * tasks(spark)), 1)
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("points", "span", "kids", "lo", "hi")]
+    stay = shards.select(F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int").alias("cell"), F.lit(0).alias("kind"), *(c.split()[0] for c in TREED.split(", ")))
+    travel = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), "dim", "ids", "data", *nothing)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, trees = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if now != (row["dim"], row["cell"]):
+                    now, trees = (row["dim"], row["cell"]), []
+                if row["kind"] == 0:
+                    trees.append(_read(row))
+                elif trees:
+                    yield _answered(row, trees)
+
+    def _answered(block: dict, trees: list[Shard]) -> pa.RecordBatch:
+        ids, out = np.frombuffer(block["ids"], np.int64), ([], [], [])
+        queries, bests = np.frombuffer(block["data"]).reshape(-1, block["dim"]), [Best(k) for _ in ids]
+        for tree in trees:
+            probe(tree, ids, queries, bests)
+        for q, best in zip(ids.tolist(), bests, strict=True):
+            out[0].extend([q] * len(best.ids))
+            out[1].extend(best.ids.tolist())
+            out[2].extend([] if best.scores is None else best.scores.tolist())
         scores = pa.array([max(-(2**63), min(2**63 - 1, int(s))) for s in out[2]], pa.int64()) if score_type == "long" else pa.array(out[2], pa.float64())
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), scores], ["query_id", "cand_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), scores], ["query_id", "cand_id", "score"])
 
-    cell = ["dim", "salt", "block"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, f"query_id long, cand_id long, score {score_type}")
+    streams = stay.unionByName(travel).repartition(max(tasks(spark), cells), "dim", "cell").sortWithinPartitions("dim", "cell", "kind")
+    found = streams.mapInArrow(run, f"query_id long, cand_id long, score {score_type}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id")))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("cand_id").alias(id_col), "score")
