@@ -155,10 +155,13 @@ def count_at(deltas: bytes, n_bytes: int | None = None) -> int:
     return int(np.frombuffer(deltas, np.int8)[:n_bytes].sum(dtype=np.int64))
 
 
-def longest_within(deltas: bytes, budget: int) -> int:
-    """Bytes of the longest prefix of at most ``budget`` tokens."""
+def longest_within(deltas: bytes, budget: int, text: str | None = None) -> int:
+    """Bytes of the longest prefix of at most ``budget`` tokens; with the ``text``, of those that end with a whole character."""
     counts = np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64)
-    fits = np.flatnonzero(counts <= budget)
+    fits = counts <= budget
+    if text is not None and len(text) < len(counts):
+        fits[:-1] &= np.frombuffer(text.encode(), np.uint8)[1:] & 0xC0 != 0x80
+    fits = np.flatnonzero(fits)
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
@@ -176,7 +179,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: st
     """``doc_id, n_bytes, n_tokens, cut_bytes, prefix_deltas`` for every row of ``docs``.
 
     ``prefix_deltas`` holds the count of every prefix (see ``count_at``, ``longest_within``); ``cut_bytes`` is the longest
-    prefix, in bytes, of at most ``limit`` tokens. No shuffle: each task streams its own rows.
+    prefix, in bytes, of whole characters and at most ``limit`` tokens. No shuffle: each task streams its own rows.
 
     Null and empty texts count 0 bytes and 0 tokens with empty deltas; repeated rows and ids give a row each; very long
     texts are counted whole; an empty table gives an empty result; other columns are ignored.
@@ -185,13 +188,14 @@ def prefix_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
         for batch in batches:
-            out = [c.deltas(t or "") for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            out = [c.deltas(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(d) for d in out], pa.int64()),
                     pa.array([count_at(d) for d in out], pa.int64()),
-                    pa.array([longest_within(d, limit) for d in out], pa.int64()),
+                    pa.array([longest_within(d, limit, t) for d, t in zip(out, texts, strict=True)], pa.int64()),
                     pa.array(out, pa.binary()),
                 ],
                 ["id", "n_bytes", "n_tokens", "cut_bytes", "prefix_deltas"],
