@@ -2,47 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from ..session import dropped, shared_dir, shared_path  # noqa: F401  shared_dir is part of what operators share
 
 #: Folders staged so far and not deleted yet.
 _FOLDERS: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. A local session may go without; a cluster may not."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="paddock-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a folder."""
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may have ended already, and the folder with it
-        pass
-
-
 def written(df: DataFrame, kind: str = "stage") -> tuple[DataFrame, str]:
     """``df`` written as Parquet into the shared folder and read again, and its folder, which goes when the process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = shared_path(spark, kind)
     df.write.parquet(path)
-    atexit.register(dropped, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

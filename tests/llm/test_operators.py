@@ -182,6 +182,32 @@ def test_token_counts_of_many_special_strings():
     assert tokens.count_at(deltas) == len(Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids)
 
 
+def test_cuts_end_with_a_character(spark):
+    """Whatever the budget, a cut text is text."""
+    text = "\U0001f600é" * 25 + " ab"
+    deltas = tokens.counter(BYTE).deltas(text)
+    for budget in range(0, 120):
+        cut = tokens.longest_within(deltas, budget, text)
+        data = text.encode()[:cut]
+        assert data.decode() == text[: len(data.decode())] and tokens.count_at(deltas, cut) <= budget
+        assert cut <= tokens.longest_within(deltas, budget) < cut + 4
+    got = tokens.prefix_counts(docs_of(spark, [(1, text, "en", "a"), (2, "é", "en", "a")]), BYTE, limit=20).collect()
+    assert {r.doc_id: r.cut_bytes for r in got} == {1: tokens.longest_within(deltas, 20, text), 2: 2}
+
+
+@pytest.mark.parametrize("make", [lambda d: tokens.prefix_counts(d, BYTE), lambda d: packing.pack(d, LOWER), jaccard.jaccard_components, lambda d: lm.score(d, lambda i: i == 1), mixing.mix])
+def test_empty_tables(spark, make):
+    """No rows, of the same columns."""
+    docs = docs_of(spark, awkward())
+    found = make(docs.limit(0))
+    assert found.count() == 0 and found.columns == make(docs.limit(3)).columns
+
+
+def test_chat_of_an_empty_table(spark):
+    talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digest(chat.expand(talks)).count() == 0
+
+
 def test_packing(spark):
     rows = awkward()
     library = Tokenizer.from_file(LOWER)
@@ -403,6 +429,21 @@ def test_nearest(spark):
     assert ann.nearest(frame.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_top_k_of_wide_vectors(spark, monkeypatch):
+    """2000 dimensions beside a few, in cells of few bytes: all pairs."""
+    monkeypatch.setattr(vectors_module, "CELL_BYTES", 1 << 20)
+    monkeypatch.setattr(vectors_module, "PACK_BYTES", 200_000)
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=2000 if i % 3 else 4).tolist()) for i in range(120)]
+    got = defaultdict(list)
+    for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), lambda i: i % 10 == 0, 5).collect():
+        got[x.query_id].append((x["rank"], x.vec_id, x.score))
+    for i, v in rows[::10]:
+        whole = lambda u: np.floor(np.array(u) * 1024).astype(int)
+        scored = sorted((-int(whole(v) @ whole(u)), j) for j, u in rows if j != i and len(u) == len(v))[:5]
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+
+
 def test_nearest_on_embeddings_over_many_shards(spark, monkeypatch):
     """Recall on the table itself, against brute force, over some ten shards of several leaves."""
     monkeypatch.setattr(vectors_module, "SHARD_ROWS", 200)
