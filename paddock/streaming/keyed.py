@@ -2,6 +2,7 @@
 
 State is partitioned by key, kept in RocksDB and checkpointed with the stream: a lost executor's share is loaded elsewhere. Before the
 shuffle each Arrow batch keeps one row a key (``inserted``) or one sum (``totalled``), so a key with a third of all rows is a row a batch.
+A call to the state costs a round trip, so ``inserted`` keeps keys by buckets, as digests of 16 bytes, and asks once a bucket.
 With ``expire`` a key is forgotten once the watermark is so far beyond its last row's time: its next row counts as new. Without it nothing is forgotten.
 """
 
@@ -10,11 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Bytes of a key's digest.
+DIGEST = 16
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,37 +26,44 @@ def _first(rows: pd.DataFrame, keys: list[str], order: list[str]) -> pd.DataFram
     return rows.sort_values(order, kind="stable", na_position="last").drop_duplicates(keys)
 
 
-class FirstRows(StatefulProcessor):
-    """Gives out the first row of a key that has not been seen, or not for ``expire_ms`` by the column ``time``."""
+class SeenKeys(StatefulProcessor):
+    """Gives out the first row of each key of a bucket that has not been seen, or not for ``expire_ms`` by the column ``time``."""
 
-    def __init__(self, keys: list[str], order: list[str], time: str | None, expire_ms: int):
-        self.keys, self.order, self.time, self.expire_ms = keys, order, time, expire_ms
+    def __init__(self, columns: list[str], order: list[str], time: str | None, expire_ms: int):
+        self.columns, self.order, self.time, self.expire_ms = columns, order, time, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at long")
+        self.seen = handle.getValueState("seen", "keys binary, times binary")
+
+    def _known(self) -> dict[bytes, int]:
+        found = self.seen.get()
+        if found is None or found[0] is None:
+            return {}
+        keys = bytes(found[0])
+        return dict(zip((keys[i : i + DIGEST] for i in range(0, len(keys), DIGEST)), np.frombuffer(bytes(found[1]), np.int64).tolist(), strict=True))
+
+    def _keep(self, known: dict[bytes, int]) -> None:
+        self.seen.update((b"".join(known), np.fromiter(known.values(), np.int64, len(known)).tobytes()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known, first, last = self.last.exists(), None, self.last.get()[0] if self.last.exists() else 0
-        for some in rows:
-            if self.time and some[self.time].notna().any():
-                last = max(last, int(some[self.time].max().timestamp() * 1000))
-            if not known:
-                first = _first(some if first is None else pd.concat([first, some]), self.keys, self.order)
-        self.last.update((last,))
-        if self.time:  # a visit puts off the end
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(last + self.expire_ms)
-        if first is not None:
-            yield first
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter([])
+        known, arrived = self._known(), pd.concat(list(rows)).set_axis(self.columns, axis=1)  # Spark renames columns that begin with an underscore
+        if self.time:
+            over = timerValues.getCurrentWatermarkInMs() - self.expire_ms
+            known = {k: t for k, t in known.items() if t >= over}
+        keys = arrived["__key"].map(bytes)
+        new = np.array([k not in known for k in keys], bool)
+        fresh = _first(arrived.assign(**{"__key": keys})[new], ["__key"], self.order)
+        at = arrived[self.time].map(lambda t: 0 if pd.isna(t) else int(t.timestamp() * 1000)) if self.time else [0] * len(keys)
+        for k, t in zip(keys, at, strict=True):
+            known[k] = max(t, known.get(k, 0))
+        self._keep(known)
+        yield fresh.drop(columns=["__key", "__bucket"])
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.last.update((0,))
+        known = self._known()
+        for keys in initialState["keys"]:
+            known.update(dict.fromkeys(map(bytes, keys), 0))
+        self._keep(known)
 
     def close(self) -> None:
         pass
@@ -78,31 +89,41 @@ class Totals(StatefulProcessor):
         pass
 
 
-def inserted(stream: DataFrame, keys: list[str], order: list[str], known: DataFrame | None = None, time: str | None = None, expire: timedelta | None = None) -> DataFrame:
+def _digested(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Adds ``__key``, a digest of the keys as text, and its bucket."""
+    digest = F.unhex(F.md5(F.to_json(F.array(*(F.col(k).cast("string") for k in keys))).cast("binary")))
+    return rows.withColumn("__key", digest).withColumn("__bucket", F.pmod(F.crc32("__key"), F.lit(buckets)).cast("int"))
+
+
+def inserted(stream: DataFrame, keys: list[str], order: list[str], known: DataFrame | None = None, time: str | None = None, expire: timedelta | None = None, buckets: int = 1024) -> DataFrame:
     """Of a stream's rows the first of each key, whatever batch they come in: insert-if-absent.
 
     Of rows of one batch the first in ``order`` counts, nulls last. ``known`` has keys that are there before the stream starts; it is read once,
     when there is no checkpoint. Null keys are keys; repeats, late ones too, give nothing; an empty batch gives nothing. ``expire`` goes by the
-    timestamps in ``time``; as Spark has it, rows that are later than the watermark, by ``expire``, are not taken then.
+    timestamps in ``time``; as Spark has it, rows that are later than the watermark, by ``expire``, are not taken then. A bucket's keys are
+    held at once, 24 bytes each, and written anew when some arrive: ``buckets`` should grow with the number of keys, and stays as it is for a checkpoint.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     if (time is None) != (expire is None):
         raise ValueError("what expires needs a time")
+    digested = _digested(stream, keys, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.select([*dict.fromkeys([*keys, *order])]).to_pandas()
-            firsts = set(_first(rows.reset_index(drop=True), keys, order).index.tolist())
+            rows = batch.select([*dict.fromkeys(["__key", *order])]).to_pandas()
+            firsts = set(_first(rows, ["__key"], order).index.tolist())
             if time:  # the last time of a key counts too
-                firsts |= set(batch.select([*keys, time]).to_pandas().sort_values(time).drop_duplicates(keys, keep="last").index.tolist())
+                firsts |= set(batch.select(["__key", time]).to_pandas().sort_values(time).drop_duplicates("__key", keep="last").index.tolist())
             yield batch.take(pa.array(sorted(firsts), pa.int64()))
 
-    rows = stream.mapInArrow(run, stream.schema)
+    rows = digested.mapInArrow(run, digested.schema)
     if expire:
         rows = rows.withWatermark(time, f"{int(expire.total_seconds() * 1000)} milliseconds")
-    start = None if known is None else known.select(*keys).distinct().groupBy(*keys)
-    processor = FirstRows(keys, order, time, int(expire.total_seconds() * 1000) if expire else 0)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, stream.schema, "Append", "EventTime" if expire else "None", initialState=start)
+    start = None
+    if known is not None:
+        start = _digested(known.select(*keys).distinct(), keys, buckets).groupBy("__bucket").agg(F.collect_list("__key").alias("keys")).groupBy("__bucket")
+    processor = SeenKeys(digested.columns, order, time, int(expire.total_seconds() * 1000) if expire else 0)
+    return rows.groupBy("__bucket").transformWithStateInPandas(processor, stream.schema, "Append", "EventTime" if expire else "None", initialState=start)
 
 
 def totalled(stream: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
