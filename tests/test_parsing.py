@@ -1,5 +1,6 @@
 """Parsers, chains, model documents, streaming and sinks on small fixtures."""
 
+import base64
 import datetime
 import json
 import time
