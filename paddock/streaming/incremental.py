@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.merge import new_rows
 from ..session import exists
@@ -21,7 +21,7 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, watermark: str = "7 d
         path = f"{table}/batch={number}"
         known = batch.limit(0)
         if exists(spark, table):
-            known = spark.read.schema(batch.schema.add("batch", "long")).parquet(table).filter(F.col("batch") != number)
+            known = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(table).filter(F.col("batch") != number)
         rows = new_rows(known, batch, ["horse_name", "race_date"], [F.col("race_code").asc_nulls_last(), F.col("id").asc_nulls_last()])
         rows.select(*batch.columns).write.mode("overwrite").parquet(path)
 
