@@ -131,11 +131,18 @@ def _fewest(n: int, percent: int) -> int:
     return min(n - _least(n, percent) + 2, _least(n, percent))
 
 
+def _some(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches, so many rows at a time: only their texts and sets are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _first_tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``token``: the first tokens of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             out = [_first(_WORDS.shingles(text or "", width), percent) for text in batch.column(0).to_pylist()]
             tokens = np.concatenate(out) if out else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], ["token"])
@@ -169,7 +176,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_filter(counted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             sizes, k1, k2, firsts, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = _WORDS.shingles(text or "", width)
@@ -189,7 +196,7 @@ def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``id, members``: the whole sets of the documents named, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), _listed([_WORDS.shingles(t or "", width) for t in batch.column(1).to_pylist()])], ["id", "members"])
 
     return docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, members array<long>")
