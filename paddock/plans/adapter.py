@@ -111,8 +111,8 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breeding.training_rows(ratings(spark, sf_dir), family(spark, sf_dir))
 
 
-def model(spark: SparkSession, sf_dir: str) -> DataFrame | None:
-    """The model document trained on the given tables, with the operator's defaults, by the first who asks; None with too few rows."""
+def model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model document trained on the given tables, with the operator's defaults, by the first who asks; no row if there were too few to train on."""
 
     def build(path: str) -> bool:
         rows = training_rows(spark, sf_dir)
@@ -124,7 +124,7 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame | None:
         return bool(made)
 
     path, there = stored_folder(spark, sf_dir, "model", build)
-    return models.read_model(spark, path) if there else None
+    return models.read_model(spark, path) if there else models.parse_model(spark.createDataFrame([], "value string"))
 
 
 def sire_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

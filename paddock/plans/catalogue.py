@@ -640,10 +640,8 @@ def score_figures(spark, sf):
 @query()
 def train_models(spark, sf):
     """Regression and classification, with the operator's defaults: the figures of cross-validation, from the document that was trained."""
-    made = a.model(spark, sf)
-    if made is None:
-        return spark.createDataFrame([(None, None, 0)], "cv_r2_score double, cv_auc_poor double, n_samples long")
-    return made.select("cv_r2_score", "cv_auc_poor", "n_samples")
+    made = a.model(spark, sf)  # one row or none
+    return made.agg(F.max("cv_r2_score").alias("cv_r2_score"), F.max("cv_auc_poor").alias("cv_auc_poor"), F.coalesce(F.max("n_samples"), F.lit(0)).cast("long").alias("n_samples"))
 
 
 @query(sql("SELECT name, birth_year, 2::BIGINT AS n FROM ratings WHERE score >= 50"))

@@ -67,9 +67,10 @@ TRAINING = f"(SELECT f.* FROM ratings f JOIN family h ON h.name = f.name JOIN ra
 
 @query(sql(f"SELECT true AS available, '{a.AS_OF}T00:00:00Z' AS trained_at, (SELECT count(*) FROM {TRAINING}) AS n_samples, true AS has_r2, true AS has_auc, {len(breeding.FEATURES)} AS n_features"))
 def model_info(spark, sf):
-    """What is told of the model trained on the given tables."""
+    """What is told of the model trained on the given tables; that there is none, if they have too few rows."""
     info = models.model_info(a.model(spark, sf))
-    return info.select("available", "trained_at", "n_samples", F.col("cv_r2_score").isNotNull().alias("has_r2"), F.col("cv_auc_poor").between(0, 1).alias("has_auc"), F.size("feature_importances").alias("n_features"))
+    told = info.select("available", "trained_at", "n_samples", F.col("cv_r2_score").isNotNull().alias("has_r2"), F.col("cv_auc_poor").between(0, 1).alias("has_auc"), F.size("feature_importances").alias("n_features"))
+    return told.agg(F.coalesce(F.max("available"), F.lit(False)).alias("available"), *(F.max(c).alias(c) for c in told.columns[1:]))
 
 
 @query()

@@ -46,6 +46,8 @@ def test_models_are_trained_whole(spark, monkeypatch):
     for _ in range(2):
         assert catalogue.QUERIES["train_models"](spark, SF).first().n_samples == 0
     assert [(a["rounds"], a["folds"], a["depth"], a["rate"]) for a in asked] == [(150, 5, 3, 0.08)]
+    assert tuple(catalogue.QUERIES["model_info"](spark, SF).first()) == (False, None, None, None, None, None)
+    assert catalogue.QUERIES["predict_trained"](spark, SF).count() == catalogue.QUERIES["model_earnings"](spark, SF).count() == 0
     store.refresh(spark, SF)
 
 
