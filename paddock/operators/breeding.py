@@ -76,40 +76,23 @@ def train(rows: DataFrame, features=FEATURES, rounds: int = 150, depth: int = 3,
     """Boosted regression of the score and classification of poor grades, with cross-validated R2 and area under the curve.
 
     Returns (regressor, classifier, {"cv_r2_score", "cv_auc_poor", "n_samples"}), or None with fewer than ``least`` rows.
-    Boosting is a chain of small jobs, so both models and their folds are fitted side by side. A row's fold goes by its hash:
-    equal rows are never on both sides, and a lost executor changes no fold.
+    Both models and their folds grow side by side, a job a level. A row's fold goes by its hash: equal rows are never on both
+    sides, and a lost executor changes no fold. Figures are means over the folds that have one.
     """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
     from ..functions.scoring import is_poor
+    from .boosting import boost
+    from .figures import area_under_curve, r2
 
     filled = imputed(rows, medians(rows, features), features).withColumn("poor", is_poor(F.col("grade")).cast("double"))
-    fold = F.pmod(F.xxhash64(F.lit(seed), *features, "score"), F.lit(folds)).alias("fold")
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(filled).select("x", "score", "poor", fold).persist()
-    models = (
-        (GBTRegressor(featuresCol="x", labelCol="score", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed), RegressionEvaluator(labelCol="score", metricName="r2")),
-        (GBTClassifier(featuresCol="x", labelCol="poor", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed), BinaryClassificationEvaluator(labelCol="poor")),
-    )
-
-    def fit(job: tuple[int, int]):
-        (model, measure), held = models[job[0]], job[1]
-        fitted = model.fit(data.filter(F.col("fold") != held))  # the last one holds no fold out
-        return fitted if held == folds else measure.evaluate(fitted.transform(data.filter(F.col("fold") == held)))
-
+    fold = F.pmod(F.xxhash64(F.lit(seed), *features, "score"), F.lit(folds)).cast("int").alias("fold")
+    data = filled.select(*features, "score", "poor", fold).persist()
     try:
         n = data.count()
         if n < least:
             return None
-        jobs = [(m, held) for m in range(len(models)) for held in range(folds + 1)]
-        with ThreadPool(len(jobs)) as pool:
-            made = dict(zip(jobs, pool.map(inheritable_thread_target(rows.sparkSession)(fit), jobs)))
+        made, told = boost(data, features, n, rounds, depth, rate, folds)
+        mean = lambda df, c: df.agg(F.avg(c)).first()[0]
+        figures = {"cv_r2_score": mean(r2(told, "score", "regressor", ["fold"]), "r2"), "cv_auc_poor": mean(area_under_curve(told, "poor", "classifier", ["fold"]), "auc"), "n_samples": n}
     finally:
         data.unpersist()
-    r2, auc = (sum(made[m, held] for held in range(folds)) / folds for m in range(len(models)))
-    return made[0, folds], made[1, folds], {"cv_r2_score": r2, "cv_auc_poor": auc, "n_samples": n}
+    return made["regressor"], made["classifier"], figures

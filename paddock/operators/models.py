@@ -94,28 +94,28 @@ def importance_sides(model: DataFrame) -> DataFrame:
     return each.agg(F.round(F.sum(F.when(sire, F.col("importance")).otherwise(0.0)) / total * 100, 2).alias("sire_share"), F.round(F.sum(F.when(sire, 0.0).otherwise(F.col("importance"))) / total * 100, 2).alias("dam_share"))
 
 
-def _tree(node, scale: float) -> dict:
-    """A trained tree's node as nested plain values."""
-    if node.subtreeDepth() == 0:
-        return {"leaf": node.prediction() * scale}
-    split = node.split()
-    return {"f": split.featureIndex(), "th": split.threshold(), "l": _tree(node.leftChild(), scale), "r": _tree(node.rightChild(), scale)}
+def _tree(tree, node: int = 1) -> dict:
+    """A trained tree as nested plain values; a node that is not split is a leaf."""
+    inner = len(tree.f)
+    if node > inner:
+        return {"leaf": tree.lf[node - inner - 1]}
+    if tree.th[node - 1] == float("inf"):
+        return _tree(tree, 2 * node)
+    return {"f": tree.f[node - 1], "th": tree.th[node - 1], "l": _tree(tree, 2 * node), "r": _tree(tree, 2 * node + 1)}
 
 
-def _exported(model, kind: str, rate: float) -> dict:
-    """An ensemble as ``init + rate * sum of leaves``; the classifier's sum is in log-odds, twice its margin."""
-    double = 2.0 if kind == "classifier" else 1.0
-    trees = [_tree(tree._call_java("rootNode"), double * weight / rate) for tree, weight in zip(model.trees, model.treeWeights, strict=True)]
-    return {"kind": kind, "init": 0.0, "learning_rate": rate, "trees": trees}
+def _exported(model) -> dict:
+    """An ensemble as ``init + rate * sum of leaves``; the classifier's sum is in log-odds."""
+    return {"kind": model.kind, "init": model.init, "learning_rate": model.rate, "trees": [_tree(tree) for tree in model.trees]}
 
 
-def document(regressor, classifier, figures: dict, medians: dict, earnings: DataFrame, trained_at: str, rate: float = 0.08) -> str:
+def document(regressor, classifier, figures: dict, medians: dict, earnings: DataFrame, trained_at: str) -> str:
     """The JSON document of trained models: what ``breeding.train`` gives, the medians, and the nine grades' earnings."""
     by_grade = {r["grade"]: {"avg_earnings": round(r["avg_earnings"] or 0.0, 2), "n": r["n"]} for r in earnings.collect()}  # a row a grade
     importances = dict(zip(FEATURES, (round(float(v), 4) for v in regressor.featureImportances.toArray()), strict=True))
     body = {
         "trained_at": trained_at, "n_samples": figures["n_samples"], "features": list(FEATURES), "medians": medians, "cv_r2_score": figures["cv_r2_score"], "cv_auc_poor": figures["cv_auc_poor"],
-        "feature_importances": importances, "score_model": _exported(regressor, "regressor", rate), "poor_model": _exported(classifier, "classifier", rate), "grade_earnings": by_grade,
+        "feature_importances": importances, "score_model": _exported(regressor), "poor_model": _exported(classifier), "grade_earnings": by_grade,
         "grade_thresholds": [*map(list, RUNNER_GRADES), [0, "F"]],
     }
     return json.dumps(body)
