@@ -2,7 +2,8 @@
 
 A gram is a run of two or three characters of a name in lower case. ``<path>/grams`` has (gram, row) in folders by the gram's hash, and
 ``<path>/rows`` the rows in folders by their number. A term's grams name the folders to read; the rows that have all of them
-are the candidates, which alone are read and compared with the term.
+are the candidates, which alone are read and compared with the term. The table of grams is many times as long as that of rows; it is
+written by the first search that has a gram to look up.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Folders of either table.
-FOLDERS = 64
+from ..session import exists
+
+#: Folders of either table, and the parts that the rows of a gram are cut into while they are written: a frequent one is no task of its own.
+FOLDERS, PARTS = 64, 16
 
 
 @dataclass
@@ -34,16 +37,23 @@ def build(rows: DataFrame, column: str, path: str) -> Index:
     numbered.write.parquet(f"{path}/numbered")  # the numbers must not change between the two tables
     numbered = spark.read.parquet(f"{path}/numbered")
     numbered.withColumn("__folder", _folder(F.col("__row"))).repartition(FOLDERS, "__folder").write.partitionBy("__folder").parquet(f"{path}/rows")
-    low = F.lower(column)
+    return Index(path, column)
 
-    def runs(k: int) -> Column:
-        starts = F.when(F.length(low) >= k, F.sequence(F.lit(1), F.length(low) - (k - 1)))
-        return F.coalesce(F.transform(starts, lambda i: F.substring(low, i, F.lit(k))), F.array().cast("array<string>"))
 
-    grams = F.array_distinct(F.concat(runs(2), runs(3)))
-    posted = numbered.select(F.explode(grams).alias("gram"), "__row").withColumn("__folder", _folder(F.col("gram")))
-    posted.repartitionByRange("__folder", "gram", "__row").sortWithinPartitions("__folder", "gram", "__row").write.partitionBy("__folder").parquet(f"{path}/grams")
-    return Index(path, column)
+def _grams(spark: SparkSession, index: Index) -> DataFrame:
+    """The table of grams, written if it is not there yet. Rows go by hash: ranges would need all grams made twice, to find their bounds."""
+    path = f"{index.path}/grams"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        low = F.lower(index.column)
+
+        def runs(k: int) -> Column:
+            starts = F.when(F.length(low) >= k, F.sequence(F.lit(1), F.length(low) - (k - 1)))
+            return F.coalesce(F.transform(starts, lambda i: F.substring(low, i, F.lit(k))), F.array().cast("array<string>"))
+
+        grams = F.array_distinct(F.concat(runs(2), runs(3)))
+        posted = spark.read.parquet(f"{index.path}/numbered").select(F.explode(grams).alias("gram"), "__row").withColumn("__folder", _folder(F.col("gram")))
+        posted.repartition("__folder", F.pmod("__row", F.lit(PARTS))).sortWithinPartitions("__folder", "gram").write.mode("overwrite").partitionBy("__folder").parquet(path)
+    return spark.read.parquet(path)
 
 
 def grams_of(term: str) -> list[str] | None:
@@ -74,7 +84,7 @@ def search(spark: SparkSession, index: Index, term: str) -> DataFrame:
     if grams is None:
         return rows.filter(hit).drop("__row", "__folder")
     folders = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(_folder(F.col("gram"))).distinct().collect()]
-    posted = spark.read.parquet(f"{index.path}/grams").filter(F.col("__folder").isin(folders) & F.col("gram").isin(grams))
+    posted = _grams(spark, index).filter(F.col("__folder").isin(folders) & F.col("gram").isin(grams))
     candidates = posted.groupBy("__row").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == len(grams)).select("__row")
     some = sorted(r[0] for r in candidates.select(_folder(F.col("__row"))).distinct().collect())  # at most FOLDERS
     read = rows.filter(reduce(lambda a, b: a | b, (F.col("__folder") == f for f in some), F.lit(False)))

@@ -42,6 +42,17 @@ def test_search_reads_few_folders(spark, index):
     assert none.count() == 0
 
 
+def test_grams_are_written_when_looked_up(spark, tmp_path):
+    """A search without a gram needs the rows alone; the first with one writes the grams, and a second finds them."""
+    from pathlib import Path
+
+    made = search.build(spark.createDataFrame([(i, f"horse {i:04d}") for i in range(50)], "id int, name string"), "name", f"file://{tmp_path}/index")
+    assert search.search(spark, made, "0%4").count() == sum("4" in f"{i:04d}"[1:] for i in range(50)) and not Path(tmp_path, "index/grams").exists()
+    for _ in range(2):
+        assert [r.id for r in search.search(spark, made, "e 0017").collect()] == [17]
+    assert spark.read.parquet(f"file://{tmp_path}/index/grams").filter("gram = 'hor'").count() == 50
+
+
 @pytest.mark.parametrize(("page", "limit"), [(1, 7), (3, 7), (40, 25), (1000, 1), (0, 5), (41, 25), (10_000, 3)])
 def test_pages(spark, tmp_path, page, limit):
     r = random.Random(9)
