@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: The finish markers of the career pages (degree sign) and of the result pages (ordinal indicator).
@@ -77,6 +79,11 @@ def placed_time(c: Column) -> Column:
 SEXES, ORIGINS = {"m": "M", "f": "F"}, {"i": "ITA", "e": "EST"}
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it: in functions over arrays it would be anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _words(text: Column) -> Column:
     return F.split(F.trim(text), r"\s+")
 
@@ -87,9 +94,8 @@ def _letters(table: dict[str, str], c: Column) -> Column:
 
 def _marker(word: Column) -> Column:
     """The three parts of a word that is a marker, whatever signs are around it; null for any other."""
-    parts = F.split(F.regexp_replace(word, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""), r"\.")
-    sound = (F.size(parts) == 3) & F.get(parts, F.lit(0)).isin(*SEXES) & F.get(parts, F.lit(1)).isin(*ORIGINS) & F.get(parts, F.lit(2)).rlike("^[0-9]{1,2}$")
-    return F.when(sound, parts)
+    sound = lambda p: (F.size(p) == 3) & F.get(p, F.lit(0)).isin(*SEXES) & F.get(p, F.lit(1)).isin(*ORIGINS) & F.get(p, F.lit(2)).rlike("^[0-9]{1,2}$")
+    return once(F.split(F.regexp_replace(word, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""), r"\."), lambda p: F.when(sound(p), p))
 
 
 def _first(items: Column) -> Column:
@@ -98,8 +104,11 @@ def _first(items: Column) -> Column:
 
 def sex_country_age(text: Column) -> Column:
     """struct(sex, country, age) from the first marker such as ``m.i.5``."""
-    found = _first(F.transform(_words(text), _marker))
-    return F.struct(_letters(SEXES, F.get(found, F.lit(0))).alias("sex"), _letters(ORIGINS, F.get(found, F.lit(1))).alias("country"), _int(F.get(found, F.lit(2))).alias("age"))
+
+    def told(found: Column) -> Column:
+        return F.struct(_letters(SEXES, F.get(found, F.lit(0))).alias("sex"), _letters(ORIGINS, F.get(found, F.lit(1))).alias("country"), _int(F.get(found, F.lit(2))).alias("age"))
+
+    return once(_first(F.transform(_words(text), _marker)), told)
 
 
 def birth_year(as_of: Column, age: Column) -> Column:
@@ -112,15 +121,17 @@ NEAR = 200
 
 def _name_before_prose(text: Column) -> Column:
     """The words before the first that begins in lower case, if there is one."""
-    words = _words(text)
-    prose = F.array_position(F.transform(words, lambda w: w.rlike(r"^\p{Ll}")), True)
-    return F.when(prose > 1, F.array_join(F.slice(words, F.lit(1), (prose - 1).cast("int")), " "))
+
+    def before(words: Column) -> Column:
+        prose = F.array_position(F.transform(words, lambda w: w.rlike(r"^\p{Ll}")), True)
+        return once(prose, lambda p: F.when(p > 1, F.array_join(F.slice(words, F.lit(1), (p - 1).cast("int")), " ")))
+
+    return once(_words(text), before)
 
 
 def _name(text: Column) -> Column:
     """Text that begins with a capital, without blanks at its ends; null otherwise."""
-    bare = F.trim(text)
-    return F.when(bare.rlike("^[A-Z]"), bare)
+    return once(F.trim(text), lambda bare: F.when(bare.rlike("^[A-Z]"), bare))
 
 
 def parents(text: Column) -> Column:
@@ -128,30 +139,34 @@ def parents(text: Column) -> Column:
 
     In the second form the sire is the words in capitals that end at the code, the dam those that follow it.
     """
-    words = _words(text)
-    at = F.array_position(F.transform(words, lambda w: _marker(w).isNotNull()), True).cast("int")
-    tail = F.substring(F.array_join(F.slice(words, at + 1, F.size(words)), " "), 1, NEAR)
-    halves = F.split(tail, "/", 2)
-    near = F.when((at > 0) & (F.size(halves) == 2), F.struct(_name(F.get(halves, F.lit(0))).alias("sire"), _name(_name_before_prose(F.get(halves, F.lit(1)))).alias("dam")))
-    parts = F.split(text, "/")
+
+    def near(words: Column, at: Column) -> Column:
+        tail = F.substring(F.array_join(F.slice(words, at + 1, F.size(words)), " "), 1, NEAR)
+        both = lambda halves: F.struct(_name(F.get(halves, F.lit(0))).alias("sire"), _name(_name_before_prose(F.get(halves, F.lit(1)))).alias("dam"))
+        return F.when(at > 0, once(F.split(tail, "/", 2), lambda halves: F.when(F.size(halves) == 2, both(halves))))
 
     def shouted(c: Column, last: bool) -> Column:
         """The run of words without small letters at the end, or at the beginning."""
+
+        def run(w: Column) -> Column:
+            small = F.array_position(F.transform(w, lambda x: x.rlike(r"\p{Ll}") | (x == "")), True)
+            kept = once(small, lambda n: F.when(n > 0, F.slice(w, F.lit(1), (n - 1).cast("int"))).otherwise(w))
+            return F.nullif(F.array_join(F.reverse(kept) if last else kept, " "), F.lit(""))
+
         w = F.split(F.trim(c), r"\s+")
-        w = F.reverse(w) if last else w
-        small = F.array_position(F.transform(w, lambda x: x.rlike(r"\p{Ll}") | (x == "")), True)
-        run = F.when(small > 0, F.slice(w, F.lit(1), (small - 1).cast("int"))).otherwise(w)
-        return F.nullif(F.array_join(F.reverse(run) if last else run, " "), F.lit(""))
-
-    code = F.trim
-    triple = _first(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))),
-            lambda k: F.when(code(F.get(parts, k)).rlike("^[A-Za-z][0-9]*$"), F.struct(shouted(F.get(parts, k - 1), True).alias("sire"), shouted(F.get(parts, k + 1), False).alias("dam"))),
-        )
-    )
-    sound = near["sire"].isNotNull() & near["dam"].isNotNull()
-    return F.struct(F.when(sound, near["sire"]).otherwise(triple["sire"]).alias("sire"), F.when(sound, near["dam"]).otherwise(triple["dam"]).alias("dam"))
+        return once(F.reverse(w) if last else w, run)
+
+    def triple(parts: Column) -> Column:
+        code = lambda k: F.trim(F.get(parts, k)).rlike("^[A-Za-z][0-9]*$")
+        each = F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)))
+        return _first(F.transform(each, lambda k: F.when(code(k), F.struct(shouted(F.get(parts, k - 1), True).alias("sire"), shouted(F.get(parts, k + 1), False).alias("dam")))))
+
+    def chosen(found: Column) -> Column:
+        other = once(once(F.split(text, "/"), triple), lambda t: F.struct(t["sire"].alias("sire"), t["dam"].alias("dam")))
+        return F.when(found["sire"].isNotNull() & found["dam"].isNotNull(), found).otherwise(other)
+
+    placed = lambda words: once(F.array_position(F.transform(words, lambda w: _marker(w).isNotNull()), True).cast("int"), lambda at: near(words, at))
+    return once(once(_words(text), placed), chosen)
 
 
 def url_value(url: Column, key: str) -> Column:

@@ -173,8 +173,8 @@ def _data_cell(k: int) -> Column:
 
 def career_profiles(pages: DataFrame, as_of: Column) -> DataFrame:
     """``name, sex, country, birth_year, sire, dam`` of career pages (name, html)."""
-    text = page_text(F.col("html"))
-    read = pages.select(canonical_name(F.col("name")).alias("name"), sex_country_age(text).alias("m"), parents(text).alias("p"))
+    texts = pages.select(canonical_name(F.col("name")).alias("name"), page_text(F.col("html")).alias("__text"))
+    read = texts.select("name", sex_country_age(F.col("__text")).alias("m"), parents(F.col("__text")).alias("p"))
     return read.select("name", "m.sex", "m.country", (F.year(as_of) - F.col("m.age")).alias("birth_year"), "p.sire", "p.dam")
 
 

@@ -59,6 +59,14 @@ def test_marker_and_parents(spark):
     assert [tuple(r) for r in values(spark, list(texts), parsing.parents)] == [w for _, w in texts.values()]
 
 
+def test_profiles_read_a_page_once(spark):
+    """The text of a page is made once, not anew for each field and element that looks at it."""
+    frame = spark.createDataFrame([("a", "<p>X m.i.3 SIRE A / DAM B</p> carriera")], "name string, html string")
+    read = pages.career_profiles(frame, F.lit("2024-06-01").cast("date"))
+    assert tuple(read.first()) == ("A", "M", "ITA", 2021, "SIRE A", "DAM B")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("(?s)<[^>]*>") == 1
+
+
 def test_header_races(spark):
     """The first table alone, each page by itself though names repeat."""
     html = "<table><tr><th>Data</th><th>Pista</th><th>Pos</th><th>Premio</th></tr><tr><td>5/3/2024</td><td>Roma</td><td>2</td><td>100,5</td></tr><tr><td>no</td><td>x</td><td>y</td></tr></table><table><tr><td>6/3/2024</td><td>a</td><td>b</td></tr></table>"
