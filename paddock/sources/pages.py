@@ -19,6 +19,16 @@ _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _RAW_END = {name: re.compile(f"</{name}\\b", re.IGNORECASE) for name in ("script", "style")}
 
 
+def _attributes(html: str, at: int, known: dict[str, str]) -> tuple[int, int, bool]:
+    """Adds the attributes from ``at`` on to ``known``; where they end, where the tag ends, and whether it is closed in itself."""
+    while (found := _ATTRIBUTE.match(html, at)) is not None:
+        value = found.group(2) or ""
+        known.setdefault(found.group(1).lower(), unescape(value[1:-1] if value[:1] in ("'", '"') and value[:1] == value[-1:] and len(value) > 1 else value))
+        at = found.end()
+    end = html.find(">", at)
+    return at, end, end >= 0 and html[end - 1] == "/"
+
+
 def _tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """Of markup, in one pass: ``("text", text, {})``, ``("start", name, attributes)`` and ``("end", name, {})``.
 
@@ -45,14 +55,13 @@ def _tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             at = begin + 1
             continue
         name, at, known = named.group().lower(), named.end(), {}
-        while (found := _ATTRIBUTE.match(html, at)) is not None:
-            value = found.group(2) or ""
-            known.setdefault(found.group(1).lower(), unescape(value[1:-1] if value[:1] in ("'", '"') and value[:1] == value[-1:] and len(value) > 1 else value))
-            at = found.end()
-        end = html.find(">", at)
+        if html.startswith(">", at):  # no attributes, as most tags
+            end, alone = at, False
+        else:
+            at, end, alone = _attributes(html, at, known)
         if end < 0:
             break
-        alone, at = html[end - 1] == "/", end + 1
+        at = end + 1
         if any(text):
             yield "text", unescape("".join(text)), {}
         text = []
@@ -79,8 +88,9 @@ class _Rows:
         self.data: list[bool] = []
         self.link = ""
         self.open = False
+        take = {"start": self._start, "end": self._end, "text": self._text}
         for kind, value, known in _tokens(html):
-            {"start": self._start, "end": self._end, "text": self._text}[kind](value, known)
+            take[kind](value, known)
         self._close()
 
     def _start(self, tag: str, known: dict[str, str]) -> None:

@@ -67,6 +67,14 @@ def test_profiles_read_a_page_once(spark):
     assert read._jdf.queryExecution().optimizedPlan().toString().count("(?s)<[^>]*>") == 1
 
 
+def test_bare_tags_are_not_searched(monkeypatch):
+    """Attributes are looked for only in tags that go on after their name."""
+    asked, look = [], pages._attributes
+    monkeypatch.setattr(pages, "_attributes", lambda html, at, known: asked.append(at) or look(html, at, known))
+    read = pages._Rows("<table><tr><td>1</td><td class='a'>2</td><td/></tr></table>")
+    assert read.found[0][4] == ["1", "2", ""] and read.found[0][5] == [[], ["a"], []] and len(asked) == 2
+
+
 def test_header_races(spark):
     """The first table alone, each page by itself though names repeat."""
     html = "<table><tr><th>Data</th><th>Pista</th><th>Pos</th><th>Premio</th></tr><tr><td>5/3/2024</td><td>Roma</td><td>2</td><td>100,5</td></tr><tr><td>no</td><td>x</td><td>y</td></tr></table><table><tr><td>6/3/2024</td><td>a</td><td>b</td></tr></table>"
