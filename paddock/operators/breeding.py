@@ -13,26 +13,34 @@ FEATURES = ("s_time", "s_earn", "s_win", "s_score", "s_races", "m_time", "m_earn
 _SIDE = {"time": "time_percentile", "earn": "earn_percentile", "win": "win_rate", "score": "score", "races": "career_races"}
 
 
-def _side(ratings: DataFrame, prefix: str) -> DataFrame:
-    return ratings.select(plain_key(F.col("name")).alias(f"__{prefix}"), *(F.col(c).cast("double").alias(f"{prefix}_{n}") for n, c in _SIDE.items()))
+def _sides(ratings: DataFrame, horses: DataFrame, unrated: bool = False) -> DataFrame:
+    """``__key``, the five features of each rated horse and ``up_time``, the time of its own sire; with ``unrated``, also who has only the latter."""
+    rated = ratings.select(plain_key(F.col("name")).alias("__key"), *(F.col(c).cast("double").alias(n) for n, c in _SIDE.items()))
+    times = rated.select(F.col("__key").alias("__up"), F.col("time").alias("up_time"))
+    known = parents_of(horses).select("__key", plain_key(F.col("sire")).alias("__up"))
+    up = _merged(known, times, "__up").select("__key", "up_time")  # only those with a rated sire: others get no row, so they don't meet in one task
+    return _merged(rated, up, "__key", "full" if unrated else "left")
+
+
+def _merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow alike. Narrow columns in Parquet look small enough to broadcast, but then each task holds the other table whole, and can't spill it."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def pair_features(pairs: DataFrame, ratings: DataFrame, horses: DataFrame, sire: str = "sire", dam: str = "dam", how: str = "inner") -> DataFrame:
     """``pairs`` with the twelve features of their sire and dam, looked up by plain key. Ratings that share a name fan out, as in a join by name."""
-    key = lambda c: plain_key(F.col(c))
-    out = pairs.join(_side(ratings, "s"), key(sire) == F.col("__s"), how).join(_side(ratings, "m"), key(dam) == F.col("__m"), how)
-    for parent, short in ((dam, "ds"), (sire, "ss")):
-        of = parents_of(horses).select(F.col("__key").alias(f"__{short}h"), F.col("sire").alias(f"__{short}p"))
-        times = ratings.select(plain_key(F.col("name")).alias(f"__{short}k"), F.col("time_percentile").cast("double").alias(f"{short}_time"))
-        out = out.join(of, key(parent) == F.col(f"__{short}h"), "left").join(times, key(f"__{short}p") == F.col(f"__{short}k"), "left")
-    return out.drop(*(c for c in out.columns if c.startswith("__")))
+    sides, out = _sides(ratings, horses, unrated=how != "inner"), pairs
+    for parent, short, up in ((sire, "s", "ss_time"), (dam, "m", "ds_time")):
+        side = sides.select("__key", *(F.col(n).alias(f"{short}_{n}") for n in _SIDE), F.col("up_time").alias(up))
+        out = _merged(out.withColumn("__key", plain_key(F.col(parent))), side, "__key", how).drop("__key")
+    return out.select(*pairs.columns, *FEATURES)
 
 
 def training_rows(ratings: DataFrame, horses: DataFrame) -> DataFrame:
     """``name, grade, score`` and the features of every rated horse with rated parents."""
     foals = ratings.filter("score is not null and grade is not null").select("name", "grade", "score")
     known = horses.select("name", "sire", "dam")
-    return pair_features(foals.join(known, "name"), ratings, horses).drop("sire", "dam")
+    return pair_features(_merged(foals, known, "name"), ratings, horses).drop("sire", "dam")
 
 
 def medians(rows: DataFrame, features=FEATURES) -> DataFrame:
