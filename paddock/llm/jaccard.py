@@ -24,12 +24,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import staged
+from .common import staged, tasks, tidy, unstaged
 
-#: Bits of the fixed-size filter for shared tokens; a false hit costs work, never a link.
-FILTER_BITS = 26
+#: First tokens that a task gathers before it deals them out.
+DEALT = 1 << 20
 #: 64-bit words of a set's sketch.
 SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -87,10 +87,6 @@ def _least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _places(tokens: np.ndarray) -> np.ndarray:
-    return tokens >> np.uint64(64 - FILTER_BITS)
-
-
 def _first(s: np.ndarray, percent: int) -> np.ndarray:
     return s[: 2 * (len(s) - _least(len(s), percent) + 1)] if len(s) else s
 
@@ -125,12 +121,6 @@ def _common(n: Column, percent: int) -> Column:
     return F.least(n - least + 2, least)
 
 
-def _fewest(n: int, percent: int) -> int:
-    """The least that ``_common`` is for a set of n and any size that it can link with: fewer shared tokens rule out all links."""
-    n = _least(n, percent)
-    return min(n - _least(n, percent) + 2, _least(n, percent))
-
-
 def _some(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches, so many rows at a time: only their texts and sets are held at once."""
     for batch in batches:
@@ -138,58 +128,70 @@ def _some(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
-def _first_tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``token``: the first tokens of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _some(batches):
-            out = [_first(_WORDS.shingles(text or "", width), percent) for text in batch.column(0).to_pylist()]
-            tokens = np.concatenate(out) if out else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], ["token"])
-
-    return docs.select(F.col("text")).mapInArrow(run, "token long")
-
-
-def _filter(tokens: DataFrame) -> np.ndarray:
-    """A bit for each value of the tokens' leading bits: of one size whatever the corpus, and so safe to bring to the driver and send out."""
-    place = F.shiftrightunsigned("token", 64 - FILTER_BITS)
-    cells = tokens.groupBy(F.shiftright(place, 6).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _hit(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    at = _places(tokens)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
 def _listed(arrays: list[np.ndarray]) -> pa.ListArray:
     flat = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)], dtype=np.int32), pa.array(flat))
 
 
-def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``id, n, k1, k2, sketch, tokens``: size, identity and sketch of each set and, of its first tokens, those that occur
-    elsewhere, if there are enough of them for any link: the bound over the union of all groups."""
-    counted = _first_tokens(docs, width, percent).groupBy("token").count().filter("count > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(counted))
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """``id, n, k1, k2, sketch``: size, identity and sketch of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _some(batches):
-            sizes, k1, k2, firsts, sketches = [], [], [], [], []
+            sizes, k1, k2, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = _WORDS.shingles(text or "", width)
-                first = _first(s, percent)
                 sizes.append(len(s))
                 k1.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce(mixed(s * _ODD)).view(np.int64)) if len(s) else 0)
-                first = first[_hit(shared.value, first)]
-                firsts.append(first if len(first) >= _fewest(len(s), percent) else first[:0])
-                sketches.append(_sketch(s) if len(firsts[-1]) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), _listed(firsts)], ["id", "n", "k1", "k2", "sketch", "tokens"])
+                sketches.append(_sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "sketch"])
+
+    return staged(docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, sketch array<long>"))
 
-    return staged(docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, sketch array<long>, tokens array<long>"))
+
+def _shared_tokens(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``token, id, n``: those first tokens of each document that occur elsewhere too.
+
+    Tokens are dealt out by hash to buckets, in rows of many, and told apart there; the number of buckets follows the
+    session's shuffle width, so neither a bucket nor anything sent to all tasks grows with the input.
+    """
+    buckets = 2 * tasks(docs.sparkSession)
+
+    def dealt(firsts: list[np.ndarray], ids: list[int], sizes: list[int]) -> pa.RecordBatch:
+        tokens, lengths = np.concatenate(firsts), [len(f) for f in firsts]
+        to = (mixed(tokens) >> np.uint64(32)).astype(np.int64) % buckets
+        order = np.argsort(to, kind="stable")
+        bucket, starts = np.unique(to[order], return_index=True)
+        cut = pa.array(np.append(starts, len(tokens)), pa.int32())
+        columns = (tokens.view(np.int64), np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths))
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.ListArray.from_arrays(cut, pa.array(c[order])) for c in columns)], ["bucket", "tokens", "ids", "sizes"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, ids, sizes, held = [], [], [], 0
+        for batch in _some(batches):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = _WORDS.shingles(text or "", width)
+                if len(s):
+                    firsts.append(_first(s, percent).copy())
+                    ids.append(i)
+                    sizes.append(len(s))
+                    held += len(firsts[-1])
+                if held >= DEALT:
+                    yield dealt(firsts, ids, sizes)
+                    firsts, ids, sizes, held = [], [], [], 0
+        if held:
+            yield dealt(firsts, ids, sizes)
+
+    def shared(bucket: pa.Table) -> pa.Table:
+        tokens, ids, sizes = (bucket.column(c).combine_chunks().flatten().to_numpy() for c in ("tokens", "ids", "sizes"))
+        order = np.argsort(tokens)
+        same = np.diff(tokens[order]) == 0
+        order = order[np.append(same, False) | np.insert(same, 0, False)]
+        return pa.table({"token": tokens[order], "id": ids[order], "n": sizes[order].astype(np.int64)})
+
+    rows = docs.filter("id is not null").select("id", "text").mapInArrow(deal, "bucket int, tokens array<long>, ids array<long>, sizes array<int>")
+    return rows.groupBy("bucket").applyInArrow(shared, "token long, id long, n long")
 
 
 def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -238,8 +240,10 @@ def components(edges: DataFrame) -> DataFrame:
         lower = staged(found.join(hooks, found["node"] == hooks["root"], "left").select("node", "component", F.least("low", F.coalesce("hook", "low")).alias("low")))
         up = lower.select(F.col("node").alias("at"), F.col("low").alias("jump"))
         jumped = _looked_up(lower, "low", _frequent(lower, "low", nodes), up, "jump")
-        labels = staged(jumped.select("node", F.col("jump").alias("component"), (F.col("jump") != F.col("component")).alias("moved")))
+        old, labels = labels, staged(jumped.select("node", F.col("jump").alias("component"), (F.col("jump") != F.col("component")).alias("moved")))
+        unstaged(found, lower, old)
         if labels.filter("moved").isEmpty():
+            unstaged(both, hubs)
             return labels.select("node", "component")
         labels = labels.select("node", "component")
 
@@ -264,7 +268,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     with_both = _with_set(with_a, pairs, total, sets, "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     reached = both * 100 >= percent * (F.size("set_a") + F.size("set_b") - both)
-    return staged(with_both.filter(reached).select("a", "b").distinct())
+    out = staged(with_both.filter(reached).select("a", "b").distinct())
+    unstaged(pairs, ids, sets)
+    return out
 
 
 def _near(a: Column, b: Column, percent: int) -> Column:
@@ -272,24 +278,20 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= percent * F.greatest(a, b)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id_col>, n_shingles, component_id``: one row a document, with the smallest id reachable by links.
-
-    Null and empty texts and texts without words have no shingles and link with nothing, not even with each other; a text
-    of fewer than ``width`` words is one shingle; very long texts are taken whole; a repeated id is one node with the
-    links of all its rows; a row without an id keeps a null component; an empty table gives an empty result; other
-    columns are ignored. Sets are compared by 64-bit hashes of their shingles.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = _sets(rows, width, percent)
+def _nodes(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``id, n, node`` of each row ``(id, text)``, and ``node, component`` of the nodes that link."""
+    sets = _sets(rows, width)
     real = sets.filter("n > 0 and id is not null")
-    sketches = real.filter("sketch is not null").select("id", "n", *(F.col("sketch")[i].alias(s) for i, s in enumerate(SKETCH))).distinct()
+    sketches = real.select("id", "n", *(F.col("sketch")[i].alias(s) for i, s in enumerate(SKETCH))).distinct()
     copies = staged(real.groupBy("n", "k1", "k2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
     ids = staged(sets.select("id", "n", "k1", "k2").join(copies, ["n", "k1", "k2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("node")))
-    token = real.join(copies, ["n", "k1", "k2"], "left").filter(F.col("id") == F.coalesce("least", "id")).select("id", "n", F.explode("tokens").alias("token"))
-    token = staged(token)
-    often = token.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    token = staged(token.join(often, "token"))
+    nodes = ids.filter("n > 0 and node = id").select("id", "n").distinct()
+    # fewer shared tokens than the least for any size that a set can link with rule out all links: the bound over the union of all groups
+    enough = F.count(F.lit(1)).over(Window.partitionBy("id", "n")) >= _common(F.ceil(F.col("n") * percent / 100), percent)
+    found = staged(_shared_tokens(rows, width, percent).join(nodes, ["id", "n"]).withColumn("enough", enough).filter("enough").drop("enough"))
+    often = found.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    token = staged(found.join(often, "token"))
+    unstaged(copies, found)
 
     # 1. groups: each node belongs to the centre that most of its tokens have
     central = token.groupBy("id").agg((F.sum("often") / F.first("n")).alias("weight"))
@@ -297,19 +299,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     centre = weighed.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top")).select("token", (-F.col("top.id")).alias("centre"))
     votes = weighed.join(centre, "token").groupBy("id", "n", "centre").agg(F.count(F.lit(1)).alias("votes"))
     member = staged(votes.groupBy("id", "n").agg(F.max(F.struct("votes", (-F.col("centre")).alias("centre"))).alias("top")).select("id", "n", (-F.col("top.centre")).alias("group")))
-    token = staged(token.join(member.select("id", "group"), "id").select("token", "id", "n", "group"))
+    grouped = staged(token.join(member.select("id", "group"), "id").select("token", "id", "n", "group"))
+    unstaged(token, weighed, member)
 
     # 2. the matrix, and 3. the groups that qualify for each query node
-    matrix = staged(token.groupBy("token", "group").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("nodes")))
+    matrix = staged(grouped.groupBy("token", "group").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("nodes")))
     ranges = F.least("largest", F.greatest("smallest", "n"))  # the member's size nearest to the query's
-    matrix = matrix.withColumnRenamed("group", "to")
-    met = token.join(matrix, "token").filter(((F.col("group") != F.col("to")) | (F.col("nodes") > 1)) & _near(F.col("n"), ranges, percent))
+    met = grouped.join(matrix.withColumnRenamed("group", "to"), "token").filter(((F.col("group") != F.col("to")) | (F.col("nodes") > 1)) & _near(F.col("n"), ranges, percent))
     overlap = met.groupBy("id", "n", "to").agg(F.count(F.lit(1)).alias("bound"), F.min("smallest").alias("smallest"))
     lowest = F.least(_common(F.col("n"), percent), _common(F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100)), percent))
     opened = staged(overlap.filter(F.col("bound") >= lowest).select("id", "to"))
 
     # 4. each node's own centre first, then of all qualifying groups only members of other components
-    token = staged(token.join(opened.select("id").distinct(), "id", "left_semi"))  # both ends of a link have opened a group
+    token = staged(grouped.join(opened.select("id").distinct(), "id", "left_semi"))  # both ends of a link have opened a group
+    unstaged(matrix, grouped)
     mine = token.filter("id <> group").join(token.select("token", F.col("id").alias("group"), F.col("n").alias("gn")), ["token", "group"])
     first = mine.filter(_near(F.col("n"), F.col("gn"), percent)).groupBy("id", "group", "n", "gn").agg(F.count(F.lit(1)).alias("met"))
     links = _linked(first.filter(F.col("met") >= _met(F.col("n"), F.col("gn"), percent)).select(F.col("id").alias("a"), F.col("group").alias("b")), rows, width, percent)
@@ -320,6 +323,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     apart = part.join(major, "token").join(sketches, ["id", "n"])
     shown = lambda side: (F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("part").alias(f"{side}p"), *(F.col(s).alias(f"{side}{s}") for s in SKETCH))
     apart = staged(apart)
+    unstaged(token, part, major, sets)
     minor = apart.filter("part <> major").join(opened, "id").select("token", F.col("to").alias("group"), *shown("x"))
     others = apart.select("token", "group", "major", *shown("y"))
     once = (F.col("yp") == F.col("major")) | (F.col("x") < F.col("y"))  # a pair is made once for each token
@@ -329,5 +333,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     pairs = cross.groupBy(*ends).agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= _met(F.col("an"), F.col("bn"), percent)).select("a", "b")
     more = _linked(pairs, rows, width, percent)
     final = components(links.unionByName(more))
-    out = ids.join(final, ids["node"] == final["node"], "left")
-    return out.select(ids["id"].alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", ids["node"]).alias("component_id"))
+    unstaged(opened, apart, links, more, known)
+    return ids, final
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id_col>, n_shingles, component_id``: one row a document, with the smallest id reachable by links.
+
+    Null and empty texts and texts without words have no shingles and link with nothing, not even with each other; a text
+    of fewer than ``width`` words is one shingle; very long texts are taken whole; a repeated id is one node with the
+    links of all its rows; a row without an id keeps a null component; an empty table gives an empty result; other
+    columns are ignored. Sets are compared by 64-bit hashes of their shingles.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with tidy(docs.sparkSession):
+        ids, final = _nodes(rows, width, percent)
+        out = ids.join(final, ids["node"] == final["node"], "left")
+        return out.select(ids["id"].alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", ids["node"]).alias("component_id"))
