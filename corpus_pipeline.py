@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paddock.llm import jaccard, language_id, line_dedup, mixing, packing
-from paddock.llm.common import dropped, release, staged, written
+from paddock.llm.common import dropped, release, staged, tidy, unstaged, written
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -61,16 +61,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are one document.
     """
     release(docs)
-    whole = _keyed(docs).withColumn("__id", F.col("__doc.doc_id").cast("long"))
-    shared = staged(whole.filter("__id is not null").groupBy("__id").agg(F.count(F.lit(1)).alias("__n"), F.min("__key").alias("__least")).filter("__n > 1").drop("__n"))
-    joined = whole.join(shared, "__id", "left")
-    lone = F.col("__id").isNotNull() & F.col("__least").isNull()
-    node = F.when(lone | (F.col("__key") == F.col("__least")), F.col("__id")).otherwise(F.col("__key").bitwiseAND(F.lit(BEYOND // 2 - 1)) + F.lit(BEYOND))
-    named = joined.select("__doc", node.alias("__node"), lone.alias("__lone"))
-    groups = jaccard.jaccard_components(named.select("__node", F.col("__doc.text").alias("text")), id_col="__node")
-    gone = staged(groups.filter("__node <> component_id").select("__node").distinct())
-    kept = named.join(gone, "__node", "left_anti")
-    return kept.filter("__lone").unionByName(kept.filter("not __lone").dropDuplicates(["__node"])).select("__doc.*")
+    with tidy(spark):
+        whole = _keyed(docs).withColumn("__id", F.col("__doc.doc_id").cast("long"))
+        shared = staged(whole.filter("__id is not null").groupBy("__id").agg(F.count(F.lit(1)).alias("__n"), F.min("__key").alias("__least")).filter("__n > 1").drop("__n"))
+        joined = whole.join(shared, "__id", "left")
+        lone = F.col("__id").isNotNull() & F.col("__least").isNull()
+        node = F.when(lone | (F.col("__key") == F.col("__least")), F.col("__id")).otherwise(F.col("__key").bitwiseAND(F.lit(BEYOND // 2 - 1)) + F.lit(BEYOND))
+        named = joined.select("__doc", node.alias("__node"), lone.alias("__lone"))
+        groups = jaccard.jaccard_components(named.select("__node", F.col("__doc.text").alias("text")), id_col="__node")
+        gone = staged(groups.filter("__node <> component_id").select("__node").distinct())
+        unstaged(groups)
+        kept = named.join(gone, "__node", "left_anti")
+        return kept.filter("__lone").unionByName(kept.filter("not __lone").dropDuplicates(["__node"])).select("__doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

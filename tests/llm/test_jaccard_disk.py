@@ -6,9 +6,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from paddock.llm import common, jaccard
 from paddock.llm.common import written
 
+from ..compare import SF
 from .test_operators import awkward, docs_of
 
 
@@ -17,7 +19,7 @@ def shuffled(spark):
     return {f.name for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
 
 
-@pytest.mark.parametrize("run", [jaccard.jaccard_components])
+@pytest.mark.parametrize("run", [jaccard.jaccard_components, lambda d: corpus_pipeline.near_duplicates(d.sparkSession, d, SF)])
 def test_steps_leave_no_files(spark, run):
     """Shuffle files and staged tables of a step go when it is done, not when the driver collects its garbage."""
     docs = written(docs_of(spark, awkward()))[0]
